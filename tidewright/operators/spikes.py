@@ -23,7 +23,7 @@ from tidewright.operators.scan import join_on
 
 #: Fences in interquartile ranges beyond the quartiles.
 WICK_FENCE = 8.0
-VOLUME_FENCE = 3.0
+VOLUME_FENCE = 3.5
 #: Readings on each side that make up the local level of the volume.
 AROUND = 6
 #: Equal readings in a row from which a measure counts as stuck.
