@@ -1,6 +1,6 @@
 """Doubles as 64-bit integers of the same order, in JVM arithmetic alone.
 
-``ordered_key`` gives ``sign * bits(|x|)``: the IEEE-754 pattern of the absolute value, negated for
+``with_ordered_key`` gives ``sign * bits(|x|)``: the IEEE-754 pattern of the absolute value, negated for
 negative values. Its order is the order of the doubles, 0.0 and -0.0 share key 0, infinities come
 first and last. NaN and NULL have no key. Powers of two are exact in ``pow``, and scaling by them
 is exact, so the key is the exact bit pattern and ``key_value`` its exact inverse.
@@ -8,7 +8,7 @@ is exact, so the key is the exact bit pattern and ``key_value`` its exact invers
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MANTISSA_BITS = 52
@@ -21,13 +21,16 @@ def _two_to(e: Column) -> Column:
     return F.pow(F.lit(2.0), e.cast("double"))
 
 
-def ordered_key(value: Column) -> Column:
-    """Order-preserving bigint of a double; NULL for NULL and NaN."""
-    x = value.cast("double")
-    size = F.abs(x)
+def with_ordered_key(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds the order-preserving bigint of a double; NULL for NULL and NaN.
+
+    Built in steps, so that logarithm and power are computed once for each row.
+    """
+    x, size, guess, scaled = F.col(value).cast("double"), F.col("__size"), F.col("__guess"), F.col("__scaled")
     # log2 is off by one at most near a power of two; the scaled mantissa shows it
-    guess = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023)).cast("int")
-    scaled = size * _two_to(-guess)
+    steps = df.withColumn("__size", F.abs(x))
+    steps = steps.withColumn("__guess", F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023)).cast("int"))
+    steps = steps.withColumn("__scaled", size * _two_to(-guess))
     exponent = guess + F.when(scaled >= 2.0, 1).when(scaled < 1.0, -1).otherwise(0)
     mantissa = F.when(scaled >= 2.0, scaled / 2.0).when(scaled < 1.0, scaled * 2.0).otherwise(scaled)
     normal = F.shiftleft((exponent + _BIAS).cast("bigint"), MANTISSA_BITS) + ((mantissa - 1.0) * _MANTISSA).cast("bigint")
@@ -38,7 +41,8 @@ def ordered_key(value: Column) -> Column:
         .when(size < 2.0**-1022, subnormal)
         .otherwise(normal)
     )
-    return F.when(x.isNotNull() & ~F.isnan(x), F.when(x < 0.0, -bits).otherwise(bits))
+    steps = steps.withColumn("__bits", F.when(size.isNotNull() & ~F.isnan(size), bits))
+    return steps.withColumn(out, F.when(x < 0.0, -F.col("__bits")).otherwise(F.col("__bits"))).drop("__size", "__guess", "__scaled", "__bits")
 
 
 def key_value(key: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewright.functions.keys import key_value, ordered_key
+from tidewright.functions.keys import key_value, with_ordered_key
 from tidewright.operators.scan import join_on
 from tidewright.session import cut_lineage
 
@@ -50,8 +50,8 @@ def digit_histogram(values: DataFrame, groups: Sequence[str], value: str, bits:
     """
     if not 12 <= bits <= KEY_BITS:
         raise ValueError("bits must be between 12 and 64")
-    key = ordered_key(F.col(value))
-    return values.select(*groups, _lead(key, KEY_BITS - bits).alias("digits")).groupBy(*groups, "digits").agg(F.count("digits").alias("n"))
+    keyed = with_ordered_key(values.select(*groups, F.col(value).alias("__value")), "__value", "__key")
+    return keyed.select(*groups, _lead(F.col("__key"), KEY_BITS - bits).alias("digits")).groupBy(*groups, "digits").agg(F.count("digits").alias("n"))
 
 
 def merge_histograms(summaries: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -69,32 +69,32 @@ def _targets(total: Column, quantiles: Sequence[float]) -> Column:
     return F.array(*out)
 
 
-def _hit(counts: DataFrame, groups: Sequence[str], prefix: Sequence[str], digit: str, targets: str) -> DataFrame:
-    """Which digit holds each target: groups, ``prefix`` (the digit) and the targets, ranks counted within it."""
-    before = F.coalesce(F.sum("n").over(W.partitionBy(*groups, *prefix).orderBy(digit).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at = counts.withColumn("__before", before)
-    inside = F.filter(targets, lambda t: (t["rank"] >= F.col("__before")) & (t["rank"] < F.col("__before") + F.col("n")))
-    moved = F.transform(inside, lambda t: F.struct(t["i"].alias("i"), t["side"].alias("side"), (t["rank"] - F.col("__before")).alias("rank")))
-    return at.select(*groups, F.col(digit).alias("prefix"), moved.alias("targets")).where(F.size("targets") > 0)
+def _inside(targets: Column, before: Column, n: Column) -> Column:
+    """The targets among the ``n`` values that ``before`` values precede, their ranks counted within these."""
+    held = F.filter(targets, lambda t: (t["rank"] >= before) & (t["rank"] < before + n))
+    return F.transform(held, lambda t: F.struct(t["i"].alias("i"), t["side"].alias("side"), (t["rank"] - before).alias("rank")))
 
 
-def _first_digit(counts: DataFrame, groups: Sequence[str], digit: str, quantiles: Sequence[float]) -> DataFrame:
-    known = counts.where(F.col(digit).isNotNull())
-    whole = known.withColumn("__total", F.sum("n").over(W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))))
-    return _hit(whole.withColumn("__targets", _targets(F.col("__total"), quantiles)), groups, [], digit, "__targets")
+def _hit(counts: DataFrame, groups: Sequence[str], prefix: Sequence[str], digit: str, targets: str) -> DataFrame:
+    """Which digit holds each target: groups, ``n_values``, ``prefix`` (the digit) and the targets within it."""
+    along = W.partitionBy(*groups, *prefix).orderBy(F.col(digit).asc_nulls_first())
+    at = counts.withColumn("__before", F.sum("n").over(along) - F.col("n"))
+    moved = _inside(F.col(targets), F.col("__before"), F.col("n"))
+    at = at.select(*groups, "n_values", F.col(digit).alias("prefix"), moved.alias("targets"))
+    return at.where((F.size("targets") > 0) | (F.col("n_values") == 0))
 
 
-def _read(found: DataFrame, totals: DataFrame, groups: Sequence[str], quantiles: Sequence[float], value: Column) -> DataFrame:
+def _read(found: DataFrame, groups: Sequence[str], quantiles: Sequence[float], value: Column) -> DataFrame:
     """Linear interpolation between the two order statistics of each quantile; one row per group."""
-    single = found.select(*groups, F.explode("targets").alias("__t"), value.alias("__x"))
+    single = found.select(*groups, "n_values", F.explode_outer("targets").alias("__t"), value.alias("__x"))
     pick = lambda i, side: F.max(F.when((F.col("__t.i") == i) & (F.col("__t.side") == side), F.col("__x")))
-    wide = single.groupBy(*groups).agg(*[pick(i, side).alias(f"__{i}_{side}") for i in range(len(quantiles)) for side in (0, 1)])
-    joined = join_on(totals, wide, groups) if groups else totals.crossJoin(F.broadcast(wide))  # one row each without groups
+    picked = [pick(i, side).alias(f"__{i}_{side}") for i in range(len(quantiles)) for side in (0, 1)]
+    wide = single.groupBy(*groups).agg(F.max("n_values").alias("n_values"), *picked)
     out = []
     for i, q in enumerate(quantiles):
         a, b, at = F.col(f"__{i}_0"), F.col(f"__{i}_1"), (F.col("n_values") - 1) * F.lit(float(q))
         out.append(F.when(a == b, a).otherwise(a + (b - a) * (at - F.floor(at))).alias(quantile_name(q)))
-    return joined.select(*groups, "n_values", *out)
+    return wide.select(*groups, "n_values", *out)
 
 
 def histogram_percentiles(summary: DataFrame, groups: Sequence[str], quantiles: Sequence[float], bits: int = SUMMARY_BITS) -> DataFrame:
@@ -105,20 +105,28 @@ def histogram_percentiles(summary: DataFrame, groups: Sequence[str], quantiles:
     NULL and NaN values do not count; a group without values has n_values 0 and NULL percentiles;
     -0.0 counts as 0.0; infinities are the extreme values.
     """
-    lead = min(12, bits)
-    rest = KEY_BITS - bits
-    counts = summary.groupBy(*groups, _lead(F.col("digits"), bits - lead).alias("__lead")).agg(F.sum("n").alias("n"))
-    led = _first_digit(counts, groups, "__lead", quantiles)
-    prefix = _lead(F.col("digits"), bits - lead)
-    followed = join_on(summary.where(F.col("digits").isNotNull()).withColumn("prefix", prefix), led, [*groups, "prefix"], "inner")
-    found = _hit(followed, groups, ["prefix"], "digits", "targets")
+    lead, rest = min(12, bits), KEY_BITS - bits
+    leads = summary.groupBy(*groups, _lead(F.col("digits"), bits - lead).alias("prefix")).agg(
+        F.sum("n").alias("n"),
+        F.collect_list(F.struct("digits", "n")).alias("__parts"),  # at most two to the 12 for each of the 24 bits' leads
+    )
+    whole = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
+    along = whole.orderBy(F.col("prefix").asc_nulls_first())
+    leads = leads.withColumns({"n_values": F.sum("n").over(whole), "__before": F.sum("n").over(along) - F.col("n")})
+    hits = _inside(_targets(F.col("n_values"), quantiles), F.col("__before"), F.col("n"))
+    leads = leads.withColumn("targets", hits).where((F.size("targets") > 0) | (F.col("n_values") == 0))
+    parts = leads.select(*groups, "n_values", "prefix", "targets", F.explode("__parts").alias("__part"))
+    parts = parts.select(*groups, "n_values", "prefix", "targets", F.col("__part.digits").alias("digits"), F.col("__part.n").alias("n"))
+    within = W.partitionBy(*groups, "prefix").orderBy("digits")
+    parts = parts.withColumn("__before", F.sum("n").over(within) - F.col("n"))
+    found = parts.select(*groups, "n_values", F.col("digits").alias("prefix"), _inside(F.col("targets"), F.col("__before"), F.col("n")).alias("targets"))
     size = F.abs("prefix")
     least = F.shiftleft(size, rest) if rest else size
     most = F.least(least + F.lit((1 << rest) - 1).cast("bigint"), F.lit(_INFINITY).cast("bigint"))
     middle = key_value(least) / 2 + key_value(most) / 2
     value = F.when(size == 0, F.lit(0.0)).when(F.lit(rest == 0), key_value(least)).otherwise(middle)
-    totals = summary.groupBy(*groups).agg(F.sum("n").alias("n_values"))
-    return _read(found, totals, groups, quantiles, F.when(F.col("prefix") < 0, -value).otherwise(value))
+    found = found.where((F.size("targets") > 0) | (F.col("n_values") == 0))
+    return _read(found, groups, quantiles, F.when(F.col("prefix") < 0, -value).otherwise(value))
 
 
 def exact_percentiles(values: DataFrame, groups: Sequence[str], value: str, quantiles: Sequence[float], digits: Sequence[int] = (16, 16, 32)) -> DataFrame:
@@ -130,17 +138,17 @@ def exact_percentiles(values: DataFrame, groups: Sequence[str], value: str, quan
     """
     if sum(digits) != KEY_BITS:
         raise ValueError("the digits must add up to 64 bits")
-    keyed = values.select(*groups, ordered_key(F.col(value)).alias("__key"))
+    keyed = with_ordered_key(values.select(*groups, F.col(value).alias("__value")), "__value", "__key").drop("__value")
     shift = lambda left: _lead(F.col("__key"), left)
     left = KEY_BITS - digits[0]
     counts = keyed.groupBy(*groups, shift(left).alias("__digit")).agg(F.count("__key").alias("n"))
-    counts = cut_lineage(counts)
-    totals = counts.groupBy(*groups).agg(F.sum("n").alias("n_values"))
-    targets = cut_lineage(_first_digit(counts, groups, "__digit", quantiles))
+    total = F.sum("n").over(W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0)))
+    counts = counts.withColumn("n_values", total).withColumn("__targets", _targets(total, quantiles))
+    targets = cut_lineage(_hit(counts, groups, [], "__digit", "__targets"))
     for bits in digits[1:]:
         rows = keyed.where(F.col("__key").isNotNull()).withColumn("prefix", shift(left))
-        wanted = targets.select(*groups, "prefix")
-        if targets.count() <= BROADCAST_ROWS:
+        wanted = targets.where("n_values > 0").select(*groups, "prefix")
+        if wanted.count() <= BROADCAST_ROWS:
             rows = join_on(rows, F.broadcast(wanted), [*groups, "prefix"], "inner")
         else:
             salted = wanted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -148,6 +156,6 @@ def exact_percentiles(values: DataFrame, groups: Sequence[str], value: str, quan
             rows = join_on(rows, salted, [*groups, "prefix", "__salt"], "inner")
         left -= bits
         counts = rows.groupBy(*groups, "prefix", shift(left).alias("__digit")).agg(F.count(F.lit(1)).alias("n"))
-        joined = join_on(counts, targets, [*groups, "prefix"], "inner")
-        targets = cut_lineage(_hit(joined, groups, ["prefix"], "__digit", "targets"))
-    return _read(targets, totals, groups, quantiles, key_value(F.col("prefix")))
+        joined = join_on(targets, counts, [*groups, "prefix"], "left")
+        targets = cut_lineage(_hit(joined.withColumn("n", F.coalesce("n", F.lit(0))), groups, ["prefix"], "__digit", "targets"))
+    return _read(targets, groups, quantiles, key_value(F.col("prefix")))
