@@ -149,24 +149,20 @@ def _single(df: DataFrame) -> DataFrame:
 
 
 def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily summaries, merged to all days; the stated error is relative to the order statistics."""
+    """Percentiles of every run_day from its summary (scope day) and of all days from the merged summaries (scope all).
+    The stated error is relative to the order statistics."""
     daily = radix.digit_histogram(measures(spark, sf), [*MEASURE_GROUPS, "run_day"], "value")
-    merged = radix.merge_histograms(daily, MEASURE_GROUPS)
-    out = radix.histogram_percentiles(merged, MEASURE_GROUPS, QUANTILES)
-    return _single(out).withColumn("relative_error", F.lit(radix.SUMMARY_ERROR))
+    whole = radix.merge_histograms(daily, MEASURE_GROUPS)
+    both = daily.withColumn("scope", F.lit("day")).unionByName(whole.withColumns({"scope": F.lit("all"), "run_day": F.lit(None).cast("date")}))
+    out = radix.histogram_percentiles(both, ["scope", *MEASURE_GROUPS, "run_day"], QUANTILES)
+    out = _single(out).withColumn("run_day", F.date_format("run_day", "yyyy-MM-dd"))
+    return out.withColumn("relative_error", F.lit(radix.SUMMARY_ERROR))
 
 
 def p4_exact_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return _single(radix.exact_percentiles(measures(spark, sf), MEASURE_GROUPS, "value", QUANTILES))
 
 
-def p4_daily_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """The percentiles of single days from the same summaries."""
-    groups = [*MEASURE_GROUPS, "run_day"]
-    out = radix.histogram_percentiles(radix.digit_histogram(measures(spark, sf), groups, "value"), groups, QUANTILES)
-    return _single(out).withColumn("run_day", F.date_format("run_day", "yyyy-MM-dd"))
-
-
 _P4_ROWS = """
 with v as (
   select 'loss' measure, generator, target, batch, run_day, loss x from path_losses
@@ -247,7 +243,6 @@ QUERIES = {
     "p3_periods": p3_periods,
     "p4_percentiles": p4_percentiles,
     "p4_exact_percentiles": p4_exact_percentiles,
-    "p4_daily_percentiles": p4_daily_percentiles,
     "p5_found": p5_found,
     "p5_kept_candles": p5_kept_candles,
     "p5_new_batch": p5_new_batch,
@@ -268,13 +263,14 @@ from g left join chosen c on c.panel_id = g.panel_id and c.tick_ms = g.prev""",
     + """, f as (select panel_id, split, s, reach from r where opens = 1 and reach is not null)
 select panel_id, split, reach // 1000 period_end_ms, s // 1000 next_start_ms from f""",
     "p3_periods": _P3_SQL + "select panel_id, split, min(s) // 1000 period_start_ms, max(e) // 1000 period_end_ms from r group by panel_id, split, run",
-    "p4_percentiles": _P4_ROWS + _P4_BUCKETS + _p4_select("b", "y", "measure, generator, target, batch").replace(" from b", f", {radix.SUMMARY_ERROR!r}::double relative_error from b"),
-    "p4_exact_percentiles": _P4_ROWS + _p4_select("v", "x", "measure, generator, target, batch"),
-    "p4_daily_percentiles": _P4_ROWS
+    "p4_percentiles": _P4_ROWS
     + _P4_BUCKETS
-    + "select * replace (strftime(run_day, '%Y-%m-%d') as run_day) from ("
+    + f"select *, {radix.SUMMARY_ERROR!r}::double relative_error from (select 'all' scope, null run_day, * from ("
+    + _p4_select("b", "y", "measure, generator, target, batch")
+    + ") union all by name select 'day' scope, * replace (strftime(run_day, '%Y-%m-%d') as run_day) from ("
     + _p4_select("b", "y", "measure, generator, target, batch, run_day")
-    + ")",
+    + "))",
+    "p4_exact_percentiles": _P4_ROWS + _p4_select("v", "x", "measure, generator, target, batch"),
     "p5_found": f"""
 select 'klines' table_name, row_id from (select row_id, row_number() over (partition by feed_id, instrument, candle_interval, open_time_utc order by received_at_utc, row_id) rn from {_P5_K}) where rn > 1
 union all
