@@ -124,15 +124,14 @@ def broadcast_ranks(spark: SparkSession, vocabulary: str = "byte_bpe_50k", folde
     return spark.sparkContext.broadcast(read_ranks(f"{folder}/{vocabulary}.tiktoken"))
 
 
-_kept: dict[int, _Words] = {}
+_kept: list[_Words] = []
 
 
 def _words(ranks: Broadcast) -> _Words:
     """The words that this worker remembers for a vocabulary, from task to task."""
-    if ranks.id not in _kept:
-        _kept.clear()
-        _kept[ranks.id] = _Words(ranks.value)
-    return _kept[ranks.id]
+    if not _kept or _kept[0].ranks is not ranks.value:
+        _kept[:] = [_Words(ranks.value)]
+    return _kept[0]
 
 
 def token_ids(text: Column, ranks: Broadcast, pattern: str = PATTERN) -> Column:
