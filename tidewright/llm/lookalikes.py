@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import cut_lineage
+
 SCRIPTS = ("LATIN", "GREEK", "CYRILLIC")
 
 # Letters that look alike, each row in the order Latin, Greek, Cyrillic ("." where there is none).
@@ -191,10 +193,13 @@ COPIES_A_TASK = 10_000
 
 
 def digests(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Key, digest of the form and digest of the text, of documents with a visible character."""
+    """Key, digest of the form and digest of the text, of documents with a visible character.
+
+    Written once, as its users read it several times and the forms are what costs.
+    """
     both = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.col(text).alias("__text"), unified(F.col(text)).alias("__form"))
     seen = both.where(F.col("__form").rlike(r"[^\s\p{Cc}\p{Cf}\p{Zs}]"))
-    return seen.select("__id", F.md5(F.col("__form")).alias("__f"), F.md5(F.col("__text")).alias("__t"))
+    return cut_lineage(seen.select("__id", F.md5(F.col("__form")).alias("__f"), F.md5(F.col("__text")).alias("__t")))
 
 
 def lookalike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
