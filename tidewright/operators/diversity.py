@@ -26,7 +26,7 @@ def path_vectors(paths: DataFrame, returns: Sequence[str], keep: Sequence[str],
     """Each path as one vector: all steps of the first asset, then of the next."""
     ordered = F.array_sort(F.collect_list(F.struct(step, *returns)))
     rows = paths.groupBy(path, *keep).agg(ordered.alias("__s"))
-    parts = [F.transform("__s", lambda s, c=c: s[c]) for c in returns]
+    parts = [F.col("__s").getField(c) for c in returns]
     return rows.select(path, *keep, F.concat(*parts).alias("vector"))
 
 
