@@ -1,0 +1 @@
+"""Structured Streaming forms of candles, sessions and running drawdowns."""
