@@ -116,6 +116,9 @@ def es_stability(losses: DataFrame, level: float = 0.95, repetitions: int = 20,
     draws = draws.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(size), F.col("n")) - 1)).alias("i"))
     draws = draws.select(*groups, "rep", F.pmod(draw(seed, F.col("rep"), F.col("i")), F.col("n")).alias("no"))
     sample = draws.join(numbered.select(*groups, "no", "loss"), [*groups, "no"]).select(*groups, "rep", "loss")
-    each = var_es(sample, [*groups, "rep"], [level])
+    # a resample has at most ``size`` losses, so it is read in one pass as a whole
+    each = sample.groupBy(*groups, "rep").agg(stats.quantile(F.col("loss"), level).alias("var"), F.collect_list("loss").alias("all"))
+    tail = F.filter("all", lambda x: x >= F.col("var"))
+    each = each.withColumn("es", F.aggregate(tail, F.lit(0.0), lambda s, x: s + x) / F.size(tail))
     out = each.groupBy(*groups).agg(F.avg("es").alias("es_mean"), stats.sample_sd(F.col("es")).alias("es_deviation"))
     return out.withColumn("es_relative_deviation", F.when(F.col("es_mean") != 0, F.col("es_deviation") / F.abs("es_mean")))

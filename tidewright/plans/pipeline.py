@@ -29,7 +29,7 @@ KLINE = {n: f"{n}_price" for n in panel.PRICES} | {"volume": "volume"}
 
 
 def _rounded(df: DataFrame, columns, digits: int = 8) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
 def candles(spark: SparkSession, sf: str) -> DataFrame:
@@ -374,7 +374,7 @@ feat as (
 
 
 _FEATURES_SQL = SPLIT_SQL + _feature_sql()
-_round = lambda cols, d: ", ".join(f"round({c}, {d}) {c}" for c in cols)
+_round = lambda cols, d: ", ".join(f"round({c}, {d}) + 0.0 {c}" for c in cols)
 _cal_cols = ["panel_id", "tick_ms", "expected_close_ms", *[f"{a}_{c}" for a in ASSETS for c in ("source_close_ms", *panel.VALUES, "missing", "duration_valid")], "is_complete"]
 _IDX = "panel_id, start_index, condition_start_ms, condition_end_ms, target_start_ms, target_end_ms, sample_id"
 

@@ -182,7 +182,7 @@ b as (
 
 
 def _p4_select(source: str, x: str, groups: str) -> str:
-    cut = ", ".join(f"cast(quantile_cont({x}, {q}) as float) {radix.quantile_name(q)}" for q in QUANTILES)
+    cut = ", ".join(f"cast(quantile_cont({x}, {q}) + 0.0 as float) {radix.quantile_name(q)}" for q in QUANTILES)
     return f"select {groups}, count(x) n_values, {cut} from {source} group by {groups}"
 
 

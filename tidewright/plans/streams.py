@@ -31,13 +31,13 @@ def stream_running_drawdown(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (stream_candles, stream_sessions, stream_running_drawdown)}
 
-_WATERMARK = "(select max(epoch_ms(ts)) - 21600000 from events{})"
+_WATERMARK = "(select max(epoch_us(ts)) - 21600000000 from events{})"
 ORACLE = {
-    "stream_candles": f"""with e as (select *, epoch_ms(ts) // 21600000 * 21600000 w from events where value > 0)
+    "stream_candles": f"""with e as (select *, epoch_us(ts) // 21600000000 * 21600000 w from events where value > 0)
 select event_type asset, w open_time, w + 21600000 close_time, first(value order by ts, event_id) open, max(value) high, min(value) low, last(value order by ts, event_id) "close", count(*) events
-from e group by 1, 2, 3 having w + 21600000 <= {_WATERMARK.format(" where value > 0")}""",
-    "stream_sessions": f"""with e as (select user_id, epoch_ms(ts) t from events), g as (select *, case when t - lag(t) over (partition by user_id order by t) < 43200000 then 0 else 1 end n from e),
+from e group by 1, 2, 3 having (w + 21600000) * 1000 <= {_WATERMARK.format(" where value > 0")}""",
+    "stream_sessions": f"""with e as (select user_id, epoch_us(ts) t from events), g as (select *, case when t - lag(t) over (partition by user_id order by t) < 43200000000 then 0 else 1 end n from e),
 s as (select *, sum(n) over (partition by user_id order by t rows unbounded preceding) k from g)
-select user_id, min(t) started, max(t) + 43200000 ended, count(*) events from s group by user_id, k having max(t) + 43200000 <= {_WATERMARK.format("")}""",
+select user_id, min(t) // 1000 started, (max(t) + 43200000000) // 1000 ended, count(*) events from s group by user_id, k having max(t) + 43200000000 <= {_WATERMARK.format("")}""",
     "stream_running_drawdown": """select event_type as "key", event_id, round(1 - value / max(value) over (partition by event_type order by ts, event_id), 9) + 0.0 drawdown from events where value > 0""",
 }
