@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.functions.times import HOUR_US, floor_div, to_us, us_to_ms
-from tidewright.operators.scan import carry_scan, join_on
+from tidewright.operators.scan import carry_scan, pack, unpack
 
 
 def regular_grid(
@@ -48,18 +48,18 @@ def regular_grid(
     """
     if step_us < 1 or shard_steps < 1:
         raise ValueError("step_us and shard_steps must be positive")
-    ids = [f"__k{i}" for i in range(len(keys))]
+    ids = ["__id"]
     order = [f"__a{i}" for i in range(len(arrival))]
     vals = [f"__v{i}" for i in range(len(values))]
     shard_us = step_us * shard_steps
     none = F.lit(None)
 
-    spans = coverage.select(*[F.col(k).alias(i) for k, i in zip(keys, ids)], to_us(F.col(first)).alias("__f"), to_us(F.col(last)).alias("__l"))
+    spans = coverage.select(pack(keys).alias("__id"), to_us(F.col(first)).alias("__f"), to_us(F.col(last)).alias("__l"))
     spans = spans.groupBy(*ids).agg(F.min("__f").alias("__f"), F.max("__l").alias("__l")).where(F.col("__f") <= F.col("__l"))
     ticks = spans.select(*ids, "__f", "__l", F.explode(F.sequence("__f", "__l", F.lit(step_us).cast("bigint"))).alias("__us"))
 
     seen = readings.where(F.col(time).isNotNull()).select(
-        *[F.col(k).alias(i) for k, i in zip(keys, ids)],
+        pack(keys).alias("__id"),
         to_us(F.col(time)).alias("__us"),
         F.coalesce(F.col(complete).cast("boolean"), F.lit(False)).alias("__ok"),
         *[F.col(a).alias(o) for a, o in zip(arrival, order)],
@@ -97,11 +97,9 @@ def regular_grid(
     )
     known = F.when(F.col("__state").isNotNull(), F.col("__tick"))
     summaries = per_tick.groupBy(*ids, "__shard").agg(F.max_by("__state", known).alias("__tail"), F.min_by(F.col("__state.tick"), known).alias("__head"))
-    carried = carry_scan(summaries, ids, "__shard", "__tail", "__before")
-    coming = carry_scan(summaries, ids, "__shard", "__head", "__after", reverse=True)
-    carries = join_on(carried, coming, [*ids, "__shard"])
+    carries = carry_scan(summaries, ids, "__shard", {"__before": "__tail"}, {"__after": "__head"})
 
-    filled = join_on(per_tick, carries, [*ids, "__shard"])
+    filled = per_tick.join(carries, [*ids, "__shard"], "left")
     along = W.partitionBy(*ids, "__shard").orderBy("__tick")
     filled = filled.withColumns(
         {
@@ -112,7 +110,7 @@ def regular_grid(
     here = F.coalesce(F.col("__prev.tick") == F.col("__tick"), F.lit(False))
     steps = lambda c: floor_div(c, step_us)
     return filled.select(
-        *[F.col(i).alias(k) for k, i in zip(keys, ids)],
+        *unpack("__id", keys),
         us_to_ms(F.col("__tick")).alias("tick_ms"),
         (~here).alias("is_missing"),
         F.col("__n").alias("readings"),

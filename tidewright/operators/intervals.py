@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.functions.times import DAY_US, HOUR_US, floor_div, to_us, us_to_ms
-from tidewright.operators.scan import carry_scan, join_on
+from tidewright.operators.scan import carry_scan, pack, unpack
 
 HALF_US = 2
 
@@ -53,7 +53,7 @@ def _unite_batches(ids: Sequence[str]):
 
 
 def set_runs(intervals: DataFrame, keys: Sequence[str], start: str, end: str, tolerance_us: int, shard_us: int = 64 * DAY_US) -> DataFrame:
-    """The set runs of every (entity, shard): ``__k*``, ``__shard``, ``__low``, ``__high`` (absolute units), and
+    """The set runs of every (entity, shard): ``__id`` (packed keys), ``__shard``, ``__low``, ``__high`` (absolute units), and
     ``__prev``, the end of the set run before it in the entity, whichever shard that is in."""
     if tolerance_us < 0:
         raise ValueError("the tolerance must not be negative")
@@ -75,7 +75,9 @@ def set_runs(intervals: DataFrame, keys: Sequence[str], start: str, end: str, to
         (F.greatest(F.col("__a"), floor) - floor).alias("__low"),
         (F.least(F.col("__b"), floor + F.lit(unit).cast("bigint")) - floor).alias("__high"),
     )
-    united = pieces.mapInPandas(_unite_batches(ids), pieces.schema).repartition(*ids, "__shard")
+    united = pieces.mapInPandas(_unite_batches(ids), pieces.schema)
+    ids, fields = ["__id"], ids
+    united = united.select(pack(fields).alias("__id"), "__shard", "__low", "__high").repartition(*ids, "__shard")
 
     along = W.partitionBy(*ids, "__shard").orderBy("__low", "__high")
     reach = F.max("__high").over(along.rowsBetween(W.unboundedPreceding, -1))
@@ -85,9 +87,9 @@ def set_runs(intervals: DataFrame, keys: Sequence[str], start: str, end: str, to
     runs = runs.select(*ids, "__shard", (F.col("__low") + floor).alias("__low"), (F.col("__high") + floor).alias("__high"))
 
     ends = runs.groupBy(*ids, "__shard").agg(F.max("__high").alias("__end"))
-    carried = carry_scan(ends, ids, "__shard", "__end", "__before")
+    carried = carry_scan(ends, ids, "__shard", {"__before": "__end"})
     order = W.partitionBy(*ids, "__shard").orderBy("__low")
-    joined = join_on(runs, carried, [*ids, "__shard"])
+    joined = runs.join(carried, [*ids, "__shard"], "left")
     return joined.select(*ids, "__shard", "__low", "__high", F.coalesce(F.lag("__high").over(order), F.col("__before")).alias("__prev"))
 
 
@@ -99,12 +101,11 @@ def interval_gaps(intervals: DataFrame, keys: Sequence[str], start: str, end: st
     left out; NULL keys are an entity like any other; repeated rows change nothing; an empty table
     gives no rows. Other columns are ignored, whatever their names.
     """
-    ids = [f"__k{i}" for i in range(len(keys))]
     runs = set_runs(intervals, keys, start, end, tolerance_us, shard_us)
     gaps = runs.where(F.col("__prev") < F.col("__low"))
     ended = floor_div(F.col("__prev") - 1, HALF_US) - F.lit(tolerance_us)
     return gaps.select(
-        *[F.col(i).alias(k) for k, i in zip(keys, ids)],
+        *unpack("__id", keys),
         us_to_ms(ended).alias("period_end_ms"),
         us_to_ms(floor_div(F.col("__low"), HALF_US)).alias("next_start_ms"),
     )
@@ -112,18 +113,17 @@ def interval_gaps(intervals: DataFrame, keys: Sequence[str], start: str, end: st
 
 def interval_periods(intervals: DataFrame, keys: Sequence[str], start: str, end: str, tolerance_us: int = 6 * HOUR_US, shard_us: int = 64 * DAY_US) -> DataFrame:
     """The continuous periods of each entity: keys, ``period_start_ms``, ``period_end_ms``; cases as in ``interval_gaps``."""
-    ids = [f"__k{i}" for i in range(len(keys))]
     runs = set_runs(intervals, keys, start, end, tolerance_us, shard_us)
     fresh = F.col("__prev").isNull() | (F.col("__prev") < F.col("__low"))
     runs = runs.withColumn("__start", F.when(fresh, F.col("__low")))
-    heads = runs.groupBy(*ids, "__shard").agg(F.max("__start").alias("__head"))
-    carried = carry_scan(heads, ids, "__shard", "__head", "__open")
-    order = W.partitionBy(*ids, "__shard").orderBy("__low").rowsBetween(W.unboundedPreceding, 0)
-    joined = join_on(runs, carried, [*ids, "__shard"])
+    heads = runs.groupBy("__id", "__shard").agg(F.max("__start").alias("__head"))
+    carried = carry_scan(heads, ["__id"], "__shard", {"__open": "__head"})
+    order = W.partitionBy("__id", "__shard").orderBy("__low").rowsBetween(W.unboundedPreceding, 0)
+    joined = runs.join(carried, ["__id", "__shard"], "left")
     joined = joined.withColumn("__from", F.coalesce(F.last("__start", ignorenulls=True).over(order), F.col("__open")))
-    periods = joined.groupBy(*ids, "__from").agg(F.max("__high").alias("__high"))
+    periods = joined.groupBy("__id", "__from").agg(F.max("__high").alias("__high"))
     return periods.select(
-        *[F.col(i).alias(k) for k, i in zip(keys, ids)],
+        *unpack("__id", keys),
         us_to_ms(floor_div(F.col("__from"), HALF_US)).alias("period_start_ms"),
         us_to_ms(floor_div(F.col("__high") - 1, HALF_US) - F.lit(tolerance_us)).alias("period_end_ms"),
     )

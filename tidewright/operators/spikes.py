@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.functions.times import DAY_US, HOUR_US, floor_div, to_us, us_to_ms
-from tidewright.operators.scan import join_on
+from tidewright.operators.scan import pack, unpack
 
 #: Fences in interquartile ranges beyond the quartiles.
 WICK_FENCE = 8.0
@@ -63,12 +63,12 @@ def reading_features(
     ``columns`` names open, high, low, close and volume. Copies of one reading (same keys and time) count once, the first
     by ``arrival``.
     """
-    ids = [f"__k{i}" for i in range(len(keys))]
+    ids = ["__id"]
     order = [f"__a{i}" for i in range(len(arrival))]
     names = ("open", "high", "low", "close", "volume")
     us = to_us(F.col(time))
     rows = readings.where(F.col(time).isNotNull() & F.coalesce(F.col(complete).cast("boolean"), F.lit(False))).select(
-        *[F.col(k).alias(i) for k, i in zip(keys, ids)],
+        pack(keys).alias("__id"),
         us.alias("__us"),
         *[F.col(a).alias(o) for a, o in zip(arrival, order)],
         *[F.col(columns[n]).cast("double").alias(n) for n in names],
@@ -136,8 +136,8 @@ def score_readings(features: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Distance of each feature from the quartiles of its source and hour, in interquartile ranges (``z_*``)."""
     per_source = fences(features, ids)
     shards = features.select(*ids, "__shard").distinct()
-    placed = join_on(shards, per_source, ids)  # one row per shard: a hot source stays spread over its shards
-    rows = join_on(features, placed, [*ids, "__shard"])
+    placed = shards.join(per_source, ids)  # one row per shard: a hot source stays spread over its shards
+    rows = features.join(placed, [*ids, "__shard"])
     hourly, whole = F.element_at("__fences", F.col("__hour")), F.element_at("__fences", F.lit(-1))
     rows = rows.withColumn("__q", F.when(hourly["n"] >= HOUR_READINGS, hourly).otherwise(whole)).drop("__fences")
     scores = {}
@@ -164,7 +164,7 @@ def implausible_readings(
     price of the candle, and negative volumes; one row per reading and measure however often it was
     delivered; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    ids = [f"__k{i}" for i in range(len(keys))]
+    ids = ["__id"]
     features = reading_features(readings, keys, time, complete, columns, arrival)
     scored = score_readings(features, ids)
     beyond = lambda c, k: F.coalesce(F.abs(F.col(c)) > k, F.lit(False))
@@ -174,4 +174,4 @@ def implausible_readings(
     price = (F.col("z_up") > WICK_FENCE) | (F.col("z_down") > WICK_FENCE)
     flags = F.array(flag("price", F.coalesce(price, F.lit(False))), flag("volume", beyond("z_level", VOLUME_FENCE)))
     out = scored.select(*ids, "__us", F.explode(flags).alias("f")).where(F.col("f.impossible") | F.col("f.stuck") | F.col("f.spike"))
-    return out.select(*[F.col(i).alias(k) for k, i in zip(keys, ids)], us_to_ms(F.col("__us")).alias("open_time_ms"), "f.measure", "f.impossible", "f.stuck", "f.spike")
+    return out.select(*unpack("__id", keys), us_to_ms(F.col("__us")).alias("open_time_ms"), "f.measure", "f.impossible", "f.stuck", "f.spike")
