@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import at, ms, rows
 from tidewright.functions.times import HOUR_US
-from tidewright.operators import panel, windows
+from tidewright.operators import generators, panel, windows
 from tidewright.plans.pipeline import _split
 
 CANDLE = "e bigint, asset string, t timestamp_ntz, close_t timestamp_ntz, open double, high double, low double, close double, volume double"
@@ -179,5 +179,27 @@ def test_steps_for_days():
 
 def test_split_of_the_plans_is_a_partition(spark):
     r = simple_returns(spark, 60).withColumnRenamed("e", "panel_id")
-    index = windows.window_index(windows.candidate_windows(r, "panel_id", 4, 2), "panel_id")
+    index = windows.window_index(windows.candidate_windows(r, "panel_id", 4, 2), "panel_id", ["target_start_ms"])
     assert {x.split for x in _split(index).collect()} == set(windows.SPLITS)
+
+
+@pytest.mark.parametrize("size", [3, 7])
+def test_shards_change_nothing(spark, monkeypatch, size):
+    import random
+
+    rng = random.Random(size)
+    data = [(e, ms(at(6 * i)), rng.random() + 1, rng.random() + 1, rng.random() < 0.93, 2.0, 1.0, rng.random(), 2.0, 1.0, rng.random()) for e in (1, 2) for i in range(60)]
+    cols = "e bigint, tick_ms bigint, a_close double, b_close double, is_complete boolean, a_high double, a_low double, a_volume double, b_high double, b_low double, b_volume double"
+    df = spark.createDataFrame(data, cols)
+
+    def everything():
+        ret = panel.log_returns(df, "e", ("a", "b"))
+        index = windows.condition_features(ret, "e", ("a", "b"), 4, 2, 2, 3, 4)
+        split = index.withColumn("split", F.when(F.col("sample_id") % 3 == 0, "train").otherwise("test"))
+        frames = ret, index, windows.covered_returns(ret, split, "e", 4, 2), windows.window_audit(windows.candidate_windows(ret, "e", 4, 2), "e"), generators.block_bootstrap(ret, "e", ["a_log_return"], 3, 4, 5)
+        kept = [f.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes]) for f in frames]
+        return [rows(f.select(*sorted(f.columns))) for f in kept]
+
+    whole = everything()
+    monkeypatch.setattr(windows, "SHARD_TICKS", size)
+    assert everything() == whole and all(whole)

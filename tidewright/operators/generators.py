@@ -9,11 +9,12 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.functions.prng import draw
+from tidewright.operators.ranks import ranked
 from tidewright.operators.scan import join_on
+from tidewright.operators.windows import at_home, frames, numbered, sharded
 
 
 def contiguous_blocks(returns: DataFrame, entity: str, columns: Sequence[str], length: int) -> DataFrame:
@@ -23,12 +24,11 @@ def contiguous_blocks(returns: DataFrame, entity: str, columns: Sequence[str], l
     """
     if length < 1:
         raise ValueError("blocks have at least one step")
-    along = W.partitionBy(entity).orderBy("tick_no")
-    ahead = along.rowsBetween(0, length - 1)
+    ahead = frames(entity).rowsBetween(0, length - 1)
     whole = F.sum(F.col("returns_valid").cast("int")).over(ahead) == length
     payload = F.collect_list(F.struct(*columns)).over(ahead)
-    starts = returns.withColumns({"__whole": whole, "__steps": payload}).where("__whole")
-    starts = starts.withColumn("block_no", F.row_number().over(along) - 1)
+    starts = sharded(returns, entity, 0, length - 1).withColumns({"__whole": whole, "__steps": payload}).where(F.col("__whole") & at_home())
+    starts = numbered(starts, entity, "tick_no", "block_no")
     return starts.select(entity, F.col("block_no").cast("bigint").alias("block_no"), F.posexplode("__steps").alias("block_step", "__v")).select(entity, "block_no", "block_step", *[F.col(f"__v.{c}").alias(c) for c in columns])
 
 
@@ -48,10 +48,12 @@ def nested_subsets(pool: DataFrame, groups: Sequence[str], key: str, ratios: Seq
     """Nested random subsets of each group: a row per ratio and member. Sizes are rounded half to even."""
     if not ratios or min(ratios) <= 0 or max(ratios) > 1:
         raise ValueError("ratios must be above 0 and at most 1")
-    order = W.partitionBy(*groups).orderBy(draw(seed, F.col(key)), key)
-    ranked = pool.select(*groups, key).distinct().withColumns({"__rank": F.row_number().over(order), "__n": F.count(F.lit(1)).over(W.partitionBy(*groups))})
+    drawn = pool.select(*groups, key).distinct().withColumn("__u", draw(seed, F.col(key)).cast("double"))
+    sizes = drawn.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+    placed = ranked(drawn, groups, "__u", [key], "__rank").withColumn("__rank", F.col("__rank") + 1)
+    placed = join_on(placed, sizes, groups)
     labels = F.array(*[F.struct(F.lit(f"{round(r * 100):03d}pct").alias("subset"), F.lit(float(r)).alias("ratio")) for r in sorted(set(ratios))])
-    each = ranked.select("*", F.explode(labels).alias("__s"))
+    each = placed.select("*", F.explode(labels).alias("__s"))
     return each.where(F.col("__rank") <= F.bround(F.col("__n") * F.col("__s.ratio"))).select(*groups, key, F.col("__s.subset").alias("subset"))
 
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.functions.times import HOUR_US, MS, to_us, us_to_ms
+from tidewright.operators.windows import at_home, frames, sharded
 
 #: The candle intervals and their length in milliseconds.
 INTERVAL_MS = {
@@ -103,7 +103,8 @@ def candle_audit(candles: DataFrame, keys: Sequence[str], open_time: str, length
 
 
 def build_panel(candles: DataFrame, entity: str, asset: str, assets: Sequence[str], open_time: str, close_time: str, values: Sequence[str] = VALUES, interval: str = "6h") -> DataFrame:
-    """A row per entity and tick of the calendar that both assets cover, each asset's candle beside it or empty.
+    """A row per entity and tick of the calendar that both assets cover, each asset's candle beside it or empty, and the
+    number of the tick and of all ticks.
 
     ``candles`` has one candle per entity, asset and open time. Candles off the grid fit no tick. Calendar and candles meet
     in one shuffle, as rows of the same aggregate. Entities without common coverage give no rows.
@@ -117,14 +118,16 @@ def build_panel(candles: DataFrame, entity: str, asset: str, assets: Sequence[st
     cover = rows.groupBy("entity").agg(*[f(own(a, "us")).alias(f"{n}_{i}") for i, a in enumerate(assets) for n, f in (("lo", F.min), ("hi", F.max))])
     lo, hi = F.greatest("lo_0", "lo_1"), F.least("hi_0", "hi_1")
     cover = cover.where(F.col("lo_0").isNotNull() & F.col("lo_1").isNotNull() & (lo <= hi))
-    ticks = cover.select("entity", F.explode(F.sequence(lo, hi, F.lit(step).cast("bigint"))).alias("us"))
+    ticks = cover.select("entity", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(lo, hi, F.lit(step).cast("bigint"))).alias("us"))
     both = rows.unionByName(ticks, allowMissingColumns=True)
     candle = F.struct("close_us", *values)
     wide = both.groupBy("entity", "us").agg(
-        F.max(F.col("asset").isNull()).alias("in_calendar"), *[F.max_by(candle, F.when(F.col("asset") == a, F.lit(1))).alias(f"c{i}") for i, a in enumerate(assets)]
+        F.max("lo").alias("lo"), F.max("hi").alias("hi"), *[F.max_by(candle, F.when(F.col("asset") == a, F.lit(1))).alias(f"c{i}") for i, a in enumerate(assets)]
     )
-    wide = wide.where("in_calendar")
-    out = [F.col("entity").alias(entity), us_to_ms(F.col("us")).alias("tick_ms"), us_to_ms(F.col("us") + F.lit(step - MS)).alias("expected_close_ms")]
+    wide = wide.where("lo is not null")  # a tick of the calendar
+    steps = lambda c: F.call_function("div", c, F.lit(step).cast("bigint"))
+    counts = [steps(F.col("us") - F.col("lo")).alias("tick_no"), (steps(F.col("hi") - F.col("lo")) + 1).alias("calendar_ticks")]
+    out = [F.col("entity").alias(entity), *counts, us_to_ms(F.col("us")).alias("tick_ms"), us_to_ms(F.col("us") + F.lit(step - MS)).alias("expected_close_ms")]
     complete = F.lit(True)
     for i, a in enumerate(assets):
         c = F.col(f"c{i}")
@@ -161,24 +164,31 @@ def panel_gaps(panel: DataFrame, candles: DataFrame, entity: str, asset: str, as
     return ticks.join(have, [entity, "tick_ms", "asset"], "left_anti")
 
 
-def log_returns(panel: DataFrame, entity: str, assets: Sequence[str]) -> DataFrame:
-    """Log returns from tick to tick; ``invalid_reason`` says why there is none (empty if there is)."""
-    along = W.partitionBy(entity).orderBy("tick_ms")
+def log_returns(panel: DataFrame, entity: str, assets: Sequence[str], interval: str = "6h") -> DataFrame:
+    """Log returns from tick to tick; ``invalid_reason`` says why there is none (empty if there is).
+
+    The panel has every tick of its calendar, so ``tick_no`` counts steps from an entity's first tick.
+    """
+    rows = panel
+    if "tick_no" not in panel.columns:
+        step = interval_us(interval) // MS
+        starts = panel.groupBy(entity).agg(F.min("tick_ms").alias("__from"))
+        rows = panel.join(starts, entity).withColumn("tick_no", F.call_function("div", F.col("tick_ms") - F.col("__from"), F.lit(step).cast("bigint")))
+    along = frames(entity)
     before = F.lag("is_complete").over(along)
     current = ~F.col("is_complete")
-    rows = panel.withColumns(
+    rows = sharded(rows, entity, 1, 0).withColumns(
         {
-            "__first": before.isNull(),
             "__reason": F.when(before.isNull(), F.lit("first_observation")).otherwise(
                 F.concat_ws("|", F.when(current, F.lit("current_incomplete")), F.when(~before, F.lit("previous_incomplete")))
             ),
             **{f"__p_{a}": F.lag(f"{a}_close").over(along) for a in assets},
-            "tick_no": (F.row_number().over(along) - 1).cast("bigint"),
         }
     )
+    rows = rows.where(at_home())
     valid = F.col("__reason") == ""
     returns = [F.when(valid, F.ln(F.col(f"{a}_close") / F.col(f"__p_{a}"))).alias(f"{a}_log_return") for a in assets]
-    rest = [c for c in panel.columns if c not in (entity, "tick_ms")]
+    rest = [c for c in panel.columns if c not in (entity, "tick_ms", "tick_no")]
     return rows.select(entity, "tick_ms", "tick_no", *returns, valid.alias("returns_valid"), F.col("__reason").alias("invalid_reason"), *rest)
 
 

@@ -1,7 +1,8 @@
 """Sliding condition and target windows, their features, purged temporal splits and training-only normalisation.
 
 A window is known at the last tick of its condition: frames look back ``c`` ticks for the condition and forward
-``t`` ticks for the target, so no arrays are built and all frames share one sort per entity.
+``t`` ticks for the target, so no arrays are built and all frames share one sort. Entities are cut into shards of ticks; the
+ticks within reach of a shard's frames are copied into it, so a long entity is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -12,28 +13,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.functions.times import floor_div
 from tidewright.operators.scan import join_on
 
 SPLITS = ("train", "purge_train_validation", "validation", "purge_validation_test", "test")
+#: Ticks of an entity that are framed in one task.
+SHARD_TICKS = 4_096
 
 
-def _frames(entity: str):
-    return W.partitionBy(entity).orderBy("tick_no")
+def sharded(rows: DataFrame, entity: str, before: int, after: int, position: str = "tick_no") -> DataFrame:
+    """Rows by (entity, ``__shard``), each shard with ``before`` and ``after`` more positions; ``at_home`` tells its own."""
+    at = F.col(position)
+    shards = F.sequence(floor_div(at - after, SHARD_TICKS), floor_div(at + before, SHARD_TICKS))
+    return rows.withColumn("__shard", F.explode(shards)).repartition(entity, "__shard")
 
 
-def candidate_windows(returns: DataFrame, entity: str, c: int, t: int, stride: int = 1, extra: dict[str, Column] | None = None) -> DataFrame:
+def at_home(position: str = "tick_no") -> Column:
+    return floor_div(F.col(position), SHARD_TICKS) == F.col("__shard")
+
+
+def frames(entity: str, position: str = "tick_no"):
+    """The window of an entity's shard; used by the columns that callers add to ``candidate_windows``."""
+    return W.partitionBy(entity, "__shard").orderBy(position)
+
+
+def numbered(rows: DataFrame, entity: str, position: str, out: str, spans: Sequence[str] = ()) -> DataFrame:
+    """Dense numbers from 0 within each entity by position, from counts per shard and ranks within it.
+
+    ``spans`` names columns whose least and greatest value in the entity are added as ``{column}_least`` and ``{column}_most``.
+    """
+    rows = rows.withColumn("__b", floor_div(F.col(position), SHARD_TICKS))
+    whole = W.partitionBy(entity)
+    earlier = whole.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    ends = [(f"{c}_{n}", f) for c in spans for n, f in (("least", F.min), ("most", F.max))]
+    found = [f(c).alias(f"{c}_{n}") for c in spans for n, f in (("least", F.min), ("most", F.max))]
+    counts = rows.groupBy(entity, "__b").agg(F.count(F.lit(1)).alias("__n"), *found)
+    counts = counts.select(entity, "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"), *[f(n).over(whole).alias(n) for n, f in ends])
+    number = F.col("__base") + F.row_number().over(W.partitionBy(entity, "__b").orderBy(position)) - 1
+    return rows.join(counts, [entity, "__b"]).withColumn(out, number.cast("bigint")).drop("__b", "__base")
+
+
+def candidate_windows(returns: DataFrame, entity: str, c: int, t: int, stride: int = 1, extra: dict[str, Column] | None = None, first: dict[str, Column] | None = None) -> DataFrame:
     """Every window that fits into the calendar of its entity, with the validity of both parts.
 
-    ``extra`` columns are evaluated at the last tick of the condition.
+    ``extra`` columns are evaluated at the last tick of the condition, over ``frames`` that reach ``c`` ticks back and ``t`` ahead;
+    ``first`` columns come before them. Rows without an entity are left out.
     """
     if min(c, t, stride) < 1:
         raise ValueError("window lengths and stride must be positive")
-    along = _frames(entity)
+    along = frames(entity)
     ok = F.col("returns_valid").cast("int")
-    rows = returns.withColumns(
+    if "calendar_ticks" not in returns.columns:
+        ends = returns.groupBy(entity).agg((F.max("tick_no") + 1).alias("calendar_ticks"))
+        returns = returns.join(ends, entity)
+    rows = sharded(returns, entity, c, t).withColumns(first or {})
+    rows = rows.withColumns(
         {
             "start_index": F.col("tick_no") - (c - 1),
-            "__last": F.count(F.lit(1)).over(W.partitionBy(entity)) - 1,
             "condition_valid": F.sum(ok).over(along.rowsBetween(1 - c, 0)) == c,
             "target_valid": F.coalesce(F.sum(ok).over(along.rowsBetween(1, t)) == t, F.lit(False)),
             "condition_start_ms": F.first("tick_ms").over(along.rowsBetween(1 - c, 0)),
@@ -43,16 +79,15 @@ def candidate_windows(returns: DataFrame, entity: str, c: int, t: int, stride: i
             **(extra or {}),
         }
     )
-    fits = (F.col("start_index") >= 0) & (F.col("tick_no") + t <= F.col("__last")) & (F.col("start_index") % stride == 0)
+    fits = (F.col("start_index") >= 0) & (F.col("tick_no") + t < F.col("calendar_ticks")) & (F.col("start_index") % stride == 0)
     names = ["start_index", "condition_start_ms", "condition_end_ms", "target_start_ms", "target_end_ms", "condition_valid", "target_valid"]
-    return rows.where(fits).select(entity, *names, *(extra or {}))
+    return rows.where(fits & at_home()).select(entity, *names, *(extra or {}))
 
 
-def window_index(candidates: DataFrame, entity: str) -> DataFrame:
+def window_index(candidates: DataFrame, entity: str, spans: Sequence[str] = ()) -> DataFrame:
     """The accepted windows with their dense number within the entity."""
     ok = candidates.where(F.col("condition_valid") & F.col("target_valid")).drop("condition_valid", "target_valid")
-    number = F.row_number().over(W.partitionBy(entity).orderBy("start_index")) - 1
-    return ok.withColumn("sample_id", number.cast("bigint"))
+    return numbered(ok, entity, "start_index", "sample_id", spans)
 
 
 def window_audit(candidates: DataFrame, entity: str) -> DataFrame:
@@ -75,7 +110,7 @@ def feature_columns(entity: str, assets: Sequence[str], c: int, volume_steps: in
     """The market-state features at the last tick of a condition of ``c`` steps: six per asset and two joint ones."""
     if correlation_steps > c or 2 * volume_steps > c:
         raise ValueError("the condition is too short for its features")
-    along = _frames(entity)
+    along = frames(entity)
     whole, recent = along.rowsBetween(1 - c, 0), along.rowsBetween(1 - volume_steps, 0)
     earlier = along.rowsBetween(1 - 2 * volume_steps, -volume_steps)
     out, sums, deviations = {}, [], []
@@ -101,12 +136,13 @@ def feature_columns(entity: str, assets: Sequence[str], c: int, volume_steps: in
     return out
 
 
-def condition_features(returns: DataFrame, entity: str, assets: Sequence[str], c: int, t: int, volume_steps: int, correlation_steps: int, periods_per_year: float) -> DataFrame:
+def condition_features(returns: DataFrame, entity: str, assets: Sequence[str], c: int, t: int, volume_steps: int, correlation_steps: int, periods_per_year: float, spans: Sequence[str] = ()) -> DataFrame:
     """Accepted windows with the features of their condition."""
-    along = _frames(entity).rowsBetween(W.unboundedPreceding, 0)
+    # a drawdown only compares levels within its window, so each shard adds up from its own start
+    along = frames(entity).rowsBetween(W.unboundedPreceding, 0)
     levels = {f"__s_{a}": F.sum(F.coalesce(F.col(f"{a}_log_return"), F.lit(0.0))).over(along) for a in assets}
     features = feature_columns(entity, assets, c, volume_steps, correlation_steps, periods_per_year)
-    return window_index(candidate_windows(returns.withColumns(levels), entity, c, t, 1, features), entity)
+    return window_index(candidate_windows(returns, entity, c, t, 1, features, levels), entity, spans)
 
 
 def assign_split(index: DataFrame, cuts: Sequence[Column]) -> DataFrame:
@@ -137,9 +173,9 @@ def split_audit(split: DataFrame, entity: str) -> DataFrame:
 def covered_returns(returns: DataFrame, split: DataFrame, entity: str, c: int, t: int, name: str = "train") -> DataFrame:
     """The ticks that lie in at least one window of a split, each once however many windows overlap there."""
     starts = split.where(F.col("split") == name).select(entity, F.col("start_index").alias("tick_no"), F.lit(1).alias("__starts"))
-    rows = join_on(returns, starts, [entity, "tick_no"])
-    covered = F.max("__starts").over(_frames(entity).rowsBetween(1 - c - t, 0))
-    return rows.withColumn("__covered", covered).where("__covered = 1").drop("__starts", "__covered")
+    rows = sharded(returns.join(starts, [entity, "tick_no"], "left"), entity, c + t - 1, 0)
+    covered = F.max("__starts").over(frames(entity).rowsBetween(1 - c - t, 0))
+    return rows.withColumn("__covered", covered).where((F.col("__covered") == 1) & at_home()).drop("__starts", "__covered", "__shard")
 
 
 def zscore_fit(rows: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:

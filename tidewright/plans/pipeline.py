@@ -19,6 +19,7 @@ C, T = 24, 12
 VOLUME_STEPS, CORRELATION_STEPS, PER_YEAR = 6, 12, 365.0 * 4
 #: Cuts of the split as shares of a panel's windows; the purges between them are dropped parts of that share.
 CUTS = (0.5, 0.6, 0.75, 0.85)
+SPAN = ["target_start_ms"]
 RETURNS = [f"{a}_log_return" for a in ASSETS]
 FEATURES = [
     *[f"{a}_{n}" for a in ASSETS for n in ("cumulative_log_return", "realized_volatility_ann", "current_drawdown", "log_volume_z", "log_volume_change", "mean_log_range")],
@@ -59,22 +60,17 @@ def returns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.window_index(windows.candidate_windows(returns(spark, sf), "panel_id", C, T), "panel_id")
+    return windows.window_index(windows.candidate_windows(returns(spark, sf), "panel_id", C, T), "panel_id", SPAN)
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.condition_features(returns(spark, sf), "panel_id", ASSETS, C, T, VOLUME_STEPS, CORRELATION_STEPS, PER_YEAR)
+    return windows.condition_features(returns(spark, sf), "panel_id", ASSETS, C, T, VOLUME_STEPS, CORRELATION_STEPS, PER_YEAR, SPAN)
 
 
 def _split(index: DataFrame) -> DataFrame:
     """Cuts at shares of the span from a panel's first to its last target start."""
-    from pyspark.sql import Window as W
-
-    whole = W.partitionBy("panel_id")
-    lo, hi = F.min("target_start_ms").over(whole), F.max("target_start_ms").over(whole)
-    spanned = index.withColumns({"__lo": lo, "__hi": hi})
-    cuts = [F.col("__lo") + F.floor((F.col("__hi") - F.col("__lo")) * F.lit(x)) for x in CUTS]
-    return windows.assign_split(spanned, cuts).drop("__lo", "__hi")
+    lo, hi = (F.col(f"target_start_ms_{n}") for n in ("least", "most"))
+    return windows.assign_split(index, [lo + F.floor((hi - lo) * F.lit(x)) for x in CUTS])
 
 
 # queries
@@ -108,7 +104,7 @@ def candle_resample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def panel_calendar(spark: SparkSession, sf: str) -> DataFrame:
-    return panels(spark, sf)
+    return panels(spark, sf).drop("tick_no", "calendar_ticks")
 
 
 def panel_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,7 +125,7 @@ def return_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def window_index(spark: SparkSession, sf: str) -> DataFrame:
-    return _index(spark, sf)
+    return _index(spark, sf).drop("target_start_ms_least", "target_start_ms_most")
 
 
 def window_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,9 +138,7 @@ def window_nonoverlap(spark: SparkSession, sf: str) -> DataFrame:
 
 def window_payload(spark: SparkSession, sf: str) -> DataFrame:
     """The target returns of every accepted window as arrays of a fixed length."""
-    from pyspark.sql import Window as W
-
-    along = W.partitionBy("panel_id").orderBy("tick_no").rowsBetween(1, T)
+    along = windows.frames("panel_id").rowsBetween(1, T)
     extra = {f"target_{a}": F.collect_list(F.round(f"{a}_log_return", 8)).over(along) for a in ASSETS}
     index = windows.window_index(windows.candidate_windows(returns(spark, sf), "panel_id", C, T, 1, extra), "panel_id")
     return index.select("panel_id", "sample_id", *extra)
@@ -164,13 +158,13 @@ def split_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 def interval_union_returns(spark: SparkSession, sf: str) -> DataFrame:
     rows = returns(spark, sf)
-    index = windows.window_index(windows.candidate_windows(rows, "panel_id", C, T), "panel_id")
+    index = windows.window_index(windows.candidate_windows(rows, "panel_id", C, T), "panel_id", SPAN)
     return windows.covered_returns(rows, _split(index), "panel_id", C, T).select("panel_id", "tick_ms")
 
 
 def _fit(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = returns(spark, sf)
-    index = windows.window_index(windows.candidate_windows(rows, "panel_id", C, T), "panel_id")
+    index = windows.window_index(windows.candidate_windows(rows, "panel_id", C, T), "panel_id", SPAN)
     return rows, windows.zscore_fit(windows.covered_returns(rows, _split(index), "panel_id", C, T), ["panel_id"], RETURNS)
 
 
@@ -196,9 +190,7 @@ def normalization_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 def price_reconstruction(spark: SparkSession, sf: str) -> DataFrame:
     """Closes of each target window rebuilt from the last close of its condition; the greatest relative error is 0."""
-    from pyspark.sql import Window as W
-
-    along = W.partitionBy("panel_id").orderBy("tick_no").rowsBetween(1, T)
+    along = windows.frames("panel_id").rowsBetween(1, T)
     extra = {}
     for a in ASSETS:
         extra[f"{a}_start"] = F.col(f"{a}_close")
@@ -211,24 +203,21 @@ def price_reconstruction(spark: SparkSession, sf: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of successive valid returns: first tick and length."""
-    from pyspark.sql import Window as W
-
-    along = W.partitionBy("panel_id").orderBy("tick_no")
-    valid = returns(spark, sf).where("returns_valid")
-    runs = valid.withColumn("__run", F.col("tick_no") - F.row_number().over(along))
+    valid = windows.numbered(returns(spark, sf).where("returns_valid"), "panel_id", "tick_no", "__no")
+    runs = valid.withColumn("__run", F.col("tick_no") - F.col("__no"))
     return runs.groupBy("panel_id", "__run").agg(F.min("tick_ms").alias("first_tick_ms"), F.count(F.lit(1)).alias("length")).drop("__run")
 
 
 def segmented_acf(spark: SparkSession, sf: str) -> DataFrame:
     """Autocorrelation of each panel's returns: pairs within segments only, one denominator for the whole series."""
-    from pyspark.sql import Window as W
-
-    along = W.partitionBy("panel_id", "__run").orderBy("tick_no")
-    valid = returns(spark, sf).where("returns_valid")
-    numbered = valid.withColumn("__run", F.col("tick_no") - F.row_number().over(W.partitionBy("panel_id").orderBy("tick_no")))
-    centred = numbered.withColumn("__d", F.col("btc_log_return") - F.avg("btc_log_return").over(W.partitionBy("panel_id")))
+    along = windows.frames("panel_id")
+    valid = returns(spark, sf).where("returns_valid").select("panel_id", "tick_no", "btc_log_return")
+    means = valid.groupBy("panel_id").agg(F.avg("btc_log_return").alias("__m"))
     lags = range(1, 6)
-    pairs = centred.withColumns({f"__l{k}": F.col("__d") * F.lag("__d", k).over(along) for k in lags})
+    centred = windows.sharded(valid.join(means, "panel_id"), "panel_id", max(lags), 0).withColumn("__d", F.col("btc_log_return") - F.col("__m"))
+    # k rows back is k ticks back exactly if no tick between is invalid, that is within the segment
+    paired = lambda k: F.when(F.col("tick_no") - F.lag("tick_no", k).over(along) == k, F.col("__d") * F.lag("__d", k).over(along))
+    pairs = centred.withColumns({f"__l{k}": paired(k) for k in lags}).where(windows.at_home())
     sums = pairs.groupBy("panel_id").agg(F.sum(F.col("__d") * F.col("__d")).alias("__v"), *[F.coalesce(F.sum(f"__l{k}"), F.lit(0.0)).alias(f"__l{k}") for k in lags])
     each = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(f"__l{k}").alias("s")) for k in lags])).alias("x")
     acf = F.when(F.col("__v") > 0, F.col("x.s") / F.col("__v")).otherwise(F.lit(0.0))
