@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators.radix import exact_percentiles, quantile_name
+from tidewright.operators.ranks import ranked
+from tidewright.operators.scan import join_on
 
 QUANTILES = (0.01, 0.05, 0.5, 0.95, 0.99)
 #: Estimated input from which exact quantiles are selected in passes over the data; below it one aggregate holds a group's values.
@@ -44,7 +47,7 @@ def quantile_columns(x: Column, quantiles: Sequence[float] = QUANTILES, prefix:
 
 def quantile_grid(x: Column, points: int = 1001) -> Column:
     """Quantiles at equally spaced levels from 0 to 1."""
-    return F.percentile(x, F.array(*[F.lit(i / (points - 1)) for i in range(points)]))
+    return F.percentile(x, F.lit(np.arange(points) / (points - 1)))  # one literal, not a thousand
 
 
 def is_large(df: DataFrame) -> bool:
@@ -63,9 +66,17 @@ def grouped_grid(df: DataFrame, groups: Sequence[str], value: str, points: int =
     """``groups`` and ``grid``, the quantile grid of each group."""
     if not is_large(df):
         return df.groupBy(*groups).agg(quantile_grid(F.col(value), points).alias("grid"))
-    levels = [i / (points - 1) for i in range(points)]
-    wide = exact_percentiles(df, groups, value, levels)
-    return wide.select(*groups, F.array(*[F.col(f"`{quantile_name(q)}`") for q in levels]).alias("grid"))
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, F.col(value).cast("double").alias("__x"))
+    placed = ranked(known, groups, "__x", [], "__rank").select(*groups, "__rank", "__x")
+    sizes = known.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+    at = (F.col("__n") - 1) * F.col("__i") / F.lit(points - 1)
+    wanted = sizes.select(*groups, "__n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("__i")).withColumn("__at", at)
+    wanted = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("__at").cast("bigint"), F.ceil("__at").cast("bigint")))).alias("__rank"))
+    # an order statistic weighs by how near its rank is to the level's; a level that meets a rank has that one alone
+    near = join_on(wanted, placed, [*groups, "__rank"], "inner").withColumn("__y", F.col("__x") * (1 - F.abs(F.col("__at") - F.col("__rank"))))
+    each = near.groupBy(*groups, "__i").agg(F.sum("__y").alias("__y"))
+    lists = each.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("__i", "__y"))).alias("__l"))
+    return lists.select(*groups, F.col("__l").getField("__y").alias("grid"))
 
 
 def grid_distance(a: Column, b: Column) -> Column:
