@@ -55,16 +55,30 @@ def is_large(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= LARGE_BYTES  # noqa: SLF001
 
 
-def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
-    """Exact quantiles per group: ``groups`` and one column for each. Same result by either way."""
-    if is_large(df):
+def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str, quantiles: Sequence[float], like: DataFrame | None = None) -> DataFrame:
+    """Exact quantiles per group: ``groups`` and one column for each. Same result by either way.
+
+    The way is chosen by the size of ``like``, where estimates of ``df`` itself mislead (joins multiply them).
+    """
+    if is_large(df if like is None else like):
         return exact_percentiles(df, groups, value, quantiles).drop("n_values")
     return df.groupBy(*groups).agg(*quantile_columns(F.col(value), quantiles))
 
 
-def grouped_grid(df: DataFrame, groups: Sequence[str], value: str, points: int = 1001) -> DataFrame:
-    """``groups`` and ``grid``, the quantile grid of each group."""
-    if not is_large(df):
+def quantiles_of(df: DataFrame, groups: Sequence[str], wanted: dict[str, tuple[str, float]], like: DataFrame | None = None) -> DataFrame:
+    """One quantile of each of several columns per group: ``wanted`` maps a name to its column and level."""
+    if not is_large(df if like is None else like):
+        return df.groupBy(*groups).agg(*[quantile(F.col(c), q).alias(n) for n, (c, q) in wanted.items()])
+    out = None
+    for n, (c, q) in wanted.items():
+        one = exact_percentiles(df, groups, c, [q]).drop("n_values").toDF(*groups, n)
+        out = one if out is None else join_on(out, one, groups, "inner") if groups else out.crossJoin(F.broadcast(one))  # one row
+    return out
+
+
+def grouped_grid(df: DataFrame, groups: Sequence[str], value: str, points: int = 1001, like: DataFrame | None = None) -> DataFrame:
+    """``groups`` and ``grid``, the quantile grid of each group; ``like`` as in ``grouped_quantiles``."""
+    if not is_large(df if like is None else like):
         return df.groupBy(*groups).agg(quantile_grid(F.col(value), points).alias("grid"))
     known = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, F.col(value).cast("double").alias("__x"))
     placed = ranked(known, groups, "__x", [], "__rank").select(*groups, "__rank", "__x")

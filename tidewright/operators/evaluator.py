@@ -138,34 +138,35 @@ def stress_flags(paths: DataFrame, assets: dict[str, str], window: int, stress_q
     corr = F.try_divide(F.covar_samp(x, y).over(frame), F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame))
     rows = paths.withColumns({**sds, "correlation": corr, "__no": F.row_number().over(w)}).where(F.col("__no") >= window)
     ref = rows.where(F.col("side") == REFERENCE)
-    medians = ref.agg(*[stats.quantile(F.col(f"__v_{a}"), 0.5).alias(f"__m_{a}") for a in assets])
+    medians = stats.quantiles_of(ref, [], {f"__m_{a}": (f"__v_{a}", 0.5) for a in assets}, paths)
     rows = rows.crossJoin(F.broadcast(medians))  # one row
     parts = [F.col(f"__v_{a}") / F.when(F.col(f"__m_{a}") == 0, F.lit(1.0)).otherwise(F.col(f"__m_{a}")) for a in assets]
     rows = rows.withColumn("stress_score", (parts[0] + parts[1]) / 2)
-    limit = rows.where(F.col("side") == REFERENCE).agg(stats.quantile(F.col("stress_score"), stress_quantile).alias("stress_threshold"))
+    limit = stats.grouped_quantiles(rows.where(F.col("side") == REFERENCE), [], "stress_score", [stress_quantile], paths).toDF("stress_threshold")
     rows = rows.crossJoin(F.broadcast(limit))  # one row
     return rows.withColumn("stressed", F.col("stress_score") >= F.col("stress_threshold"))
 
 
-def rolling_correlation_summary(flags: DataFrame) -> DataFrame:
+def rolling_correlation_summary(flags: DataFrame, paths: DataFrame) -> DataFrame:
     c = F.col("correlation")
-    return flags.groupBy("side").agg(
+    cuts = stats.grouped_quantiles(flags, ["side"], "correlation", (0.05, 0.5, 0.95), paths).toDF("side", "rolling_q05", "rolling_q50", "rolling_q95")
+    base = flags.groupBy("side").agg(
         F.avg(c).alias("rolling_mean"),
         F.when(F.count(c) > 0, stats.sample_sd(c)).alias("rolling_standard_deviation"),
-        *stats.quantile_columns(c, (0.05, 0.5, 0.95), "rolling_"),
         (F.count(c) / F.count(F.lit(1))).alias("valid_fraction"),
         F.avg(F.when(~F.col("stressed"), c)).alias("calm_correlation"),
         F.avg(F.when(F.col("stressed"), c)).alias("stress_correlation"),
         F.avg(F.col("stressed").cast("double")).alias("stress_frequency"),
     )
+    return base.join(cuts, "side")
 
 
 def joint_drops(paths: DataFrame, assets: dict[str, str], drop_quantile: float, tail_quantile: float) -> DataFrame:
     """Contemporaneous correlation, joint drops below the reference's quantiles, and lower-tail dependence by each side's own."""
     x, y = assets.values()
-    ref = paths.where(F.col("side") == REFERENCE).agg(*[stats.quantile(F.col(c), drop_quantile).alias(f"joint_drop_threshold_{a}") for a, c in assets.items()])
-    own = paths.groupBy("side").agg(*[stats.quantile(F.col(c), tail_quantile).alias(f"__t_{a}") for a, c in assets.items()])
-    rows = paths.join(own, "side").crossJoin(F.broadcast(ref))  # one row
+    limits = stats.quantiles_of(paths.where(F.col("side") == REFERENCE), [], {f"joint_drop_threshold_{a}": (c, drop_quantile) for a, c in assets.items()})
+    own = stats.quantiles_of(paths, ["side"], {f"__t_{a}": (c, tail_quantile) for a, c in assets.items()})
+    rows = paths.join(own, "side").crossJoin(F.broadcast(limits))  # one row
     below = lambda prefix: (F.col(x) <= F.col(f"{prefix}{list(assets)[0]}")) & (F.col(y) <= F.col(f"{prefix}{list(assets)[1]}"))
     share = lambda c: F.avg(c.cast("double"))
     return rows.groupBy("side").agg(
@@ -179,11 +180,11 @@ def joint_drops(paths: DataFrame, assets: dict[str, str], drop_quantile: float,
 def cross_asset_report(paths: DataFrame, assets: dict[str, str], window: int = 12, stress_quantile: float = 0.9, drop_quantile: float = 0.05, tail_quantile: float = 0.05) -> DataFrame:
     """Dependence between the two assets of each candidate against the reference."""
     flags = stress_flags(paths, assets, window, stress_quantile)
-    summary = joint_drops(paths, assets, drop_quantile, tail_quantile).join(rolling_correlation_summary(flags), "side")
+    summary = joint_drops(paths, assets, drop_quantile, tail_quantile).join(rolling_correlation_summary(flags, paths), "side")
     shared = [f"joint_drop_threshold_{a}" for a in assets]
     report = against_reference(summary, [], shared)
     names = ["correlation", "joint_drop_probability", "lower_tail_dependence", "rolling_mean", "calm_correlation", "stress_correlation", "stress_frequency"]
-    grids = flags.where("correlation is not null").groupBy("side").agg(stats.quantile_grid(F.col("correlation")).alias("grid"))
+    grids = stats.grouped_grid(flags.where("correlation is not null").select("side", "correlation"), ["side"], "correlation", like=paths)
     w = against_reference(grids, []).select("candidate", stats.grid_distance(F.col("candidate_grid"), F.col("reference_grid")).alias("rolling_correlation_wasserstein_1"))
     report = report.withColumns(errors(report, names)).join(w, "candidate", "left")
     return report.withColumn("asset_pair", F.lit("-".join(assets)))
@@ -195,9 +196,9 @@ def regimes(long: DataFrame) -> DataFrame:
     A path's volatility is the mean over assets of its deviation relative to the reference's median.
     """
     sds = long.groupBy("side", "path_id", "asset").agg(stats.sample_sd(F.col("x")).alias("sd"))
-    med = stats.grouped_quantiles(sds.where(F.col("side") == REFERENCE), ["asset"], "sd", [0.5]).toDF("asset", "__m")
+    med = stats.grouped_quantiles(sds.where(F.col("side") == REFERENCE), ["asset"], "sd", [0.5], long).toDF("asset", "__m")
     level = sds.join(med, "asset").groupBy("side", "path_id").agg(F.avg(F.col("sd") / F.when(F.col("__m") == 0, F.lit(1.0)).otherwise(F.col("__m"))).alias("level"))
-    cuts = level.where(F.col("side") == REFERENCE).agg(stats.quantile(F.col("level"), 1 / 3).alias("__a"), stats.quantile(F.col("level"), 2 / 3).alias("__b"))
+    cuts = stats.grouped_quantiles(level.where(F.col("side") == REFERENCE), [], "level", [1 / 3, 2 / 3], long).toDF("__a", "__b")
     rows = level.crossJoin(F.broadcast(cuts))  # one row
     low, high = F.col("level") <= F.col("__a"), F.col("level") > F.col("__b")
     share = lambda c: F.avg(c.cast("double"))

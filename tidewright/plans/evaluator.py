@@ -76,7 +76,8 @@ def rolling_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stress_calm_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(E.rolling_correlation_summary(E.stress_flags(paths(spark, sf), ASSETS, CORR_WINDOW, 0.9)), 6)
+    rows = paths(spark, sf)
+    return _rounded(E.rolling_correlation_summary(E.stress_flags(rows, ASSETS, CORR_WINDOW, 0.9), rows), 6)
 
 
 def tail_dependence(spark: SparkSession, sf: str) -> DataFrame:
