@@ -197,9 +197,11 @@ def digests(documents: DataFrame, key: str, text: str) -> DataFrame:
 
     Written once, as its users read it several times and the forms are what costs.
     """
-    both = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.col(text).alias("__text"), unified(F.col(text)).alias("__form"))
-    seen = both.where(F.col("__form").rlike(r"[^\s\p{Cc}\p{Cf}\p{Zs}]"))
-    return cut_lineage(seen.select("__id", F.md5(F.col("__form")).alias("__f"), F.md5(F.col("__text")).alias("__t")))
+    form = unified(F.col(text))
+    seen = F.when(form.rlike(r"[^\s\p{Cc}\p{Cf}\p{Zs}]"), F.md5(form))
+    made = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("__id"), seen.alias("__f"), F.md5(F.col(text)).alias("__t"))
+    # filtered after it is written: a filter before would be pushed below the forms and make them once more
+    return cut_lineage(made).where(F.col("__f").isNotNull())
 
 
 def lookalike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
