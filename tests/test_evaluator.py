@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import stats
-from tidewright.operators import diversity, evaluator, generators, paths, ranks, risk
+from tidewright.operators import diversity, downstream, evaluator, generators, paths, ranks, risk
 from tidewright.operators.evaluator import REFERENCE
 
 ASSETS = {"A": "a", "B": "b"}
@@ -301,3 +301,34 @@ def test_quantiles_by_passes_equal_the_aggregate(spark, monkeypatch):
         assert a[0] == b[0] and a[1:] == pytest.approx(b[1:])
     for r in stats.grouped_grid(df, ["g"], "x", 11).collect():
         assert r.grid == pytest.approx(grid[r.g])
+
+
+def test_regression_scores(spark):
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=50)
+    p = y + rng.normal(size=50) * 0.1
+    df = spark.createDataFrame([("g", float(a), float(b)) for a, b in zip(y, p)] + [("flat", 1.0, 2.0)] * 3, "g string, y double, p double")
+    got = {r.g: r for r in downstream.regression_scores(df, ["g"]).collect()}
+    e = abs(p - y)
+    r = got["g"]
+    assert r.mae == pytest.approx(e.mean()) and r.rmse == pytest.approx(math.sqrt((e**2).mean())) and r.r2 == pytest.approx(1 - (e**2).sum() / ((y - y.mean()) ** 2).sum())
+    assert r.correlation == pytest.approx(np.corrcoef(y, p)[0, 1]) and r.mae_worst_10 == pytest.approx(e[y >= np.quantile(y, 0.9)].mean())
+    assert got["flat"].r2 == 0.0 and got["flat"].correlation == 0.0 and got["flat"].mae == 1.0
+
+
+def test_augmentation_comparison(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, i % 4 == 0, float(a), float(b), float(2 * a - b + 1)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    rows = spark.createDataFrame(data, "path_id bigint, held_out boolean, a double, b double, label double")
+    sets = spark.createDataFrame([(i, d) for i in range(200) for d in ("000pct", "100pct") if d == "100pct" or i < 100], "path_id bigint, dataset string")
+    got = {r.dataset: r for r in downstream.augmentation_comparison(rows, sets, ["a", "b"], "label").collect()}
+    assert set(got) == {"000pct", "100pct"} and all(r.n == 50 and r.r2 > 0.999 for r in got.values())
+
+
+def test_tuning_prefers_a_flow_that_can_learn(spark):
+    rng = np.random.default_rng(5)
+    cond = rng.normal(size=(300, 1))
+    x = np.hstack([cond * 3, cond * 3]) + rng.normal(size=(300, 2)) * 0.2
+    trials = downstream.tune_flow(spark, x, cond, [{"couplings": 1, "hidden": 1}, {"couplings": 4, "hidden": 16}], epochs=60).collect()
+    nll = {r.trial: r.nll for r in trials}
+    assert set(nll) == {0, 1} and nll[1] < nll[0]

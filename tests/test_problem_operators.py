@@ -6,8 +6,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from tests.helpers import at, ms, rows
 from tidewright.functions.times import DAY_US
 from tidewright.operators import dedup, grid, intervals, radix, rolling, spikes
@@ -222,7 +220,8 @@ MESSAGE = "row_id bigint, m string, rec bigint, __rank int"
 def test_keep_first_and_copies(spark):
     rng = random.Random(8)
     data = [(i, rng.choice(["a", "b", "c", None, "hot", "hot", "hot"]), rng.choice([1, 2, 3, None]), 0) for i in range(200)]
-    df = spark.createDataFrame(data, MESSAGE).drop("__rank")
+    df = spark.createDataFrame(data, MESSAGE)
+    assert dedup.keep_first(df, ["m"], ["rec", "row_id"]).columns == df.columns
     kept = {r.row_id for r in dedup.keep_first(df, ["m"], ["rec", "row_id"]).collect()}
     want = {d[0] for d in data if d[1] is None}
     for m in {d[1] for d in data} - {None}:
@@ -249,9 +248,9 @@ def test_accept_batch(spark):
 
 
 def test_symbols(spark):
-    instruments = spark.createDataFrame([("BTCUSDT", "BTC"), ("ETHBTC", "ETH")], "symbol string, base string")
+    instruments = spark.createDataFrame([("BTCUSDT", "BTC"), ("ETHBTC", "ETH"), (None, "x")], "symbol string, out string")
     spelled = ["btc/usdt", "BTC USDT", "Btc_Usdt", " btc-usdt ", None, "eth.btc", "zzz"]
-    df = spark.createDataFrame([(s,) for s in spelled], "symbol string")
+    df = spark.createDataFrame([(s, "clash", "clash") for s in spelled], "symbol string, out string, __canonical string")
     got = {r.symbol: r.out for r in dedup.resolve_symbols(df, instruments, "symbol", "out").collect()}
     assert got == {"btc/usdt": "BTCUSDT", "BTC USDT": "BTCUSDT", "Btc_Usdt": "BTCUSDT", " btc-usdt ": "BTCUSDT", None: None, "eth.btc": "ETHBTC", "zzz": "ZZZ"}
 
@@ -318,3 +317,9 @@ def test_faulty_readings_are_flagged(spark):
 def test_spikes_of_nothing(spark):
     assert flagged(spark, []) == set()
     assert flagged(spark, [[None, at(0), 1.0, 1.0, 1.0, 1.0, None, True, None, "x"], [1, None, 1.0, 0.0, 1.0, 1.0, 1.0, True, 1, "x"]]) == set()
+
+
+def test_reserved_names_are_refused(spark):
+    df = spark.createDataFrame([("a", 1.0)], "n string, x double")
+    with pytest.raises(ValueError):
+        radix.digit_histogram(df, ["n"], "x")

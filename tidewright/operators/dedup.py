@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from tidewright.operators.scan import join_on
 
 
+_RANK, _CANONICAL, _LISTED = "__dedup_rank", "__dedup_canonical", "__dedup_listed"
+
+
 def _identified(rows: DataFrame, identifier: Sequence[str]) -> Column:
     known = F.lit(True)
     for c in identifier:
@@ -31,8 +34,8 @@ def keep_first(rows: DataFrame, identifier: Sequence[str], arrival: Sequence[str
     """
     known = _identified(rows, identifier)
     order = W.partitionBy(*identifier).orderBy(*[F.col(a).asc_nulls_last() for a in arrival])
-    ranked = rows.where(known).withColumn("__rank", F.row_number().over(order))
-    return ranked.where(F.col("__rank") == 1).drop("__rank").unionByName(rows.where(~known))
+    ranked = rows.where(known).withColumn(_RANK, F.row_number().over(order))
+    return ranked.where(F.col(_RANK) == 1).drop(_RANK).unionByName(rows.where(~known))
 
 
 def further_copies(rows: DataFrame, identifier: Sequence[str], arrival: Sequence[str], row_id: str) -> DataFrame:
@@ -66,7 +69,6 @@ def resolve_symbols(rows: DataFrame, instruments: DataFrame, spelling: str, out:
     The list of instruments joins by its canonical form, of which the least symbol counts. Spark broadcasts it
     if it is small; a spelling that is in canonical form already resolves to the same group either way.
     """
-    listed = instruments.groupBy(canonical_symbol(F.col("symbol")).alias("__canonical")).agg(F.min("symbol").alias(out))
-    keyed = rows.withColumn("__canonical", canonical_symbol(F.col(spelling)))
-    joined = keyed.join(listed, "__canonical", "left")
-    return joined.withColumn(out, F.coalesce(out, "__canonical")).drop("__canonical")
+    listed = instruments.where(F.col("symbol").isNotNull()).groupBy(canonical_symbol(F.col("symbol")).alias(_CANONICAL)).agg(F.min("symbol").alias(_LISTED))
+    joined = rows.withColumn(_CANONICAL, canonical_symbol(F.col(spelling))).join(listed, _CANONICAL, "left")
+    return joined.withColumn(out, F.coalesce(_LISTED, _CANONICAL)).drop(_CANONICAL, _LISTED)

@@ -96,12 +96,10 @@ def pooled_acf(long: DataFrame, groups: Sequence[str], path: Sequence[str], lags
 
     Returns groups, ``series``, ``lag`` and ``acf`` (0 where a side has no variance).
     """
-    whole = W.partitionBy(*groups)
     w = along(path, step)
     names = list(transforms)
     rows = long.withColumns({f"__y{i}": transforms[n] for i, n in enumerate(names)})
     means = rows.groupBy(*groups).agg(*[F.avg(f"__y{i}").alias(f"__m{i}") for i in range(len(names))])
-    del whole
     rows = rows.join(means, list(groups))  # one row per group
     rows = rows.withColumns({f"__d{i}": F.col(f"__y{i}") - F.col(f"__m{i}") for i in range(len(names))})
     cells = [(i, k) for i in range(len(names)) for k in range(1, lags + 1)]

@@ -29,6 +29,12 @@ SUMMARY_ERROR = 2.0**-13
 BROADCAST_ROWS = 100_000
 SALTS = 16
 _INFINITY = 2047 << 52
+_RESERVED = {"digits", "n", "prefix", "targets", "n_values"}
+
+
+def _free(groups: Sequence[str]) -> None:
+    if taken := _RESERVED & set(groups):
+        raise ValueError(f"groups may not be named {', '.join(sorted(taken))}")
 
 
 def quantile_name(q: float) -> str:
@@ -48,6 +54,7 @@ def digit_histogram(values: DataFrame, groups: Sequence[str], value: str, bits:
     A group without any value has one row with NULL digits and n = 0. Add a day or batch to ``groups`` for one summary
     of each; ``merge_histograms`` adds them up.
     """
+    _free(groups)
     if not 12 <= bits <= KEY_BITS:
         raise ValueError("bits must be between 12 and 64")
     keyed = with_ordered_key(values.select(*groups, F.col(value).alias("__value")), "__value", "__key")
@@ -136,6 +143,7 @@ def exact_percentiles(values: DataFrame, groups: Sequence[str], value: str, quan
     for each group and quantile) are written once and sent to all tasks if their counted number allows it;
     otherwise the values meet them in a salted shuffle join. Defined results as in ``histogram_percentiles``.
     """
+    _free(groups)
     if sum(digits) != KEY_BITS:
         raise ValueError("the digits must add up to 64 bits")
     keyed = with_ordered_key(values.select(*groups, F.col(value).alias("__value")), "__value", "__key").drop("__value")

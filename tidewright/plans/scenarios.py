@@ -12,6 +12,8 @@ from tidewright.operators import evaluator as E
 from tidewright.operators import generators as G
 from tidewright.operators import ranks
 from tidewright.operators import risk as R
+from tidewright.operators.downstream import augmentation_comparison, regression_scores, tune_flow
+from tidewright.operators.paths import path_features
 from tidewright.plans import evaluator as PE
 from tidewright.plans import pipeline as PP
 from tidewright.sources.tables import table
@@ -140,8 +142,6 @@ def exact_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def discriminator(spark: SparkSession, sf: str) -> DataFrame:
-    from tidewright.operators.paths import path_features
-
     features = path_features(PE.paths(spark, sf), ASSETS, keep=["side"])
     columns = [c for c in features.columns if c not in ("path_id", "side")]
     return D.discriminator(features, columns, ["block_bootstrap", "conditional_flow", "student_cvae", "gaussian_walk", "frozen_last_value"])
@@ -212,33 +212,50 @@ def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """A line fitted on the reference predicts maximum drawdown from loss; errors per side and target, tails included."""
     rows = PE.losses(spark, sf).where(F.col("maximum_drawdown").isNotNull()).select("side", "target", F.col("loss").alias("x"), F.col("maximum_drawdown").alias("y"))
     fit = rows.where(F.col("side") == E.REFERENCE).groupBy("target").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
-    tails = rows.groupBy("side", "target").agg(F.percentile("y", F.lit(0.9)).alias("q90"), F.percentile("y", F.lit(0.95)).alias("q95"), F.avg("y").alias("my"))
-    scored = rows.join(fit, "target").join(tails, ["side", "target"]).withColumn("p", F.col("a") + F.col("b") * F.col("x"))
-    e, y = F.abs(F.col("p") - F.col("y")), F.col("y")
-    sst = F.sum(F.pow(y - F.col("my"), F.lit(2.0)))
-    out = scored.groupBy("side", "target").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(e).alias("mae"),
-        F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.when(sst > 0, 1 - F.sum(e * e) / sst).otherwise(F.lit(0.0)).alias("r2"),
-        F.coalesce(F.try_divide(F.covar_pop("p", "y"), F.stddev_pop("p") * F.stddev_pop("y")), F.lit(0.0)).alias("correlation"),
-        F.avg(F.when(y >= F.col("q90"), e)).alias("mae_worst_10"),
-        F.avg(F.when(y >= F.col("q95"), e)).alias("mae_worst_5"),
-    )
-    return _rounded(out, 6)
+    scored = rows.join(fit, "target").withColumn("p", F.col("a") + F.col("b") * F.col("x"))
+    return _rounded(regression_scores(scored, ["side", "target"]), 6)
+
+
+def downstream_drawdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Drawdown of the portfolio predicted from path features: real paths alone and with growing shares of bootstrapped ones.
+
+    Three in ten real paths, by portable random numbers, are held out of every training set.
+    """
+    paths = PE.paths(spark, sf)
+    features = path_features(paths, ASSETS, keep=["side"])
+    columns = [c for c in features.columns if c not in ("path_id", "side")]
+    labels = portfolio_paths(spark, sf).select("path_id", (-F.col("maximum_drawdown")).alias("label"))
+    held = (F.col("side") == E.REFERENCE) & (F.pmod(draw(9, F.col("path_id")), F.lit(10)) < 3)
+    rows = features.join(labels, "path_id").withColumn("held_out", held)
+    return _rounded(augmentation_comparison(rows, augmented_train(spark, sf).select("path_id", "dataset"), columns, "label"), 6)
 
 
 #: Paths that the flow is fitted on at most, in the order of portable random numbers.
 FLOW_ROWS = 2_000
 
 
-def _flow(spark: SparkSession, sf: str) -> tuple[G.CouplingFlow, DataFrame]:
-    """A flow of the first four steps of both assets given the paths' later volatility, fitted on reference paths."""
+def _flow_sample(spark: SparkSession, sf: str) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """The first four steps of both assets given the paths' later volatility: a bounded sample of reference paths, and all."""
     v = _vectors(spark, sf).where(F.size("vector") == 48)
     v = v.select("path_id", "side", F.transform(F.concat(F.slice("vector", 1, 4), F.slice("vector", 25, 4)), lambda x: x * 50).alias("x"), F.array(F.aggregate(F.slice("vector", 5, 20), F.lit(0.0), lambda s, x: s + F.abs(x)) * 5).alias("c"))
     sample = v.where(F.col("side") == E.REFERENCE).orderBy(draw(3, F.col("path_id")), "path_id").limit(FLOW_ROWS).toPandas()
-    flow = G.CouplingFlow(dim=8, condition_dim=1, couplings=4, hidden=16)
-    return flow.fit(np.vstack(sample["x"].to_numpy()), np.vstack(sample["c"].to_numpy()), epochs=15), v
+    return np.vstack(sample["x"].to_numpy()), np.vstack(sample["c"].to_numpy()), v
+
+
+def _flow(spark: SparkSession, sf: str) -> tuple[G.CouplingFlow, DataFrame]:
+    x, cond, v = _flow_sample(spark, sf)
+    return G.CouplingFlow(dim=8, condition_dim=1, couplings=4, hidden=16).fit(x, cond, epochs=15), v
+
+
+FLOW_CANDIDATES = [{"couplings": c, "hidden": h} for c, h in ((2, 8), (2, 16), (4, 8), (4, 16), (6, 16))]
+
+
+def flow_tuning(spark: SparkSession, sf: str) -> DataFrame:
+    """Five settings of the flow by held-out likelihood, and which is best."""
+    x, cond, _ = _flow_sample(spark, sf)
+    trials = tune_flow(spark, x, cond, FLOW_CANDIDATES)
+    best = trials.agg(F.min(F.struct("nll", "trial"))["trial"].alias("best"))
+    return trials.crossJoin(F.broadcast(best)).select("trial", "settings", "nll", (F.col("trial") == F.col("best")).alias("chosen"))  # one row
 
 
 def flow_log_prob(spark: SparkSession, sf: str) -> DataFrame:
@@ -282,6 +299,8 @@ QUERIES = {
         augmented_train,
         conditional_draws,
         regression_metrics,
+        downstream_drawdown,
+        flow_tuning,
         flow_log_prob,
         flow_sample,
         student_t_sampler,
