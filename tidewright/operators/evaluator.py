@@ -190,14 +190,26 @@ def cross_asset_report(paths: DataFrame, assets: dict[str, str], window: int = 1
     return report.withColumn("asset_pair", F.lit("-".join(assets)))
 
 
-def regimes(long: DataFrame) -> DataFrame:
-    """Shares of low, medium and high volatility paths by the reference's terciles, and the distance to its shares.
-
-    A path's volatility is the mean over assets of its deviation relative to the reference's median.
-    """
+def volatility_levels(long: DataFrame) -> DataFrame:
+    """Each path's volatility: the mean over assets of its deviation relative to the reference's median (1 if that is 0)."""
     sds = long.groupBy("side", "path_id", "asset").agg(stats.sample_sd(F.col("x")).alias("sd"))
     med = stats.grouped_quantiles(sds.where(F.col("side") == REFERENCE), ["asset"], "sd", [0.5], long).toDF("asset", "__m")
-    level = sds.join(med, "asset").groupBy("side", "path_id").agg(F.avg(F.col("sd") / F.when(F.col("__m") == 0, F.lit(1.0)).otherwise(F.col("__m"))).alias("level"))
+    relative = F.col("sd") / F.when(F.col("__m") == 0, F.lit(1.0)).otherwise(F.col("__m"))
+    return sds.join(med, "asset").groupBy("side", "path_id").agg(F.avg(relative).alias("level"))
+
+
+def volatility_quartiles(long: DataFrame) -> DataFrame:
+    """Paths of each side by the quartiles of the reference's volatility: bin 0 to 3, a path at a quartile in the upper one."""
+    level = volatility_levels(long)
+    cuts = stats.grouped_quantiles(level.where(F.col("side") == REFERENCE), [], "level", [0.25, 0.5, 0.75], long).toDF("__a", "__b", "__c")
+    rows = level.crossJoin(F.broadcast(cuts))  # one row
+    where = sum(((F.col("level") >= F.col(c)).cast("bigint") for c in ("__a", "__b", "__c")), F.lit(0).cast("bigint"))
+    return rows.groupBy("side", where.alias("bin")).agg(F.count(F.lit(1)).alias("paths"), F.avg("level").alias("mean_level"))
+
+
+def regimes(long: DataFrame) -> DataFrame:
+    """Shares of low, medium and high volatility paths by the reference's terciles, and the distance to its shares."""
+    level = volatility_levels(long)
     cuts = stats.grouped_quantiles(level.where(F.col("side") == REFERENCE), [], "level", [1 / 3, 2 / 3], long).toDF("__a", "__b")
     rows = level.crossJoin(F.broadcast(cuts))  # one row
     low, high = F.col("level") <= F.col("__a"), F.col("level") > F.col("__b")

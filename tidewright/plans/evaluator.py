@@ -92,6 +92,10 @@ def regime_proportions(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(E.regimes(long(spark, sf)))
 
 
+def volatility_quartiles(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(E.volatility_quartiles(long(spark, sf)))
+
+
 def path_features(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(P.path_features(paths(spark, sf), ASSETS, keep=["side"]))
 
@@ -129,6 +133,7 @@ QUERIES = {
         tail_dependence,
         cross_asset_report,
         regime_proportions,
+        volatility_quartiles,
         path_features,
         describe_compare,
     )
@@ -219,6 +224,8 @@ jd as (
     avg((btc_log_return <= tb and eth_log_return <= te)::int) joint_drop_probability, least(1.0, greatest(0.0, avg((btc_log_return <= ob and eth_log_return <= oe)::int) / 0.05)) lower_tail_dependence
   from p join ot using (side), rt group by 1)
 """
+_LEVELS_SQL = """, sd as (select side, path_id, asset, coalesce(stddev_samp(x), 0) sd from l group by 1, 2, 3), md as (select asset, quantile_cont(sd, 0.5) m from sd where side = 'reference' group by 1),
+lv as (select side, path_id, avg(sd / case when m = 0 then 1 else m end) v from sd join md using (asset) group by 1, 2)"""
 _FEATURES_SQL = (
     _METRICS_SQL
     + """, ba as (select path_id, asset, avg(x) mean, stddev_pop(x) standard_deviation, avg(abs(x)) mean_absolute, quantile_cont(x, 0.05) q05, quantile_cont(x, 0.95) q95, count(*) n from l group by 1, 2),
@@ -306,10 +313,13 @@ g as (select c.side, c.asset, sqrt(avg(power(c.acf - r.acf, 2)) filter (c.series
         + f", (select round({_W1.replace('c.grid', 'ga.grid').replace('r.grid', 'gb.grid')}, 6) from gr ga, gr gb where ga.side = c.side and gb.side = 'reference') rolling_correlation_wasserstein_1",
         6,
     ),
+    "volatility_quartiles": PATHS_SQL
+    + _LEVELS_SQL
+    + """, ct as (select quantile_cont(v, 0.25) a, quantile_cont(v, 0.5) b, quantile_cont(v, 0.75) c from lv where side = 'reference')
+select side, cast((v >= a)::int + (v >= b)::int + (v >= c)::int as bigint) bin, count(*) paths, round(avg(v), 7) + 0.0 mean_level from lv, ct group by 1, 2""",
     "regime_proportions": PATHS_SQL
-    + """, sd as (select side, path_id, asset, coalesce(stddev_samp(x), 0) sd from l group by 1, 2, 3), md as (select asset, quantile_cont(sd, 0.5) m from sd where side = 'reference' group by 1),
-lv as (select side, path_id, avg(sd / case when m = 0 then 1 else m end) v from sd join md using (asset) group by 1, 2),
-ct as (select quantile_cont(v, 1/3.0::double) a, quantile_cont(v, 2/3.0::double) b from lv where side = 'reference'),
+    + _LEVELS_SQL
+    + """, ct as (select quantile_cont(v, 1/3.0::double) a, quantile_cont(v, 2/3.0::double) b from lv where side = 'reference'),
 s as (select side, count(*) paths, avg((v <= a)::int) low, avg((v > a and v <= b)::int) medium, avg((v > b)::int) high from lv, ct group by 1)
 select c.side candidate, c.paths candidate_paths, r.paths reference_paths, """
     + ", ".join(f"round(c.{v}, 7) + 0.0 candidate_{v}, round(r.{v}, 7) + 0.0 reference_{v}" for v in ("low", "medium", "high"))

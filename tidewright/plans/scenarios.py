@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions import stats
 from tidewright.functions.prng import draw, draw_sql
 from tidewright.operators import diversity as D
 from tidewright.operators import evaluator as E
@@ -81,8 +82,6 @@ def histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 def grouped_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Price distribution of the orders of each priority."""
-    from tidewright.functions import stats
-
     rows = table(spark, sf, "orders")
     return _rounded(rows.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean"), stats.skew(F.col("o_totalprice")).alias("skewness"), *stats.quantile_columns(F.col("o_totalprice"))), 4)
 
@@ -115,6 +114,13 @@ def knn_projected(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(D.nearest(rows.where(_Q), rows, k=1, exclude_self=True, project=24, keep=64), 6)
 
 
+def distance_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances to the nearest other embedding, summarised by the label of the asking one."""
+    rows = _embeddings(spark, sf)
+    found = D.nearest(rows.where(_Q), rows, k=1, exclude_self=True).join(rows.select(F.col("id").alias("query_id"), "label"), "query_id")
+    return _rounded(found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *stats.summary(F.col("distance"))), 5)
+
+
 def neighbour_report(spark: SparkSession, sf: str) -> DataFrame:
     """Near duplicates, near memorisation and coverage of the candidates' paths, by the reference's own neighbour distances."""
     v = _vectors(spark, sf).withColumnRenamed("path_id", "id")
@@ -289,6 +295,7 @@ QUERIES = {
         bottom_k_scenarios,
         knn_exact,
         knn_projected,
+        distance_summary,
         neighbour_report,
         unique_fraction,
         exact_match,
@@ -407,6 +414,10 @@ d as (select path_id, -power((x - mx) / sx, 2) / 2 - power((y - my) / sy, 2) / 2
     "knn_exact": f"""with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) v from embeddings),
 d as (select a.vec_id query_id, b.vec_id neighbour_id, {_rmse("a.v", "b.v")} distance from e a join e b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
 select query_id, neighbour_id, round(distance, 6) distance from (select *, row_number() over (partition by query_id order by distance, neighbour_id) rn from d) where rn <= 5""",
+    "distance_summary": f"""with e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) v from embeddings),
+d as (select a.vec_id, any_value(a.label) label, min({_rmse("a.v", "b.v")}) d from e a join e b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id group by 1),
+s as (select label, count(*) n, avg(d) mean, coalesce(stddev_samp(d), 0) standard_deviation, {PE._q("d")} from d group by 1)
+select label, n, {_r(["mean", "standard_deviation", "q01", "q05", "q50", "q95", "q99"], 5)} from s""",  # noqa: SLF001
     "neighbour_report": _VECTORS
     + f""", rr as (select a.path_id, min({_rmse("a.vec", "b.vec")}) d from vs a join vs b on a.side = 'reference' and b.side = 'reference' and a.path_id <> b.path_id and a.path_id % 20 = 0 group by 1),
 t as (select quantile_cont(d, 0.01) near, quantile_cont(d, 0.95) radius from rr),
