@@ -234,6 +234,45 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_readings(spark, sf).select("panel_id", "open_time_ms", "measure")
 
 
+_WEEK = spikes.NEIGHBOUR_US
+
+
+def _stuck_sql(c: str) -> str:
+    return f"coalesce({c} = lag({c}) over w and us - lag(us) over w <= {_WEEK}, false)::int e_{c}"
+
+
+_P6_SQL = f"""
+with first_copy as (
+  select *, row_number() over (partition by panel_id, open_time_utc order by received_at_utc, row_id) rn from btc_eth_6h_panel where is_complete),
+r as (select panel_id, epoch_us(open_time_utc) us, hour(open_time_utc) hr, btc_open o, btc_high h, btc_low l, btc_close c, btc_volume v from first_copy where rn = 1),
+a as (
+  select *, coalesce(h <= 0 or l <= 0 or h < l or h < greatest(o, c) or l > least(o, c), false) bad_price, coalesce(v < 0, false) bad_volume,
+    case when h > 0 and greatest(o, c) > 0 then greatest(ln(h / greatest(o, c)), 0) end up, case when l > 0 and least(o, c) > 0 then greatest(ln(least(o, c) / l), 0) end down,
+    case when v > 0 then ln(v) end lv, {_stuck_sql("h")}, {_stuck_sql("l")}, {_stuck_sql("v")}
+  from r window w as (partition by panel_id order by us)),
+b as (
+  select *, sum(e_h) over e h4, sum(e_l) over e l4, sum(e_v) over e v4,
+    list({{'us': us, 'x': lv}}) over (partition by panel_id order by us rows between {spikes.AROUND} preceding and 1 preceding) before,
+    list({{'us': us, 'x': lv}}) over (partition by panel_id order by us rows between 1 following and {spikes.AROUND} following) after
+  from a window e as (partition by panel_id order by us rows between {spikes.STUCK - 2} preceding and current row)),
+c1 as (
+  select *, bool_or(h4 = {spikes.STUCK - 1} or l4 = {spikes.STUCK - 1}) over s stuck_price, bool_or(v4 = {spikes.STUCK - 1}) over s stuck_volume,
+    lv - list_median([n.x for n in coalesce(before, []) || coalesce(after, []) if n.x is not null and abs(n.us - b.us) <= {_WEEK}]) lvl
+  from b window s as (partition by panel_id order by us rows between current row and {spikes.STUCK - 1} following)),
+both_levels as (select panel_id, hr, up, down, lvl from c1 union all select panel_id, -1, up, down, lvl from c1),
+q as (
+  select panel_id, hr, count(*) n, quantile_disc(up, 0.25) u1, quantile_disc(up, 0.75) u3, quantile_disc(down, 0.25) d1, quantile_disc(down, 0.75) d3, quantile_disc(lvl, 0.25) v1, quantile_disc(lvl, 0.75) v3
+  from both_levels group by 1, 2),
+z as (
+  select c1.*, (up - q.u3) / greatest(q.u3 - q.u1, {spikes.LEAST_RANGE}) zu, (down - q.d3) / greatest(q.d3 - q.d1, {spikes.LEAST_RANGE}) zd,
+    greatest(lvl - q.v3, q.v1 - lvl) / greatest(q.v3 - q.v1, {spikes.LEAST_RANGE}) zv
+  from c1 join q qh on qh.panel_id = c1.panel_id and qh.hr = c1.hr
+  join q on q.panel_id = c1.panel_id and q.hr = case when qh.n >= {spikes.HOUR_READINGS} then c1.hr else -1 end),
+f as (
+  select panel_id, us // 1000 open_time_ms, 'price' measure, bad_price impossible, stuck_price stuck, coalesce(zu > {spikes.WICK_FENCE} or zd > {spikes.WICK_FENCE}, false) spike from z
+  union all select panel_id, us // 1000, 'volume', bad_volume, stuck_volume, coalesce(zv > {spikes.VOLUME_FENCE}, false) from z)
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_rolling_totals": p1_rolling_totals,
@@ -282,4 +321,6 @@ from (select *, row_number() over (partition by feed_id, instrument, candle_inte
 with k as {_P5_K}, ranked as (select *, row_number() over (partition by feed_id, instrument, candle_interval, open_time_utc order by received_at_utc, row_id) rn from k where received_at_utc >= timestamp '{BATCH_CUT}')
 select row_id, feed_id, instrument, candle_interval from ranked r where rn = 1 and not exists (
   select 1 from k where received_at_utc < timestamp '{BATCH_CUT}' and k.feed_id = r.feed_id and k.instrument = r.instrument and k.candle_interval = r.candle_interval and k.open_time_utc = r.open_time_utc)""",
+    "p6_found": _P6_SQL + "select panel_id, open_time_ms, measure from f where impossible or stuck or spike",
+    "p6_readings": _P6_SQL + "select * from f where impossible or stuck or spike",
 }
