@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.functions.prng import draw
+from tidewright.session import ship_package
 
 #: Bytes of query vectors sent to all tasks at once.
 QUERY_BYTES = 32 << 20
@@ -37,6 +38,7 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str = "id", vector: str =
     ranks those exactly; None compares exactly throughout. ``exclude_self`` leaves out rows with the query's own key.
     Ties are broken by key. Defined results: rows without vector are left out; no queries give no rows.
     """
+    ship_package(queries.sparkSession)
     clean = lambda df: df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     q, data = clean(queries), clean(rows)
     head = q.limit(1).collect()
@@ -140,6 +142,7 @@ def discriminator(features: DataFrame, columns: Sequence[str], candidates: Seque
 
     Each repetition takes up to ``most`` rows of each class in the order of portable random numbers, as many of both.
     """
+    ship_package(features.sparkSession)
     rows = features.select("path_id", "side", *columns).na.drop()
     picks = []
     for name in candidates:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators.generators import CouplingFlow
-from tidewright.session import cut_lineage
+from tidewright.session import cut_lineage, ship_package
 
 
 def regression_scores(scored: DataFrame, groups: Sequence[str], actual: str = "y", predicted: str = "p") -> DataFrame:
@@ -61,7 +61,7 @@ def tune_flow(spark: SparkSession, x: np.ndarray, cond: np.ndarray, candidates:
 
     ``x`` and ``cond`` are a bounded sample, sent to the tasks once.
     """
-    shared = spark.sparkContext.broadcast((np.asarray(x, float), np.asarray(cond, float)))
+    shared = ship_package(spark).sparkContext.broadcast((np.asarray(x, float), np.asarray(cond, float)))
     trials = spark.createDataFrame([(i, str(sorted(c.items()))) for i, c in enumerate(candidates)], "trial int, settings string")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

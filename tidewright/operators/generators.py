@@ -15,6 +15,7 @@ from tidewright.functions.prng import draw
 from tidewright.operators.ranks import ranked
 from tidewright.operators.scan import join_on
 from tidewright.operators.windows import at_home, frames, numbered, sharded
+from tidewright.session import ship_package
 
 
 def contiguous_blocks(returns: DataFrame, entity: str, columns: Sequence[str], length: int) -> DataFrame:
@@ -77,6 +78,7 @@ def student_t_pairs(rows: DataFrame, df: float = 5.0, seed: int = 7) -> DataFram
             y = pdf["m1"].to_numpy() + scale[:, 1] * (rho * z[:, 0] + np.sqrt(1 - rho**2) * z[:, 1]) * shrink
             yield pd.DataFrame({"row_id": pdf["row_id"], "x": x, "y": y})
 
+    ship_package(rows.sparkSession)
     return rows.select("row_id", "m0", "m1", "s0", "s1", "c").mapInPandas(run, "row_id bigint, x double, y double")
 
 
@@ -225,7 +227,7 @@ class CouplingFlow:
 
     def score(self, rows: DataFrame, key: str, vector: str, condition: str | None = None) -> DataFrame:
         """``key`` and ``log_prob`` of each row's vector, in Arrow batches."""
-        shared = rows.sparkSession.sparkContext.broadcast(self)
+        shared = ship_package(rows.sparkSession).sparkContext.broadcast(self)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -238,7 +240,7 @@ class CouplingFlow:
 
     def sample(self, conditions: DataFrame, key: str, draws: int, condition: str | None = None, seed: int = 0) -> DataFrame:
         """``draws`` vectors for each row of ``conditions``, seeded by key and draw: ``key``, ``draw_no``, ``vector``."""
-        shared = conditions.sparkSession.sparkContext.broadcast(self)
+        shared = ship_package(conditions.sparkSession).sparkContext.broadcast(self)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             flow = shared.value

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.times import DAY_US, HOUR_US, floor_div, to_us, us_to_ms
 from tidewright.operators.scan import carry_scan, pack, unpack
+from tidewright.session import ship_package
 
 HALF_US = 2
 
@@ -57,6 +58,7 @@ def set_runs(intervals: DataFrame, keys: Sequence[str], start: str, end: str, to
     ``__prev``, the end of the set run before it in the entity, whichever shard that is in."""
     if tolerance_us < 0:
         raise ValueError("the tolerance must not be negative")
+    ship_package(intervals.sparkSession)
     ids = [f"__k{i}" for i in range(len(keys))]
     unit = shard_us * HALF_US
     span = lambda c: to_us(F.col(c)) * F.lit(HALF_US)

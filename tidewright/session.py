@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +46,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder; it survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, which need not have it on their path; once for each context."""
+    context = spark.sparkContext
+    if not getattr(context, "_tidewright_shipped", False):
+        root = Path(__file__).parent
+        path = os.path.join(tempfile.mkdtemp(prefix="tidewright-code-"), "tidewright.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for f in sorted(root.rglob("*.py")):
+                out.write(f, str(Path(root.name) / f.relative_to(root)))
+        context.addPyFile(path)
+        context._tidewright_shipped = True  # noqa: SLF001
+    return spark

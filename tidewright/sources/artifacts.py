@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.session import ship_package
+
 
 def file_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """SHA-256 of every file below a folder, computed where the files are read."""
@@ -93,5 +95,5 @@ def read_npz(spark: SparkSession, path: str, arrays: Sequence[str], pattern: str
                 n = sizes.pop()
                 yield pd.DataFrame({"path": [where] * n, "row_no": range(n), **{k: list(v.reshape(n, -1)) for k, v in values.items()}})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    files = ship_package(spark).read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select("path", "content").mapInPandas(run, schema)

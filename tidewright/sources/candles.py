@@ -191,7 +191,7 @@ class _KlineReader(DataSourceReader):
 
 
 def kline_source(fetch: Callable, name: str = "klines") -> type[DataSource]:
-    """A batch data source over a fetcher: register it, then ``spark.read.format(name)`` with the options symbols,
+    """A batch data source over a fetcher (workers need this package: ``session.ship_package``): register it, then ``spark.read.format(name)`` with the options symbols,
     interval, start_ms, end_exclusive_ms, spans. Each symbol and span of time is a partition of its own."""
 
     class KlineSource(DataSource):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewright.session import ensure_checkpoint_dir
+from tidewright.session import ensure_checkpoint_dir, ship_package
 
 LATE = "6 hours"
 
@@ -71,5 +71,6 @@ def running_drawdown(events: DataFrame, key: str = "event_type", time: str = "ts
         state.update((float(peaks.iloc[-1]),))
         yield pd.DataFrame({"key": names[0], "event_id": rows["o"], "drawdown": 1 - rows["v"] / peaks})
 
+    ship_package(events.sparkSession)
     rows = events.where(F.col(value) > 0).select(F.col(key).alias("k"), F.col(time).alias("t"), F.col(order).alias("o"), F.col(value).alias("v"))
     return rows.groupBy("k").applyInPandasWithState(step, "key string, event_id bigint, drawdown double", "peak double", "append", GroupStateTimeout.NoTimeout)
