@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.session import ship_package
+
 #: The folder of the public tokenizers' files; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges of the byte-level vocabularies.
@@ -121,7 +123,7 @@ def encode_text(text: str | None, words: _Words, pattern: str = PATTERN) -> list
 
 def broadcast_ranks(spark: SparkSession, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Broadcast:
     """The vocabulary, of a fixed size of about 50,000 entries, for all workers; only the driver reads the file."""
-    return spark.sparkContext.broadcast(read_ranks(f"{folder}/{vocabulary}.tiktoken"))
+    return ship_package(spark).sparkContext.broadcast(read_ranks(f"{folder}/{vocabulary}.tiktoken"))
 
 
 _kept: list[_Words] = []

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.session import cut_lineage
+from tidewright.session import cut_lineage, ship_package
 
 SCRIPTS = ("LATIN", "GREEK", "CYRILLIC")
 
@@ -185,6 +185,7 @@ def unified(text: Column) -> Column:
 
 def unify_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``form`` of every row. NULL texts have a NULL form, empty and invisible ones an empty or blank form."""
+    ship_package(documents.sparkSession)
     return documents.select(F.col(key), unified(F.col(text)).alias("form"))
 
 
@@ -197,6 +198,7 @@ def digests(documents: DataFrame, key: str, text: str) -> DataFrame:
 
     Written once, as its users read it several times and the forms are what costs.
     """
+    ship_package(documents.sparkSession)
     form = unified(F.col(text))
     seen = F.when(form.rlike(r"[^\s\p{Cc}\p{Cf}\p{Zs}]"), F.md5(form))
     made = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("__id"), seen.alias("__f"), F.md5(F.col(text)).alias("__t"))
