@@ -274,7 +274,7 @@ select c.side candidate, c.target, round({_W1}, 7) wasserstein_1, case when r.sd
     + f""", u as ({_unpivot}), s as (select side, asset, metric, avg(x) mean, coalesce(stddev_samp(x), 0) standard_deviation, {_q("x")}, quantile_cont(x, {_GRID}) grid from u group by 1, 2, 3)
 """
     + _sides(["asset", "metric"], _TRAJECTORY, f", round({_W1}, 7) wasserstein_1, case when r.standard_deviation > 0 then round({_W1} / r.standard_deviation, 7) end normalized_wasserstein_1"),
-    "pooled_acf": PATHS_SQL + _ACF_SQL + "select side, asset, series, lag, round(acf, 7) + 0.0 acf from acf",
+    "pooled_acf": PATHS_SQL + _ACF_SQL + "select side, asset, series, cast(lag as bigint) lag, round(acf, 7) + 0.0 acf from acf",
     "rolling_volatility": PATHS_SQL + _VOL_SQL + "select path_id, asset, step_no, round(volatility, 9) + 0.0 volatility from vo",
     "vol_runs": PATHS_SQL + _RUNS_SQL + f"select side, asset, {_r(['high_volatility_threshold', 'high_volatility_frequency', 'run_length_mean', 'run_length_p95'])} from runs",
     "extreme_clustering": PATHS_SQL + _EXTREME_SQL + f"select side, asset, {_r(['extreme_threshold', 'extreme_clustering'])} from ec",

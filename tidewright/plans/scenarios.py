@@ -360,7 +360,7 @@ _SELECTION = (
     + " union all ".join(f"select {x} length, * from {_statistics(f'(select * from bs_{x} where step_no < {HORIZON})', 'panel_id, path_no')}" for x in LENGTHS)
     + f"), a as (select * from {_statistics('act', 'panel_id, sample_id')}), er as ("
     + " union all ".join(f"select length, '{m}' metric, abs(allst.{m} - a.{m}) error from allst, a" for m in ("btc_spread", "eth_spread", "btc_volatility", "eth_volatility", "correlation"))
-    + "), rk as (select *, rank() over (partition by metric order by error) + (count(*) over (partition by metric, error) - 1) / 2.0 r from er) select length, round(avg(r), 7) mean_rank from rk group by 1"
+    + "), rk as (select *, rank() over (partition by metric order by error) + (count(*) over (partition by metric, error) - 1) / 2.0 r from er) select cast(length as bigint) length, round(avg(r), 7) mean_rank from rk group by 1"
 )
 _SUBSETS = f"""(select side, path_id, row_number() over (partition by side order by {draw_sql("42", "path_id")}, path_id) rk, count(*) over (partition by side) n from (select distinct side, path_id from p where side <> 'reference'))"""
 _SHARES = "(values ('025pct', 0.25::double), ('050pct', 0.5), ('100pct', 1.0)) s(subset, ratio)"
