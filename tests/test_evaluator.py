@@ -204,6 +204,16 @@ def test_projected_search_recalls(spark):
     assert sum(exact[q] == near[q] for q in exact) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_projected_search_is_exact_on_full_chunks(spark, k):
+    x = np.random.default_rng(4).normal(size=(3000, 64))
+    df = vectors(spark, x).coalesce(1)  # a full chunk of a single task, and part of another
+    asked = df.where("id % 20 = 0")
+    exact = sorted(map(tuple, diversity.nearest(asked, df, k=k, exclude_self=True).collect()))
+    near = sorted(map(tuple, diversity.nearest(asked, df, k=k, exclude_self=True, project=24, keep=64).collect()))
+    assert [r[:2] for r in near] == [r[:2] for r in exact] and [r[2] for r in near] == pytest.approx([r[2] for r in exact])
+
+
 def test_unique_and_exact(spark):
     x = [[1.0, 2.0], [1.0, 2.0 + 1e-14], [-0.0, 1.0], [0.0, 1.0]]
     r = diversity.unique_fraction(vectors(spark, x), ["side"]).first()

@@ -21,6 +21,8 @@ from tidewright.session import ship_package
 QUERY_BYTES = 32 << 20
 #: Rows of the data side compared at once in a task.
 ROWS_AT_ONCE = 2_048
+#: Share of the vectors' squared lengths by which rounding may raise a projected squared distance above the true one.
+SLACK = 1e-9
 
 
 def path_vectors(paths: DataFrame, returns: Sequence[str], keep: Sequence[str], path: str = "path_id", step: str = "step_no") -> DataFrame:
@@ -34,8 +36,10 @@ def path_vectors(paths: DataFrame, returns: Sequence[str], keep: Sequence[str],
 def nearest(queries: DataFrame, rows: DataFrame, key: str = "id", vector: str = "vector", k: int = 1, exclude_self: bool = False, scale: Sequence[float] | None = None, project: int | None = None, keep: int = 8, seed: int = 7) -> DataFrame:
     """The ``k`` nearest rows of each query: ``query_id``, ``neighbour_id``, ``distance`` (root mean square difference).
 
-    ``project`` searches in that many random directions first (signs drawn portably), keeps ``keep`` rows of each task and query, and
-    ranks those exactly; None compares exactly throughout. ``exclude_self`` leaves out rows with the query's own key.
+    ``project`` looks at the span of that many random directions first (signs drawn portably) and compares the ``keep`` rows of each
+    chunk and query that are nearest there. A distance within the span is at most the whole one, so it then compares every other
+    row but those that are farther there than the ``k``-th found: the result is that of None, which compares all rows
+    throughout. ``exclude_self`` leaves out rows with the query's own key.
     Ties are broken by key. Defined results: rows without vector are left out; no queries give no rows.
     """
     ship_package(queries.sparkSession)
@@ -50,7 +54,7 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str = "id", vector: str =
     directions = None
     if project:
         rng = np.random.default_rng(seed)
-        directions = rng.choice([-1.0, 1.0], size=(width, project)) / np.sqrt(project)
+        directions = np.linalg.qr(rng.choice([-1.0, 1.0], size=(width, project)))[0]  # orthonormal: no distance grows
     found = None
     for b in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
@@ -69,27 +73,37 @@ def _search(shared, k: int, exclude_self: bool, scale, directions, keep: int):
         q = q / np.asarray(scale) if scale is not None else q
         qp = q if directions is None else q @ directions
         norms = (qp * qp).sum(axis=1)
-        hold = k if directions is None else max(k, keep)
-        best = np.full((len(ids), hold), np.inf)
-        who = np.full((len(ids), hold), np.iinfo(np.int64).max)
+        look = k if directions is None else max(k, keep)
+        best = np.full((len(ids), k), np.inf)
+        who = np.full((len(ids), k), np.iinfo(np.int64).max)
         for pdf in batches:
             for at in range(0, len(pdf), ROWS_AT_ONCE):
                 chunk = pdf.iloc[at : at + ROWS_AT_ONCE]
                 own, x = chunk["id"].to_numpy(), np.vstack(chunk["vector"].to_numpy())
                 x = x / np.asarray(scale) if scale is not None else x
                 xp = x if directions is None else x @ directions
-                d = norms[:, None] + (xp * xp).sum(axis=1)[None, :] - 2 * qp @ xp.T
+                sizes = norms[:, None] + (xp * xp).sum(axis=1)[None, :]
+                d = sizes - 2 * qp @ xp.T
                 if exclude_self:
                     d[ids[:, None] == own[None, :]] = np.inf
-                m = min(hold, d.shape[1])
+                m = min(look, d.shape[1])
                 near = np.argpartition(d, m - 1, axis=1)[:, :m]
                 exact = np.sqrt(((q[:, None, :] - x[near]) ** 2).mean(axis=2))
                 exact[~np.isfinite(np.take_along_axis(d, near, axis=1))] = np.inf
                 every, names = np.hstack([best, exact]), np.hstack([who, own[near]])
-                order = np.lexsort((names, every), axis=1)[:, :hold]
+                order = np.lexsort((names, every), axis=1)[:, :k]
                 best, who = np.take_along_axis(every, order, axis=1), np.take_along_axis(names, order, axis=1)
+                if directions is not None:
+                    np.put_along_axis(d, near, np.inf, axis=1)
+                    open_ = np.isfinite(d) & (d - SLACK * sizes <= best[:, -1:] ** 2 * q.shape[1])
+                    for i in np.flatnonzero(open_.any(axis=1)):
+                        left = np.flatnonzero(open_[i])
+                        every = np.concatenate([best[i], np.sqrt(((q[i] - x[left]) ** 2).mean(axis=1))])
+                        names = np.concatenate([who[i], own[left]])
+                        order = np.lexsort((names, every))[:k]
+                        best[i], who[i] = every[order], names[order]
         good = np.isfinite(best)
-        yield pd.DataFrame({"query_id": np.repeat(ids, hold)[good.ravel()], "neighbour_id": who[good], "distance": best[good]})
+        yield pd.DataFrame({"query_id": np.repeat(ids, k)[good.ravel()], "neighbour_id": who[good], "distance": best[good]})
 
     return run
 
