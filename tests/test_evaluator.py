@@ -277,6 +277,21 @@ def test_flow_inverts_trains_and_round_trips(spark, tmp_path):
     assert len(one) == 60 and one == sorted(map(str, flow.sample(df.repartition(3), "k", 3, "c").collect()))
 
 
+def test_flow_queries_cover_whole_paths(spark):
+    from tidewright.plans import scenarios as S
+
+    sf = "/root/testdata/sf0.001"
+    flow, rows = S._flow(spark, sf)
+    data = rows.toPandas()
+    x, c = np.vstack(data["x"].to_numpy()), np.vstack(data["c"].to_numpy())
+    assert x.shape[1] == 48 and len(data) == S._vectors(spark, sf).count() and 0 < c[:, 0].mean() < 1
+    for at in (23, 24, 47):  # the last step of BTC, the first and last of ETH
+        moved = x.copy()
+        moved[:, at] += 10
+        assert (np.abs(flow.log_prob(moved, c) - flow.log_prob(x, c)) > 1).all()
+    assert all(len(r.vector) == 48 for r in S.flow_sample(spark, sf).collect())
+
+
 def test_flow_gradient():
     rng = np.random.default_rng(1)
     x, c = rng.normal(size=(12, 4)), rng.normal(size=(12, 1))

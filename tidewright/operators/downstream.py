@@ -59,7 +59,7 @@ def augmentation_comparison(rows: DataFrame, datasets: DataFrame, columns: Seque
 def tune_flow(spark: SparkSession, x: np.ndarray, cond: np.ndarray, candidates: Sequence[dict], epochs: int = 10) -> DataFrame:
     """Held-out negative log-likelihood of each candidate's flow, one candidate a task: ``trial``, ``settings``, ``nll``.
 
-    ``x`` and ``cond`` are a bounded sample, sent to the tasks once.
+    ``x`` and ``cond`` are a bounded sample, sent to the tasks once. A candidate's ``rate`` is its learning rate.
     """
     shared = ship_package(spark).sparkContext.broadcast((np.asarray(x, float), np.asarray(cond, float)))
     trials = spark.createDataFrame([(i, str(sorted(c.items()))) for i, c in enumerate(candidates)], "trial int, settings string")
@@ -67,7 +67,9 @@ def tune_flow(spark: SparkSession, x: np.ndarray, cond: np.ndarray, candidates:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i = int(pdf["trial"].iloc[0])
         data, given = shared.value
-        flow = CouplingFlow(dim=data.shape[1], condition_dim=given.shape[1], **candidates[i]).fit(data, given, epochs=epochs)
+        settings = dict(candidates[i])
+        rate = settings.pop("rate", 1e-3)
+        flow = CouplingFlow(dim=data.shape[1], condition_dim=given.shape[1], **settings).fit(data, given, epochs=epochs, rate=rate)
         return pd.DataFrame({"trial": [i], "settings": pdf["settings"].iloc[:1].tolist(), "nll": [min(flow.history)]})
 
     return trials.groupBy("trial").applyInPandas(run, "trial int, settings string, nll double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import stats
 from tidewright.functions.prng import draw, draw_sql
+from tidewright.functions.times import to_us
 from tidewright.operators import diversity as D
 from tidewright.operators import evaluator as E
 from tidewright.operators import generators as G
@@ -238,40 +239,70 @@ def downstream_drawdown(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Paths that the flow is fitted on at most, in the order of portable random numbers.
 FLOW_ROWS = 2_000
+#: Path returns are multiplied by this for the flow; its samples are divided by it.
+FLOW_SCALE = 50.0
+FLOW_EPOCHS = 60
+
+
+def _conditions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each path's condition: whether its window is known, and both assets' volatility, trend and correlation over that window.
+
+    The window of ``condition_id`` ends before the path begins; ticks without a valid return are left out of it. Paths without a
+    window that has two returns get zeros.
+    """
+    at = lambda c: F.call_function("div", to_us(F.col(c)), F.lit(1_000))
+    spans = table(spark, sf, "window_index").where("panel_id is not null and condition_start_utc <= condition_end_utc").select("sample_id", "panel_id", at("condition_start_utc").alias("lo"), at("condition_end_utc").alias("hi"), "loaded_at_utc")
+    spans = spans.groupBy("sample_id").agg(F.min(F.struct("loaded_at_utc", "panel_id", "lo", "hi")).alias("w"))  # the first copy of repeated rows
+    asked = table(spark, sf, "path_losses").where("condition_id is not null").groupBy("path_id").agg(F.max("condition_id").alias("condition_id"))
+    spans = spans.join(asked.select(F.col("condition_id").alias("sample_id")).distinct(), "sample_id", "left_semi")
+    ticks = spans.select("sample_id", "w.panel_id", F.explode(F.sequence("w.lo", "w.hi", F.lit(PP._STEP // 1_000))).alias("tick_ms"))  # noqa: SLF001
+    r = PP.returns(spark, sf).where("returns_valid").select("panel_id", "tick_ms", *PP.RETURNS)
+    state = ticks.join(r, ["panel_id", "tick_ms"]).groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("n"), *[F.asinh(F.stddev_samp(c) * FLOW_SCALE).alias(f"v_{c}") for c in PP.RETURNS], *[F.asinh(F.sum(c) * 5).alias(f"s_{c}") for c in PP.RETURNS],
+        F.coalesce(F.try_divide(F.covar_pop(*PP.RETURNS), F.stddev_pop(PP.RETURNS[0]) * F.stddev_pop(PP.RETURNS[1])), F.lit(0.0)).alias("c")
+    ).where("n > 1")
+    columns = [c for c in state.columns if c not in ("sample_id", "n")]
+    known = F.array(F.lit(1.0), *columns).alias("c")
+    return asked.join(state.select(F.col("sample_id").alias("condition_id"), known), "condition_id").select("path_id", "c")
 
 
 def _flow_sample(spark: SparkSession, sf: str) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """The first four steps of both assets given the paths' later volatility: a bounded sample of reference paths, and all."""
+    """All steps of both assets given the state of the market before the path: a bounded sample of reference paths, and all."""
     v = _vectors(spark, sf).where(F.size("vector") == 48)
-    v = v.select("path_id", "side", F.transform(F.concat(F.slice("vector", 1, 4), F.slice("vector", 25, 4)), lambda x: x * 50).alias("x"), F.array(F.aggregate(F.slice("vector", 5, 20), F.lit(0.0), lambda s, x: s + F.abs(x)) * 5).alias("c"))
+    v = v.select("path_id", "side", F.transform("vector", lambda x: x * FLOW_SCALE).alias("x")).join(_conditions(spark, sf), "path_id", "left")
+    v = v.withColumn("c", F.coalesce("c", F.array(*[F.lit(0.0)] * 6)))
     sample = v.where(F.col("side") == E.REFERENCE).orderBy(draw(3, F.col("path_id")), "path_id").limit(FLOW_ROWS).toPandas()
     return np.vstack(sample["x"].to_numpy()), np.vstack(sample["c"].to_numpy()), v
 
 
 def _flow(spark: SparkSession, sf: str) -> tuple[G.CouplingFlow, DataFrame]:
     x, cond, v = _flow_sample(spark, sf)
-    return G.CouplingFlow(dim=8, condition_dim=1, couplings=4, hidden=16).fit(x, cond, epochs=15), v
+    flow = G.CouplingFlow(dim=x.shape[1], condition_dim=cond.shape[1], couplings=8, hidden=256)
+    return flow.fit(x, cond, epochs=FLOW_EPOCHS, patience=FLOW_EPOCHS), v
 
 
-FLOW_CANDIDATES = [{"couplings": c, "hidden": h} for c, h in ((2, 8), (2, 16), (4, 8), (4, 16), (6, 16))]
+FLOW_CANDIDATES = [{"couplings": c, "hidden": h, "rate": r} for c, h, r in ((4, 128, 5e-4), (6, 128, 5e-4), (8, 128, 1e-3), (10, 128, 1e-3), (8, 256, 1e-3))]
 
 
 def flow_tuning(spark: SparkSession, sf: str) -> DataFrame:
     """Five settings of the flow by held-out likelihood, and which is best."""
     x, cond, _ = _flow_sample(spark, sf)
-    trials = tune_flow(spark, x, cond, FLOW_CANDIDATES)
+    trials = tune_flow(spark, x, cond, FLOW_CANDIDATES, epochs=50)
     best = trials.agg(F.min(F.struct("nll", "trial"))["trial"].alias("best"))
     return trials.crossJoin(F.broadcast(best)).select("trial", "settings", "nll", (F.col("trial") == F.col("best")).alias("chosen"))  # one row
 
 
 def flow_log_prob(spark: SparkSession, sf: str) -> DataFrame:
+    """Log density of each whole path, in the flow's scaled coordinates."""
     flow, v = _flow(spark, sf)
     return flow.score(v, "path_id", "x", "c")
 
 
 def flow_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole paths as log returns, four for the condition of each reference path: all steps of BTC, then of ETH."""
     flow, v = _flow(spark, sf)
-    return flow.sample(v.where(F.col("side") == E.REFERENCE), "path_id", 4, "c")
+    made = flow.sample(v.where(F.col("side") == E.REFERENCE), "path_id", 4, "c")
+    return made.withColumn("vector", F.transform("vector", lambda x: x / FLOW_SCALE))
 
 
 def student_t_sampler(spark: SparkSession, sf: str) -> DataFrame:
