@@ -158,6 +158,18 @@ def test_percentiles_and_ks(spark):
     assert risk.percentile_report(df).first().ks == pytest.approx(want)
 
 
+def test_es_stability_resamples_a_thousand_losses_at_every_level(spark):
+    x = np.random.default_rng(8).normal(size=4000)
+    df = spark.createDataFrame([(i, "x", "BTC", float(v)) for i, v in enumerate(x)], "path_id bigint, side string, target string, loss double")
+    got = {r.level: r for r in risk.es_stability(df).collect()}
+    assert set(got) == {0.95, 0.99}
+    rng = np.random.default_rng(9)
+    for level, r in got.items():
+        picks = [rng.choice(x, 1000) for _ in range(400)]
+        es = np.array([p[p >= np.quantile(p, level)].mean() for p in picks])
+        assert r.es_mean == pytest.approx(es.mean(), rel=0.03) and r.es_deviation == pytest.approx(es.std(ddof=1), rel=0.35)
+
+
 def test_es_stability_is_small_for_constant_losses(spark):
     r = [x for x in risk.es_stability(losses(spark, [0.5] * 30, [(None, 0.1), (None, 0.3)])).collect() if x.side == REFERENCE][0]
     assert r.es_mean == pytest.approx(0.5) and r.es_deviation == pytest.approx(0)

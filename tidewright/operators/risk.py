@@ -104,10 +104,14 @@ def percentile_report(losses: DataFrame) -> DataFrame:
     return base.join(ks_to_uniform(points, ["candidate", "target"], "percentile"), ["candidate", "target"])
 
 
-def es_stability(losses: DataFrame, level: float = 0.95, repetitions: int = 20, size: int = 200, seed: int = 42) -> DataFrame:
-    """Spread of the expected shortfall over resamples with replacement of at most ``size`` losses.
+def _beyond(limit: str):
+    return lambda x: x >= F.col(limit)
 
-    Resampled rows are picked by portable random numbers, so every engine draws the same ones.
+
+def es_stability(losses: DataFrame, levels: Sequence[float] = LEVELS, repetitions: int = 100, size: int = 1_000, seed: int = 42) -> DataFrame:
+    """Spread of the expected shortfall at each level over resamples with replacement of at most ``size`` losses.
+
+    Resampled rows are picked by portable random numbers, so every engine draws the same ones; all levels share them.
     """
     groups = ["side", "target"]
     numbered = ranked(losses.select(*groups, "path_id", "loss"), groups, "loss", ["path_id"], "no")
@@ -117,8 +121,9 @@ def es_stability(losses: DataFrame, level: float = 0.95, repetitions: int = 20,
     draws = draws.select(*groups, "rep", F.pmod(draw(seed, F.col("rep"), F.col("i")), F.col("n")).alias("no"))
     sample = draws.join(numbered.select(*groups, "no", "loss"), [*groups, "no"]).select(*groups, "rep", "loss")
     # a resample has at most ``size`` losses, so it is read in one pass as a whole
-    each = sample.groupBy(*groups, "rep").agg(stats.quantile(F.col("loss"), level).alias("var"), F.collect_list("loss").alias("all"))
-    tail = F.filter("all", lambda x: x >= F.col("var"))
-    each = each.withColumn("es", F.aggregate(tail, F.lit(0.0), lambda s, x: s + x) / F.size(tail))
-    out = each.groupBy(*groups).agg(F.avg("es").alias("es_mean"), stats.sample_sd(F.col("es")).alias("es_deviation"))
+    each = sample.groupBy(*groups, "rep").agg(*[stats.quantile(F.col("loss"), q).alias(f"__q{i}") for i, q in enumerate(levels)], F.collect_list("loss").alias("all"))
+    tails = each.select(*groups, F.explode(F.array(*[F.struct(F.lit(float(q)).alias("level"), F.filter("all", _beyond(f"__q{i}")).alias("tail")) for i, q in enumerate(levels)])).alias("__t"))
+    tail = F.col("__t.tail")
+    each = tails.select(*groups, "__t.level", (F.aggregate(tail, F.lit(0.0), lambda s, x: s + x) / F.size(tail)).alias("es"))
+    out = each.groupBy(*groups, "level").agg(F.avg("es").alias("es_mean"), stats.sample_sd(F.col("es")).alias("es_deviation"))
     return out.withColumn("es_relative_deviation", F.when(F.col("es_mean") != 0, F.col("es_deviation") / F.abs("es_mean")))

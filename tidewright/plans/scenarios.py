@@ -63,6 +63,12 @@ def pit_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def es_stability(spark: SparkSession, sf: str) -> DataFrame:
+    """The short form: 20 resamples of 200 losses at the first level."""
+    return _rounded(R.es_stability(PE.losses(spark, sf), R.LEVELS[:1], 20, 200).drop("level"))
+
+
+def es_stability_full(spark: SparkSession, sf: str) -> DataFrame:
+    """100 resamples of up to 1,000 losses at every level."""
     return _rounded(R.es_stability(PE.losses(spark, sf)))
 
 
@@ -320,6 +326,7 @@ QUERIES = {
         conditional_risk,
         pit_percentiles,
         es_stability,
+        es_stability_full,
         wasserstein_sorted,
         histogram,
         grouped_orders,
@@ -431,6 +438,12 @@ dw as (select side, target, rep, {draw_sql("42", "rep", "i")} % n no from ct, ra
 sm as (select dw.side, dw.target, dw.rep, loss from dw join nm using (side, target, no)), m as {_var_es("sm", "side, target, rep")},
 s as (select side, target, avg(es) es_mean, coalesce(stddev_samp(es), 0) es_deviation from m where level = 0.95 group by 1, 2)
 select side, target, round(es_mean, 7) + 0.0 es_mean, round(es_deviation, 7) + 0.0 es_deviation, case when es_mean <> 0 then round(es_deviation / abs(es_mean), 7) + 0.0 end es_relative_deviation from s""",
+    "es_stability_full": PE.LOSSES_SQL
+    + f""", nm as (select side, target, loss, row_number() over (partition by side, target order by loss, path_id) - 1 no from lo), ct as (select side, target, count(*) n from nm group by 1, 2),
+dw as (select side, target, rep, {draw_sql("42", "rep", "i")} % n no from ct, range(100) a(rep), range(1000) b(i) where i < n),
+sm as (select dw.side, dw.target, dw.rep, loss from dw join nm using (side, target, no)), m as {_var_es("sm", "side, target, rep")},
+s as (select side, target, level, avg(es) es_mean, coalesce(stddev_samp(es), 0) es_deviation from m group by 1, 2, 3)
+select side, target, level, round(es_mean, 7) + 0.0 es_mean, round(es_deviation, 7) + 0.0 es_deviation, case when es_mean <> 0 then round(es_deviation / abs(es_mean), 7) + 0.0 end es_relative_deviation from s""",
     "wasserstein_sorted": PE.LOSSES_SQL
     + """, a as (select side, target, loss, row_number() over (partition by side, target order by loss) i from lo where maximum_drawdown is not null), b as (select side, target, maximum_drawdown m, row_number() over (partition by side, target order by maximum_drawdown) i from lo where maximum_drawdown is not null)
 select side, target, round(avg(abs(loss - m)), 7) + 0.0 wasserstein_1 from a join b using (side, target, i) group by 1, 2""",
