@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,19 @@ def test_shards_change_nothing(spark, monkeypatch, size):
     whole = everything()
     monkeypatch.setattr(windows, "SHARD_TICKS", size)
     assert everything() == whole and all(whole)
+
+
+def test_autocorrelations_of_both_assets_to_lag_60(spark):
+    from tidewright.plans.pipeline import segment_correlations
+
+    rng, gap = np.random.default_rng(3), 70
+    ticks = [t for t in range(150) if t != gap]
+    x = {a: rng.normal(size=150) for a in ("btc", "eth")}
+    df = spark.createDataFrame([(1, t, float(x["btc"][t]), float(x["eth"][t])) for t in ticks], "panel_id bigint, tick_no bigint, btc_log_return double, eth_log_return double")
+    got = {(r.asset, r.series, r.lag): r.acf for r in segment_correlations(df, 60).collect()}
+    assert len(got) == 4 * 60
+    for (asset, series, lag), acf in got.items():
+        y = x[asset] if series == "return" else abs(x[asset])
+        d = y - y[ticks].mean()
+        pairs = [(t, t + lag) for t in ticks if t + lag < 150 and not t <= gap <= t + lag]
+        assert acf == pytest.approx(sum(d[i] * d[j] for i, j in pairs) / (d[ticks] ** 2).sum(), abs=1e-6)

@@ -224,6 +224,36 @@ def segmented_acf(spark: SparkSession, sf: str) -> DataFrame:
     return sums.select("panel_id", "__v", each).select("panel_id", "x.lag", F.round(acf, 7).alias("acf"))
 
 
+#: Lags of the whole report of autocorrelations.
+ACF_LAGS = 60
+
+
+def segmented_acf_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Autocorrelations as in ``segmented_acf`` of both assets' returns and absolute returns, to lag 60."""
+    return segment_correlations(returns(spark, sf).where("returns_valid").select("panel_id", "tick_no", *RETURNS), ACF_LAGS)
+
+
+def segment_correlations(valid: DataFrame, lags: int) -> DataFrame:
+    """Per panel, asset, series ('return', 'absolute') and lag; ``valid`` has the valid returns by ``panel_id`` and ``tick_no``."""
+    series = {(a, n): f"__x_{a}_{n}" for a in ASSETS for n in ("return", "absolute")}
+    value = lambda a, n: F.col(f"{a}_log_return") if n == "return" else F.abs(f"{a}_log_return")
+    rows = valid.select("panel_id", "tick_no", *[value(*k).alias(c) for k, c in series.items()])
+    means = rows.groupBy("panel_id").agg(*[F.avg(c).alias(f"{c}_m") for c in series.values()])
+    rows = rows.join(means, "panel_id").select("panel_id", "tick_no", *[(F.col(c) - F.col(f"{c}_m")).alias(c) for c in series.values()])
+    along = windows.frames("panel_id").rowsBetween(-lags, 0)
+    near = windows.sharded(rows, "panel_id", lags, 0).withColumn("__p", F.collect_list(F.struct("tick_no", *series.values())).over(along)).where(windows.at_home())
+    pairs = near.select("panel_id", "tick_no", *series.values(), (F.size("__p") - 1).alias("__n"), F.posexplode("__p").alias("__i", "__e"))
+    # k rows back is k ticks back exactly if no tick between is invalid, that is within the segment
+    gap = F.col("tick_no") - F.col("__e.tick_no")
+    pairs = pairs.withColumn("lag", gap.cast("bigint")).where((gap > 0) & (gap == F.col("__n") - F.col("__i")))
+    sums = pairs.groupBy("panel_id", "lag").agg(*[F.sum(F.col(c) * F.col("__e").getField(c)).alias(c) for c in series.values()])
+    whole = rows.groupBy("panel_id").agg(*[F.sum(F.col(c) * F.col(c)).alias(f"{c}_v") for c in series.values()])
+    out = whole.withColumn("lag", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(lags).cast("bigint")))).join(sums, ["panel_id", "lag"], "left")
+    acf = lambda c: F.when(F.col(f"{c}_v") > 0, F.coalesce(c, F.lit(0.0)) / F.col(f"{c}_v")).otherwise(F.lit(0.0))
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("asset"), F.lit(n).alias("series"), F.round(acf(c), 7).alias("acf")) for (a, n), c in series.items()])).alias("x")
+    return out.select("panel_id", "lag", each).select("panel_id", "x.asset", "x.series", "lag", "x.acf")
+
+
 def download_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Observed rows of each download against the rows that its requested range has room for."""
     rows = table(spark, sf, "kline_downloads")
@@ -258,6 +288,7 @@ QUERIES = {
         price_reconstruction,
         segments,
         segmented_acf,
+        segmented_acf_full,
     )
 }
 
@@ -417,6 +448,12 @@ select panel_id, "column", n, 0.0::double mean_z, case when s = 0 then 0.0::doub
     "segments": RETURNS_SQL
     + """, g as (select *, tick_no - row_number() over (partition by panel_id order by tick_no) run from ret where returns_valid)
 select panel_id, min(tick_ms) first_tick_ms, count(*) length from g group by panel_id, run""",
+    "segmented_acf_full": RETURNS_SQL
+    + f""", h as (select *, tick_no - row_number() over (partition by panel_id order by tick_no) run from ret where returns_valid),
+x as ({" union all ".join(f"select panel_id, tick_no, run, '{a}' asset, '{n}' series, {e} x from h" for a in ASSETS for n, e in (("return", f"{a}_log_return"), ("absolute", f"abs({a}_log_return)")))}),
+g as (select *, x - avg(x) over (partition by panel_id, asset, series) d from x), v as (select panel_id, asset, series, sum(d * d) v from g group by 1, 2, 3), lags as (select unnest(range(1, {ACF_LAGS + 1})) lag),
+p as (select a.panel_id, a.asset, a.series, lag, sum(a.d * b.d) s from g a cross join lags join g b on a.panel_id = b.panel_id and a.asset = b.asset and a.series = b.series and a.run = b.run and b.tick_no = a.tick_no + lag group by 1, 2, 3, 4)
+select v.panel_id, v.asset, v.series, lags.lag, round(case when v.v > 0 then coalesce(p.s, 0) / v.v else 0 end, 7) acf from v cross join lags left join p on p.panel_id = v.panel_id and p.asset = v.asset and p.series = v.series and p.lag = lags.lag""",
     "segmented_acf": RETURNS_SQL
     + """, g as (select *, tick_no - row_number() over (partition by panel_id order by tick_no) run, btc_log_return - avg(btc_log_return) over (partition by panel_id) d from ret where returns_valid),
 v as (select panel_id, sum(d * d) v from g group by 1), lags as (select unnest(range(1, 6)) lag),
