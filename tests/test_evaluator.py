@@ -257,6 +257,16 @@ def test_block_bootstrap(spark):
     assert out.exceptAll(again).count() == 0
 
 
+def test_draws_for_every_condition_side_and_target(spark):
+    from tidewright.plans import scenarios as S
+
+    pool = [(side, target, c, 100 * c + i) for side in ("x", "y") for target in ("BTC", "portfolio") for c in range(30) for i in range(1 + c % 4)]
+    got = S.condition_draws(spark.createDataFrame(pool, "side string, target string, condition_id bigint, path_id bigint"), 50).toPandas()
+    sizes = got.groupby(["side", "target", "condition_id"]).draw_no.nunique()
+    assert len(sizes) == 120 and (sizes == 50).all() and len(got) == 6000
+    assert (got.path_id // 100 == got.condition_id).all() and set(got.path_id) == {p for *_, p in pool}
+
+
 def test_nested_subsets(spark):
     pool = spark.createDataFrame([(1, i) for i in range(10)], "g bigint, i bigint")
     got = generators.nested_subsets(pool, ["g"], "i", (0.25, 0.5, 1.0))

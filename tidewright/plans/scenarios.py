@@ -221,6 +221,27 @@ def conditional_draws(spark: SparkSession, sf: str) -> DataFrame:
     return draws.join(numbered, ["condition_id", "no"]).select("condition_id", "draw_no", "path_id")
 
 
+#: Draws for each condition, candidate and target.
+DRAWS = 1_000
+
+
+def conditional_draws_full(spark: SparkSession, sf: str) -> DataFrame:
+    """1,000 draws for every condition of every candidate and target."""
+    return condition_draws(PE.losses(spark, sf).where(F.col("condition_id").isNotNull() & (F.col("side") != E.REFERENCE)), DRAWS)
+
+
+def condition_draws(pool: DataFrame, draws: int) -> DataFrame:
+    """``draws`` paths of each side, target and condition of ``pool``, with replacement, picked by portable random numbers.
+
+    Targets whose condition has the same paths get the same draws.
+    """
+    keys = ["side", "target", "condition_id"]
+    each = pool.groupBy(*keys).agg(F.array_sort(F.collect_list("path_id")).alias("paths"))
+    each = each.select(*keys, "paths", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))).alias("draw_no"))
+    no = F.pmod(draw(12, F.col("side"), F.col("condition_id"), F.col("draw_no")), F.size("paths")).cast("int")
+    return each.select(*keys, "draw_no", F.col("paths")[no].alias("path_id"))
+
+
 def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """A line fitted on the reference predicts maximum drawdown from loss; errors per side and target, tails included."""
     rows = PE.losses(spark, sf).where(F.col("maximum_drawdown").isNotNull()).select("side", "target", F.col("loss").alias("x"), F.col("maximum_drawdown").alias("y"))
@@ -343,6 +364,7 @@ QUERIES = {
         nested_subsets,
         augmented_train,
         conditional_draws,
+        conditional_draws_full,
         regression_metrics,
         downstream_drawdown,
         flow_tuning,
@@ -489,6 +511,10 @@ union all select path_id, 1, subset from {_SUBSETS}, {_SHARES} where side = 'blo
 ask as (select condition_id from (select distinct condition_id from pool) order by {draw_sql("11", "condition_id")}, condition_id limit 20),
 nm as (select condition_id, path_id, row_number() over (partition by condition_id order by path_id) - 1 no from pool), ct as (select condition_id, count(*) n from nm join ask using (condition_id) group by 1),
 dw as (select condition_id, i draw_no, {draw_sql("12", "condition_id", "i")} % n no from ct, range(4) a(i)) select condition_id, draw_no, path_id from dw join nm using (condition_id, no)""",
+    "conditional_draws_full": PE.LOSSES_SQL
+    + f""", pool as (select * from lo where condition_id is not null and side <> 'reference'),
+nm as (select side, target, condition_id, path_id, row_number() over (partition by side, target, condition_id order by path_id) - 1 no from pool), ct as (select side, target, condition_id, count(*) n from nm group by 1, 2, 3),
+dw as (select side, target, condition_id, i draw_no, {draw_sql("12", "side", "condition_id", "i")} % n no from ct, range({DRAWS}) a(i)) select side, target, condition_id, draw_no, path_id from dw join nm using (side, target, condition_id, no)""",
     "regression_metrics": PE.LOSSES_SQL
     + """, d as (select side, target, loss x, maximum_drawdown y from lo where maximum_drawdown is not null), f as (select target, regr_slope(y, x) b, regr_intercept(y, x) a from d where side = 'reference' group by 1),
 t as (select side, target, quantile_cont(y, 0.9) q90, quantile_cont(y, 0.95) q95, avg(y) my from d group by 1, 2), z as (select d.*, a + b * x p, q90, q95, my from d join f using (target) join t using (side, target)),
