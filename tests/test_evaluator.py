@@ -339,6 +339,16 @@ def test_student_t(spark):
     assert got.sort_values("row_id").x.tolist() == again.sort_values("row_id").x.tolist()
 
 
+def test_student_t_query_draws_every_step(spark):
+    from tidewright.plans import evaluator as PE
+    from tidewright.plans import scenarios as S
+
+    sf = "/root/testdata/sf0.001"
+    got = S.student_t_sampler(spark, sf).toPandas()
+    steps = {(r.path_id, r.step_no) for r in PE.paths(spark, sf).collect()}
+    assert set(zip(got.path_id, got.step_no)) == steps and len(got) == len(steps) and got.step_no.max() == 23
+
+
 def test_quantiles_by_passes_equal_the_aggregate(spark, monkeypatch):
     df = spark.createDataFrame([(g, float(x)) for g in ("u", "v") for x in np.random.default_rng(7).normal(size=101)], "g string, x double")
     plain = sorted(map(tuple, stats.grouped_quantiles(df, ["g"], "x", [0.1, 0.5]).collect()))

@@ -220,3 +220,11 @@ def test_autocorrelations_of_both_assets_to_lag_60(spark):
         d = y - y[ticks].mean()
         pairs = [(t, t + lag) for t in ticks if t + lag < 150 and not t <= gap <= t + lag]
         assert acf == pytest.approx(sum(d[i] * d[j] for i, j in pairs) / (d[ticks] ** 2).sum(), abs=1e-6)
+
+
+def test_daily_candles_of_every_shorter_interval(spark):
+    from tidewright.plans import pipeline as PP
+
+    got = PP.candle_resample_full(spark, "/root/testdata/sf0.001")
+    there = PP._klines(spark, "/root/testdata/sf0.001").where("candle_interval <> '1d'").select("candle_interval").distinct()
+    assert sorted(map(tuple, got.select("candle_interval").distinct().collect())) == sorted(map(tuple, there.collect()))

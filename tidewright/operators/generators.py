@@ -58,28 +58,30 @@ def nested_subsets(pool: DataFrame, groups: Sequence[str], key: str, ratios: Seq
     return each.where(F.col("__rank") <= F.bround(F.col("__n") * F.col("__s.ratio"))).select(*groups, key, F.col("__s.subset").alias("subset"))
 
 
-def student_t_pairs(rows: DataFrame, df: float = 5.0, seed: int = 7) -> DataFrame:
-    """Bivariate Student-t draws: ``rows`` has ``row_id``, locations m0, m1, raw scales s0, s1 and raw correlation c.
+def student_t_pairs(rows: DataFrame, df: float = 5.0, seed: int = 7, ids: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Bivariate Student-t draws: ``rows`` has the integers ``ids``, locations m0, m1, raw scales s0, s1 and raw correlation c.
 
     Scales are softplus plus 1e-3, the correlation 0.95 tanh; both assets share one chi-square denominator. Draws are seeded by
-    row, so they do not depend on the partitioning.
+    the ids of the row, so they do not depend on the partitioning.
     """
+    ids = list(ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             z = np.empty((len(pdf), 3))
-            for i, r in enumerate(pdf["row_id"]):
-                rng = np.random.default_rng([seed, int(r)])
+            for i, r in enumerate(pdf[ids].to_numpy()):
+                rng = np.random.default_rng([seed, *map(int, r)])
                 z[i, :2], z[i, 2] = rng.standard_normal(2), rng.chisquare(df)
             scale = np.logaddexp(0, pdf[["s0", "s1"]].to_numpy()) + 1e-3
             rho = 0.95 * np.tanh(pdf["c"].to_numpy())
             shrink = np.sqrt(df / z[:, 2])
             x = pdf["m0"].to_numpy() + scale[:, 0] * z[:, 0] * shrink
             y = pdf["m1"].to_numpy() + scale[:, 1] * (rho * z[:, 0] + np.sqrt(1 - rho**2) * z[:, 1]) * shrink
-            yield pd.DataFrame({"row_id": pdf["row_id"], "x": x, "y": y})
+            yield pdf[ids].assign(x=x, y=y)
 
     ship_package(rows.sparkSession)
-    return rows.select("row_id", "m0", "m1", "s0", "s1", "c").mapInPandas(run, "row_id bigint, x double, y double")
+    keys = [F.col(c).cast("bigint").alias(c) for c in ids]
+    return rows.select(*keys, "m0", "m1", "s0", "s1", "c").mapInPandas(run, ", ".join(f"{c} bigint" for c in ids) + ", x double, y double")
 
 
 @dataclass

@@ -90,9 +90,18 @@ def candle_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 def candle_resample(spark: SparkSession, sf: str) -> DataFrame:
     """Daily candles from the first copies of 6-hour ones: open of the first, close of the last."""
-    once = dedup.keep_first(_klines(spark, sf).where("candle_interval = '6h'"), KLINE_ID, ARRIVAL)
+    return _daily(_klines(spark, sf).where("candle_interval = '6h'"), ["feed_id", "instrument"])
+
+
+def candle_resample_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily candles from the first copies of the candles of each interval shorter than a day."""
+    return _daily(_klines(spark, sf).where("candle_interval <> '1d'"), ["feed_id", "instrument", "candle_interval"])
+
+
+def _daily(rows: DataFrame, keys: list[str]) -> DataFrame:
+    once = dedup.keep_first(rows, KLINE_ID, ARRIVAL)
     order = F.struct(F.col("open_time_utc"), F.col("row_id"))
-    daily = once.groupBy("feed_id", "instrument", F.date_format("open_time_utc", "yyyy-MM-dd").alias("day")).agg(
+    daily = once.groupBy(*keys, F.date_format("open_time_utc", "yyyy-MM-dd").alias("day")).agg(
         F.min_by("open_price", order).alias("open_price"),
         F.max("high_price").alias("high_price"),
         F.min("low_price").alias("low_price"),
@@ -268,6 +277,7 @@ QUERIES = {
         candle_audit,
         candle_rules,
         candle_resample,
+        candle_resample_full,
         download_coverage,
         panel_calendar,
         panel_audit,
@@ -411,6 +421,10 @@ from k group by 1""",
     + """, once as (select * from (select *, row_number() over (partition by feed_id, instrument, candle_interval, us order by received_at_utc, row_id) rn from k where candle_interval = '6h') where rn = 1)
 select feed_id, instrument, strftime(open_time_utc, '%Y-%m-%d') as day, first(open_price order by us) open_price, max(high_price) high_price, min(low_price) low_price, last(close_price order by us) close_price, round(sum(volume), 5) volume, count(*) candles
 from once group by 1, 2, 3""",
+    "candle_resample_full": _K
+    + """, once as (select * from (select *, row_number() over (partition by feed_id, instrument, candle_interval, us order by received_at_utc, row_id) rn from k where candle_interval in ('1h', '4h', '6h')) where rn = 1)
+select feed_id, instrument, candle_interval, strftime(open_time_utc, '%Y-%m-%d') as day, first(open_price order by us) open_price, max(high_price) high_price, min(low_price) low_price, last(close_price order by us) close_price, round(sum(volume), 5) volume, count(*) candles
+from once group by 1, 2, 3, 4""",
     "download_coverage": """select download_id, feed_id, (epoch_us(requested_end_exclusive_utc) - epoch_us(requested_start_utc)) // case candle_interval when '1h' then 3600000000 when '4h' then 14400000000 when '6h' then 21600000000 when '1d' then 86400000000 end room,
   observed_rows - coalesce(duplicate_open_times, 0) distinct_rows from kline_downloads""",
     "panel_calendar": CANDLES_SQL + f"select {', '.join(_cal_cols)} from cal",

@@ -333,8 +333,9 @@ def flow_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def student_t_sampler(spark: SparkSession, sf: str) -> DataFrame:
-    rows = PE.paths(spark, sf).where("step_no = 0").select(F.col("path_id").alias("row_id"), F.col("btc_log_return").alias("m0"), F.col("eth_log_return").alias("m1"), *[F.lit(x).alias(n) for n, x in (("s0", -4.0), ("s1", -3.5), ("c", 1.0))])
-    return G.student_t_pairs(rows)
+    """Draws around every step of every path."""
+    rows = PE.paths(spark, sf).select("path_id", "step_no", F.col("btc_log_return").alias("m0"), F.col("eth_log_return").alias("m1"), *[F.lit(x).alias(n) for n, x in (("s0", -4.0), ("s1", -3.5), ("c", 1.0))])
+    return G.student_t_pairs(rows, ids=("path_id", "step_no"))
 
 
 QUERIES = {
