@@ -308,12 +308,25 @@ def test_faulty_readings_are_flagged(spark):
     peak = max(d[3] for d in data[500:508]) * 1.001
     for i in range(500, 508):
         fault(i, "price", h=peak)
+    for i in (*range(180, 183), *range(560, 562), 600):  # all prices of up to three candles move together and come back
+        for j in range(2, 6):
+            data[i][j] *= 1.4 if i < 500 else 0.1
+        want.add((data[i][0], ms(data[i][1]), "price"))
     data[150][3] = None  # unknown is not faulty
     data[160][7], data[160][3] = None, -1.0  # nor does an incomplete reading count
     data.append(list(data[20]))
     assert flagged(spark, data) == want
 
 
+def test_a_genuine_rise_and_fall_is_not_flagged(spark):
+    data = candles()
+    for n, i in enumerate(range(100, 116)):  # up and down again over eight candles each, far from the level before
+        f = math.exp(0.02 * min(n + 1, 16 - n))
+        for j in range(2, 6):
+            data[i][j] *= f
+    assert flagged(spark, data) == set()
+
+
 def test_spikes_of_nothing(spark):
     assert flagged(spark, []) == set()
     assert flagged(spark, [[None, at(0), 1.0, 1.0, 1.0, 1.0, None, True, None, "x"], [1, None, 1.0, 0.0, 1.0, 1.0, 1.0, True, 1, "x"]]) == set()

@@ -241,6 +241,15 @@ def _stuck_sql(c: str) -> str:
     return f"coalesce({c} = lag({c}) over w and us - lag(us) over w <= {_WEEK}, false)::int e_{c}"
 
 
+def _change_sql(x: str) -> str:
+    """The changes from the medians of the readings before and after, in SQL."""
+    near = f"[n.{x} for n in coalesce({{side}}, []) if n.{x} is not null and abs(n.us - b.us) <= {spikes.CHANGE_US}]"
+    before, after = (f"({x} - list_median({near.format(side=side)}))" for side in ("before", "after"))
+    return f"{before} {x}b, {after} {x}a"
+
+
+_both_sql = lambda x, name: f"case when sign({x}a) = sign({x}b) then least(abs({x}a), abs({x}b)) end {name}"
+_step_sql = lambda x: f"case when us - lag(us) over w <= {spikes.CHANGE_US} then {x} - lag({x}) over w end {x}s"
 _P6_SQL = f"""
 with first_copy as (
   select *, row_number() over (partition by panel_id, open_time_utc order by received_at_utc, row_id) rn from btc_eth_6h_panel where is_complete),
@@ -248,28 +257,31 @@ r as (select panel_id, epoch_us(open_time_utc) us, hour(open_time_utc) hr, btc_o
 a as (
   select *, coalesce(h <= 0 or l <= 0 or h < l or h < greatest(o, c) or l > least(o, c), false) bad_price, coalesce(v < 0, false) bad_volume,
     case when h > 0 and greatest(o, c) > 0 then greatest(ln(h / greatest(o, c)), 0) end up, case when l > 0 and least(o, c) > 0 then greatest(ln(least(o, c) / l), 0) end down,
-    case when v > 0 then ln(v) end lv, {_stuck_sql("h")}, {_stuck_sql("l")}, {_stuck_sql("v")}
+    case when v > 0 then ln(v) end lv, case when h > 0 then ln(h) end lh, case when l > 0 then ln(l) end ll, {_stuck_sql("h")}, {_stuck_sql("l")}, {_stuck_sql("v")}
   from r window w as (partition by panel_id order by us)),
 b as (
   select *, sum(e_h) over e h4, sum(e_l) over e l4, sum(e_v) over e v4,
-    list({{'us': us, 'x': lv}}) over (partition by panel_id order by us rows between {spikes.AROUND} preceding and 1 preceding) before,
-    list({{'us': us, 'x': lv}}) over (partition by panel_id order by us rows between 1 following and {spikes.AROUND} following) after
+    list({{'us': us, 'lv': lv, 'lh': lh, 'll': ll}}) over (partition by panel_id order by us rows between {spikes.AROUND} preceding and 1 preceding) before,
+    list({{'us': us, 'lv': lv, 'lh': lh, 'll': ll}}) over (partition by panel_id order by us rows between 1 following and {spikes.AROUND} following) after
   from a window e as (partition by panel_id order by us rows between {spikes.STUCK - 2} preceding and current row)),
-c1 as (
+c0 as (
   select *, bool_or(h4 = {spikes.STUCK - 1} or l4 = {spikes.STUCK - 1}) over s stuck_price, bool_or(v4 = {spikes.STUCK - 1}) over s stuck_volume,
-    lv - list_median([n.x for n in coalesce(before, []) || coalesce(after, []) if n.x is not null and abs(n.us - b.us) <= {_WEEK}]) lvl
+    lv - list_median([n.lv for n in coalesce(before, []) || coalesce(after, []) if n.lv is not null and abs(n.us - b.us) <= {_WEEK}]) lvl, {_change_sql("lh")}, {_change_sql("ll")}
   from b window s as (partition by panel_id order by us rows between current row and {spikes.STUCK - 1} following)),
-both_levels as (select panel_id, hr, up, down, lvl from c1 union all select panel_id, -1, up, down, lvl from c1),
+c1 as (select *, {_both_sql("lh", "rise")}, {_both_sql("ll", "fall")}, {_step_sql("lh")}, {_step_sql("ll")} from c0 window w as (partition by panel_id order by us)),
+both_levels as (select panel_id, hr, up, down, lvl, null::double lhs, null::double lls from c1 union all select panel_id, -1, up, down, lvl, lhs, lls from c1),
 q as (
-  select panel_id, hr, count(*) n, quantile_disc(up, 0.25) u1, quantile_disc(up, 0.75) u3, quantile_disc(down, 0.25) d1, quantile_disc(down, 0.75) d3, quantile_disc(lvl, 0.25) v1, quantile_disc(lvl, 0.75) v3
+  select panel_id, hr, count(*) n, quantile_disc(up, 0.25) u1, quantile_disc(up, 0.75) u3, quantile_disc(down, 0.25) d1, quantile_disc(down, 0.75) d3, quantile_disc(lvl, 0.25) v1, quantile_disc(lvl, 0.75) v3,
+    quantile_disc(lhs, 0.75) - quantile_disc(lhs, 0.25) hi, quantile_disc(lls, 0.75) - quantile_disc(lls, 0.25) li
   from both_levels group by 1, 2),
 z as (
   select c1.*, (up - q.u3) / greatest(q.u3 - q.u1, {spikes.LEAST_RANGE}) zu, (down - q.d3) / greatest(q.d3 - q.d1, {spikes.LEAST_RANGE}) zd,
-    greatest(lvl - q.v3, q.v1 - lvl) / greatest(q.v3 - q.v1, {spikes.LEAST_RANGE}) zv
-  from c1 join q qh on qh.panel_id = c1.panel_id and qh.hr = c1.hr
+    greatest(lvl - q.v3, q.v1 - lvl) / greatest(q.v3 - q.v1, {spikes.LEAST_RANGE}) zv, rise / greatest(qw.hi, {spikes.LEAST_RANGE}) zr, fall / greatest(qw.li, {spikes.LEAST_RANGE}) zf
+  from c1 join q qh on qh.panel_id = c1.panel_id and qh.hr = c1.hr join q qw on qw.panel_id = c1.panel_id and qw.hr = -1
   join q on q.panel_id = c1.panel_id and q.hr = case when qh.n >= {spikes.HOUR_READINGS} then c1.hr else -1 end),
 f as (
-  select panel_id, us // 1000 open_time_ms, 'price' measure, bad_price impossible, stuck_price stuck, coalesce(zu > {spikes.WICK_FENCE} or zd > {spikes.WICK_FENCE}, false) spike from z
+  select panel_id, us // 1000 open_time_ms, 'price' measure, bad_price impossible, stuck_price stuck,
+    coalesce(zu > {spikes.WICK_FENCE}, false) or coalesce(zd > {spikes.WICK_FENCE}, false) or coalesce(zr > {spikes.CHANGE_FENCE}, false) or coalesce(zf > {spikes.CHANGE_FENCE}, false) spike from z
   union all select panel_id, us // 1000, 'volume', bad_volume, stuck_volume, coalesce(zv > {spikes.VOLUME_FENCE}, false) from z)
 """
 
