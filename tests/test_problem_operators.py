@@ -161,6 +161,29 @@ def test_interval_touch_is_exact(spark):
     assert intervals.interval_gaps(df.limit(0), ["k", "g"], "a", "b").count() == 0
 
 
+def test_interval_keys_keep_their_type_and_value(spark):
+    big, us = 2**53 + 1, dt.timedelta(microseconds=1)
+    data = [(big, None, at(0), at(1), at(0)), (big + 1, at(0) + us, at(20), at(21), at(0)), (None, at(0) + 2 * us, at(0), at(1), at(0)), (None, None, at(0), at(1), at(0)), (None, at(0) + us, at(0), at(1), at(0))]
+    df = spark.createDataFrame(data, "k bigint, t timestamp_ntz, a timestamp_ntz, b timestamp_ntz, __low timestamp_ntz")
+    out = intervals.interval_periods(df, ["k", "t"], "a", "b")
+    assert [t for _, t in out.dtypes[:2]] == ["bigint", "timestamp_ntz"]
+    assert {(r.k, r.t) for r in out.collect()} == {(d[0], d[1]) for d in data}
+
+
+def test_run_bitmaps_unite_as_sets(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        every, bits = set(), None
+        for _ in range(4):
+            low = rng.integers(0, 60, 6)
+            high = low + rng.integers(1, 9, 6)
+            one = intervals.RunBitmap.of(low, high)
+            bits = one if bits is None else bits | intervals.RunBitmap.from_bytes(one.to_bytes())
+            every |= {u for a, b in zip(low, high) for u in range(a, b)}
+        assert {u for a, b in bits.runs for u in range(a, b)} == every
+        assert (bits.runs[1:, 0] > bits.runs[:-1, 1]).all()
+
+
 # 4. percentiles
 
 QS = (0.01, 0.05, 0.5, 0.95, 0.99)

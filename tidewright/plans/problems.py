@@ -116,6 +116,11 @@ def p3_periods(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.interval_periods(rows, ["panel_id", "split"], "condition_start_utc", "target_end_utc")
 
 
+def p3_every_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The periods of every split, windows without a split being one of their own."""
+    return intervals.interval_periods(table(spark, sf, "window_index"), ["panel_id", "split"], "condition_start_utc", "target_end_utc")
+
+
 _P3_SQL = """
 with i as (
   select panel_id, split, epoch_us(condition_start_utc) s, epoch_us(target_end_utc) e from window_index
@@ -292,6 +297,7 @@ QUERIES = {
     "p2_regular_grid": p2_regular_grid,
     "p3_found": p3_found,
     "p3_periods": p3_periods,
+    "p3_every_split": p3_every_split,
     "p4_percentiles": p4_percentiles,
     "p4_exact_percentiles": p4_exact_percentiles,
     "p5_found": p5_found,
@@ -314,6 +320,7 @@ from g left join chosen c on c.panel_id = g.panel_id and c.tick_ms = g.prev""",
     + """, f as (select panel_id, split, s, reach from r where opens = 1 and reach is not null)
 select panel_id, split, reach // 1000 period_end_ms, s // 1000 next_start_ms from f""",
     "p3_periods": _P3_SQL + "select panel_id, split, min(s) // 1000 period_start_ms, max(e) // 1000 period_end_ms from r group by panel_id, split, run",
+    "p3_every_split": _P3_SQL.replace("split is not null and ", "") + "select panel_id, split, min(s) // 1000 period_start_ms, max(e) // 1000 period_end_ms from r group by panel_id, split, run",
     "p4_percentiles": _P4_ROWS
     + _P4_BUCKETS
     + f"select *, {radix.SUMMARY_ERROR!r}::double relative_error from (select 'all' scope, null run_day, * from ("
