@@ -24,7 +24,7 @@ def test_sql_belongs_to_queries():
 def test_without_the_text_queries(monkeypatch):
     monkeypatch.setitem(sys.modules, "tidewright.llm", None)
     names = set(entry.queries())
-    assert set(FOUND) <= names and not any(n.startswith(("p7", "p8", "p9")) for n in names) and set(entry.oracle_sql()) <= names
+    assert set(FOUND) <= names and not any(n.startswith(("p4", "p7", "p8", "p9")) for n in names) and set(entry.oracle_sql()) <= names
 
 
 def test_columns_and_types_of_the_found_queries(spark):

@@ -184,7 +184,7 @@ def test_run_bitmaps_unite_as_sets(spark):
         assert (bits.runs[1:, 0] > bits.runs[:-1, 1]).all()
 
 
-# 4. percentiles
+# exact order statistics of large groups
 
 QS = (0.01, 0.05, 0.5, 0.95, 0.99)
 
@@ -216,21 +216,6 @@ def test_exact_percentiles_without_broadcast(spark, monkeypatch):
     test_exact_percentiles(spark, (16, 16, 32))
 
 
-def test_daily_summaries_combine_within_the_error(spark):
-    rng = np.random.default_rng(6)
-    data = [(g, int(d), float(x)) for g in ("a", "b") for d, x in zip(rng.integers(0, 9, 4000), rng.standard_t(2, 4000))]
-    df = spark.createDataFrame(data, "g string, d int, x double")
-    daily = radix.digit_histogram(df, ["g", "d"], "x")
-    merged = radix.merge_histograms(daily, ["g"])
-    assert rows(merged) == rows(radix.digit_histogram(df, ["g"], "x"))
-    for r in radix.histogram_percentiles(merged, ["g"], QS).collect():
-        xs = sorted(x for g, _, x in data if g == r.g)
-        for q in QS:
-            i = int((len(xs) - 1) * q)
-            room = radix.SUMMARY_ERROR * max(abs(xs[i]), abs(xs[i + 1]))
-            assert abs(r[radix.quantile_name(q)] - np.quantile(xs, q)) <= room
-
-
 def test_quantile_names():
     assert [radix.quantile_name(q) for q in (0.01, 0.05, 0.5, 0.025, 0.999)] == ["q01", "q05", "q50", "q2_5", "q99_9"]
 
@@ -358,4 +343,4 @@ def test_spikes_of_nothing(spark):
 def test_reserved_names_are_refused(spark):
     df = spark.createDataFrame([("a", 1.0)], "n string, x double")
     with pytest.raises(ValueError):
-        radix.digit_histogram(df, ["n"], "x")
+        radix.exact_percentiles(df, ["n"], "x", QS)

@@ -1,12 +1,10 @@
-"""Percentiles of very large numeric columns by radix selection.
+"""Exact order statistics of large groups by radix selection.
 
 Values become 64-bit integers of the same order (``functions.keys``). A histogram of their leading digit
 shows which digit holds each target rank; the next pass counts the following digit of only those values,
 and so on. A histogram is a mergeable summary: counts of partitions, days or batches add up.
 
-``digit_histogram`` keeps the first 24 bits (sign, exponent, 12 bits of the mantissa), so an order statistic read
-from it is at most 2**-13 of its size away from the true one, however large the group; ``exact_percentiles``
-goes down to the last bit by passes over the values.
+``exact_percentiles`` goes down to the last bit by passes over the values, however large a group is.
 """
 
 from __future__ import annotations
@@ -22,14 +20,10 @@ from tidewright.operators.scan import join_on
 from tidewright.session import cut_lineage
 
 KEY_BITS = 64
-SUMMARY_BITS = 24
-#: Of each bucket's midpoint from any value in it, relative to the value (normal numbers).
-SUMMARY_ERROR = 2.0**-13
 #: Targets up to this many rows are sent to all tasks, beyond it the values are joined in a salted shuffle.
 BROADCAST_ROWS = 100_000
 SALTS = 16
-_INFINITY = 2047 << 52
-_RESERVED = {"digits", "n", "prefix", "targets", "n_values"}
+_RESERVED = {"n", "prefix", "targets", "n_values"}
 
 
 def _free(groups: Sequence[str]) -> None:
@@ -48,24 +42,6 @@ def _lead(c: Column, bits: int) -> Column:
     return F.call_function("div", c, F.lit(1 << bits).cast("bigint")) if bits else c
 
 
-def digit_histogram(values: DataFrame, groups: Sequence[str], value: str, bits: int = SUMMARY_BITS) -> DataFrame:
-    """The mergeable summary: ``groups``, ``digits`` (leading bits of the key) and ``n``.
-
-    A group without any value has one row with NULL digits and n = 0. Add a day or batch to ``groups`` for one summary
-    of each; ``merge_histograms`` adds them up.
-    """
-    _free(groups)
-    if not 12 <= bits <= KEY_BITS:
-        raise ValueError("bits must be between 12 and 64")
-    keyed = with_ordered_key(values.select(*groups, F.col(value).alias("__value")), "__value", "__key")
-    return keyed.select(*groups, _lead(F.col("__key"), KEY_BITS - bits).alias("digits")).groupBy(*groups, "digits").agg(F.count("digits").alias("n"))
-
-
-def merge_histograms(summaries: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Summaries of several days, partitions or batches as one."""
-    return summaries.groupBy(*groups, "digits").agg(F.sum("n").alias("n"))
-
-
 def _targets(total: Column, quantiles: Sequence[float]) -> Column:
     """The order statistics on both sides of each quantile: rank counted from 0."""
     out = []
@@ -104,44 +80,13 @@ def _read(found: DataFrame, groups: Sequence[str], quantiles: Sequence[float], v
     return wide.select(*groups, "n_values", *out)
 
 
-def histogram_percentiles(summary: DataFrame, groups: Sequence[str], quantiles: Sequence[float], bits: int = SUMMARY_BITS) -> DataFrame:
-    """Percentiles per group from a (merged) summary: ``groups``, ``n_values``, ``q01`` ...
-
-    Each order statistic is the midpoint of its bucket, so with 24 bits it is within ``SUMMARY_ERROR`` of its own
-    size; a percentile interpolates linearly between the two order statistics around it. Defined results:
-    NULL and NaN values do not count; a group without values has n_values 0 and NULL percentiles;
-    -0.0 counts as 0.0; infinities are the extreme values.
-    """
-    lead, rest = min(12, bits), KEY_BITS - bits
-    leads = summary.groupBy(*groups, _lead(F.col("digits"), bits - lead).alias("prefix")).agg(
-        F.sum("n").alias("n"),
-        F.collect_list(F.struct("digits", "n")).alias("__parts"),  # at most two to the 12 for each of the 24 bits' leads
-    )
-    whole = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
-    along = whole.orderBy(F.col("prefix").asc_nulls_first())
-    leads = leads.withColumns({"n_values": F.sum("n").over(whole), "__before": F.sum("n").over(along) - F.col("n")})
-    hits = _inside(_targets(F.col("n_values"), quantiles), F.col("__before"), F.col("n"))
-    leads = leads.withColumn("targets", hits).where((F.size("targets") > 0) | (F.col("n_values") == 0))
-    parts = leads.select(*groups, "n_values", "prefix", "targets", F.explode("__parts").alias("__part"))
-    parts = parts.select(*groups, "n_values", "prefix", "targets", F.col("__part.digits").alias("digits"), F.col("__part.n").alias("n"))
-    within = W.partitionBy(*groups, "prefix").orderBy("digits")
-    parts = parts.withColumn("__before", F.sum("n").over(within) - F.col("n"))
-    found = parts.select(*groups, "n_values", F.col("digits").alias("prefix"), _inside(F.col("targets"), F.col("__before"), F.col("n")).alias("targets"))
-    size = F.abs("prefix")
-    least = F.shiftleft(size, rest) if rest else size
-    most = F.least(least + F.lit((1 << rest) - 1).cast("bigint"), F.lit(_INFINITY).cast("bigint"))
-    middle = key_value(least) / 2 + key_value(most) / 2
-    value = F.when(size == 0, F.lit(0.0)).when(F.lit(rest == 0), key_value(least)).otherwise(middle)
-    found = found.where((F.size("targets") > 0) | (F.col("n_values") == 0))
-    return _read(found, groups, quantiles, F.when(F.col("prefix") < 0, -value).otherwise(value))
-
-
 def exact_percentiles(values: DataFrame, groups: Sequence[str], value: str, quantiles: Sequence[float], digits: Sequence[int] = (16, 16, 32)) -> DataFrame:
     """Percentiles per group without error, by radix selection over the values: one pass for each of ``digits``.
 
     After a pass only values that share the digits of some target rank are counted on. The targets of a pass (two
     for each group and quantile) are written once and sent to all tasks if their counted number allows it;
-    otherwise the values meet them in a salted shuffle join. Defined results as in ``histogram_percentiles``.
+    otherwise the values meet them in a salted shuffle join. Defined results: NULL and NaN values do not count; a group
+    without values has n_values 0 and NULL percentiles; -0.0 counts as 0.0; infinities are the extreme values.
     """
     _free(groups)
     if sum(digits) != KEY_BITS:
@@ -154,7 +99,7 @@ def exact_percentiles(values: DataFrame, groups: Sequence[str], value: str, quan
     counts = counts.withColumn("n_values", total).withColumn("__targets", _targets(total, quantiles))
     targets = cut_lineage(_hit(counts, groups, [], "__digit", "__targets"))
     for bits in digits[1:]:
-        rows = keyed.where(F.col("__key").isNotNull()).withColumn("prefix", shift(left))
+        rows = keyed.withColumn("prefix", shift(left))  # a filter on it would make the key several times over
         wanted = targets.where("n_values > 0").select(*groups, "prefix")
         if wanted.count() <= BROADCAST_ROWS:
             rows = join_on(rows, F.broadcast(wanted), [*groups, "prefix"], "inner")

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.times import to_us
-from tidewright.operators import dedup, grid, intervals, radix, rolling, spikes
+from tidewright.operators import dedup, grid, intervals, rolling, spikes
 from tidewright.sources.tables import table
 
-QUANTILES = (0.01, 0.05, 0.5, 0.95, 0.99)
 ARRIVAL = ("received_at_utc", "row_id")
 
 
@@ -131,66 +130,6 @@ r as (select *, sum(opens) over (partition by panel_id, split order by s, e rows
 """
 
 
-# 4. percentiles of very large numeric columns
-
-
-def measures(spark: SparkSession, sf: str) -> DataFrame:
-    """Losses by generator, target and batch; returns and rolling correlations by generator."""
-    losses = table(spark, sf, "path_losses").select(F.lit("loss").alias("measure"), "generator", "target", "batch", "run_day", F.col("loss").alias("value"))
-    of = lambda name: F.struct(F.lit(name).alias("measure"), F.col(name).alias("value"))
-    each = F.explode(F.array(of("btc_log_return"), of("eth_log_return"), of("rolling_correlation"))).alias("m")
-    none = F.lit(None).cast("string")
-    returns = table(spark, sf, "path_returns").select("generator", "run_day", each)
-    returns = returns.select("m.measure", "generator", none.alias("target"), none.alias("batch"), "run_day", "m.value")
-    return losses.unionByName(returns)
-
-
-MEASURE_GROUPS = ["measure", "generator", "target", "batch"]
-
-
-def _single(df: DataFrame) -> DataFrame:
-    """Percentiles in single precision, far below the stated error, for comparison with other engines."""
-    return df.withColumns({radix.quantile_name(q): F.col(radix.quantile_name(q)).cast("float") for q in QUANTILES})
-
-
-def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles of every run_day from its summary (scope day) and of all days from the merged summaries (scope all).
-    The stated error is relative to the order statistics."""
-    daily = radix.digit_histogram(measures(spark, sf), [*MEASURE_GROUPS, "run_day"], "value")
-    whole = radix.merge_histograms(daily, MEASURE_GROUPS)
-    both = daily.withColumn("scope", F.lit("day")).unionByName(whole.withColumns({"scope": F.lit("all"), "run_day": F.lit(None).cast("date")}))
-    out = radix.histogram_percentiles(both, ["scope", *MEASURE_GROUPS, "run_day"], QUANTILES)
-    out = _single(out).withColumn("run_day", F.date_format("run_day", "yyyy-MM-dd"))
-    return out.withColumn("relative_error", F.lit(radix.SUMMARY_ERROR))
-
-
-def p4_exact_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return _single(radix.exact_percentiles(measures(spark, sf), MEASURE_GROUPS, "value", QUANTILES))
-
-
-_P4_ROWS = """
-with v as (
-  select 'loss' measure, generator, target, batch, run_day, loss x from path_losses
-  union all select 'btc_log_return', generator, null, null, run_day, btc_log_return from path_returns
-  union all select 'eth_log_return', generator, null, null, run_day, eth_log_return from path_returns
-  union all select 'rolling_correlation', generator, null, null, run_day, rolling_correlation from path_returns)
-"""
-# a bucket has the values that share sign, exponent and 12 bits of the mantissa; its midpoint stands for them
-_P4_BUCKETS = """
-, e as (select *, cast(floor(log2(abs(x))) as integer) g from v where x is not null and x <> 0),
-s as (select *, g + case when abs(x) / power(2.0, g) >= 2 then 1 when abs(x) / power(2.0, g) < 1 then -1 else 0 end ex from e),
-b as (
-  select measure, generator, target, batch, run_day, x,
-    sign(x) * (floor(abs(x) / power(2.0, ex) * 4096) + 0.5) / 4096 * power(2.0, ex) y from s
-  union all select measure, generator, target, batch, run_day, x, x from v where x is null or x = 0)
-"""
-
-
-def _p4_select(source: str, x: str, groups: str) -> str:
-    cut = ", ".join(f"cast(quantile_cont({x}, {q}) + 0.0 as float) {radix.quantile_name(q)}" for q in QUANTILES)
-    return f"select {groups}, count(x) n_values, {cut} from {source} group by {groups}"
-
-
 # 5. messages delivered more than once
 
 KLINE_ID = ["feed_id", "instrument", "candle_interval", "open_time_utc"]
@@ -298,8 +237,6 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_periods": p3_periods,
     "p3_every_split": p3_every_split,
-    "p4_percentiles": p4_percentiles,
-    "p4_exact_percentiles": p4_exact_percentiles,
     "p5_found": p5_found,
     "p5_kept_candles": p5_kept_candles,
     "p5_new_batch": p5_new_batch,
@@ -321,14 +258,6 @@ from g left join chosen c on c.panel_id = g.panel_id and c.tick_ms = g.prev""",
 select panel_id, split, reach // 1000 period_end_ms, s // 1000 next_start_ms from f""",
     "p3_periods": _P3_SQL + "select panel_id, split, min(s) // 1000 period_start_ms, max(e) // 1000 period_end_ms from r group by panel_id, split, run",
     "p3_every_split": _P3_SQL.replace("split is not null and ", "") + "select panel_id, split, min(s) // 1000 period_start_ms, max(e) // 1000 period_end_ms from r group by panel_id, split, run",
-    "p4_percentiles": _P4_ROWS
-    + _P4_BUCKETS
-    + f"select *, {radix.SUMMARY_ERROR!r}::double relative_error from (select 'all' scope, null run_day, * from ("
-    + _p4_select("b", "y", "measure, generator, target, batch")
-    + ") union all by name select 'day' scope, * replace (strftime(run_day, '%Y-%m-%d') as run_day) from ("
-    + _p4_select("b", "y", "measure, generator, target, batch, run_day")
-    + "))",
-    "p4_exact_percentiles": _P4_ROWS + _p4_select("v", "x", "measure, generator, target, batch"),
     "p5_found": f"""
 select 'klines' table_name, row_id from (select row_id, row_number() over (partition by feed_id, instrument, candle_interval, open_time_utc order by received_at_utc, row_id) rn from {_P5_K}) where rn > 1
 union all
