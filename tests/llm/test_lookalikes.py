@@ -77,7 +77,7 @@ def documents(spark):
 
 @pytest.mark.parametrize("copies", [1, 10_000])
 def test_pairs_by_brute_force(spark, monkeypatch, copies):
-    monkeypatch.setattr(L, "COPIES_A_TASK", copies)
+    monkeypatch.setattr(L, "BLOCK", copies)
     texts, df = documents(spark)
     got = sorted((r.doc_id_a, r.doc_id_b) for r in L.lookalike_pairs(df).collect())
     seen = [(i, t, L.one_form(t)) for i, t in enumerate(texts) if t is not None and L.is_visible(L.one_form(t))]

@@ -61,6 +61,24 @@ def test_weights_come_first(spark):
     assert sum(i % 2 for i in taken) > 0.8 * len(taken)
 
 
+def test_quality_rules(spark):
+    prose = "The panel holds six hour candles of two assets and every gap in it is listed. " * 5
+    texts = [prose, "too short", "x " * 60, "1234 223 333 4444 " * 20, "# " * 30 + prose, "\n".join(["- " + prose] * 3), "\n".join([prose[:-2] + "..."] * 3), "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    rules = mixing.quality_rules(df["text"])
+    rows = df.select(*[r.alias(str(k)) for k, r in enumerate(rules.values())], mixing.quality_weight(df["text"]).alias("w")).collect()
+    broken = [[k for k in range(6) if not r[str(k)]] for r in rows]
+    assert broken[:7] == [[], [0], [1], [2], [3], [4], [5]]
+    assert rows[0].w == 1.0 and rows[1].w == 1 / 3 and rows[7].w == rows[8].w == mixing.LEAST_WEIGHT
+
+
+def test_many_sources(spark, monkeypatch):
+    sized = mixing.sized_documents(corpus(spark))
+    want = sorted(map(str, mixing.mix(sized, targets(spark)).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(sized, targets(spark)).collect())) == want
+
+
 def test_defined_cases(spark):
     docs = corpus(spark)
     sized = mixing.sized_documents(docs)

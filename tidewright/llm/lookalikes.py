@@ -189,8 +189,8 @@ def unify_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text")
     return documents.select(F.col(key), unified(F.col(text)).alias("form"))
 
 
-#: Copies of one text that meet the other spellings of its class in one task.
-COPIES_A_TASK = 10_000
+#: Documents of one spelling in a block; two blocks meet in one task.
+BLOCK = 2_000
 
 
 def digests(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -209,25 +209,23 @@ def digests(documents: DataFrame, key: str, text: str) -> DataFrame:
 def lookalike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs of documents that look the same and are not the same string: ``{key}_a`` < ``{key}_b``.
 
-    Only classes with several spellings are joined. Each document of such a class meets the documents of each other
-    spelling by an equi-join on that spelling, and spellings with many copies are split over tasks, so exact copies
-    are never compared with each other. Defined results: NULL texts and texts without a visible character are in
-    no pair; repeated rows of one key give their pairs once; an empty table gives no rows.
+    Spellings are cut into blocks of about ``BLOCK`` documents. Blocks of different spellings of one class are paired, the documents
+    of both sides are sent to each pair of blocks that theirs is in, and meet there: no task gets more than two blocks, however
+    many copies a spelling or spellings a class has, and exact copies are never compared with each other. Defined results: NULL
+    texts and texts without a visible character are in no pair; repeated rows of one key give their pairs once; an
+    empty table gives no rows.
     """
     rows = digests(documents, key, text).distinct()
     spellings = rows.groupBy("__f", "__t").agg(F.count(F.lit(1)).alias("__n"))
-    parts = F.ceil(F.col("__n") / F.lit(COPIES_A_TASK)).cast("int")
-    classes = spellings.groupBy("__f").agg(F.collect_list(F.struct(F.col("__t").alias("t"), parts.alias("parts"))).alias("__all")).where(F.size("__all") > 1)
-    members = rows.join(classes, "__f")
-    own = F.get(F.filter("__all", lambda s: s["t"] == F.col("__t")), 0)["parts"]
-    right = members.select(
-        F.col("__f").alias("__rf"), F.col("__t").alias("__rt"), F.pmod(F.xxhash64("__id"), own).cast("int").alias("__rp"), F.col("__id").alias("__b")
-    )
-    others = F.explode(F.filter("__all", lambda s: s["t"] != F.col("__t"))).alias("__o")
-    left = members.select(F.col("__id").alias("__a"), "__f", others)
-    left = left.select("__a", "__f", F.col("__o.t").alias("__lt"), F.explode(F.sequence(F.lit(0), F.col("__o.parts") - 1)).alias("__lp"))
-    on = (F.col("__f") == F.col("__rf")) & (F.col("__lt") == F.col("__rt")) & (F.col("__lp") == F.col("__rp"))
-    return left.join(right, on).where(F.col("__a") < F.col("__b")).select(F.col("__a").alias(f"{key}_a"), F.col("__b").alias(f"{key}_b"))
+    several = spellings.groupBy("__f").agg(F.count(F.lit(1)).alias("__s")).where("__s > 1").select("__f")
+    spellings = cut_lineage(spellings.join(several, "__f").select("__f", "__t", F.ceil(F.col("__n") / F.lit(BLOCK)).cast("int").alias("__parts")))
+    blocks = spellings.select("__f", "__t", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__p"))
+    side = lambda x: blocks.select("__f", F.col("__t").alias(f"__t{x}"), F.col("__p").alias(f"__p{x}"))
+    pairs = side(1).join(side(2), "__f").where("__t1 < __t2")
+    placed = rows.join(spellings, ["__f", "__t"]).select("__f", "__t", F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int").alias("__p"), "__id")
+    sent = lambda x, out: placed.withColumnsRenamed({"__t": f"__t{x}", "__p": f"__p{x}", "__id": out}).join(pairs, ["__f", f"__t{x}", f"__p{x}"])
+    met = sent(1, "__a").join(sent(2, "__b"), ["__f", "__t1", "__p1", "__t2", "__p2"]).where(F.col("__a") != F.col("__b"))
+    return met.select(F.least("__a", "__b").alias(f"{key}_a"), F.greatest("__a", "__b").alias(f"{key}_b")).distinct()
 
 
 def lookalike_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

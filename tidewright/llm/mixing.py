@@ -24,14 +24,38 @@ from tidewright.session import cut_lineage
 SEED = 20240501
 #: Leading bits of a key that make its bucket: sign, exponent and 12 bits of the mantissa.
 BUCKET_BITS = 24
-#: Target rows above this number are refused, as the plan of budgets is one small table.
-MOST_SOURCES = 100_000
+#: Budgets up to this many sources are sent to all tasks; more meet the documents in a salted shuffle.
+BROADCAST_SOURCES = 100_000
+SALTS = 64
+
+
+def quality_rules(text: Column) -> dict[str, Column]:
+    """Published rules of thumb for running text (Rae et al. 2021, "Scaling language models", appendix A), each true if it holds.
+
+    Words are separated by white space; texts in scripts without it break the rules on words and weigh less for that.
+    """
+    words = F.regexp_count(text, F.lit(r"\S+"))
+    lines = F.regexp_count(text, F.lit(r"(?m)^.*\S.*$"))
+    share = lambda pattern, of: F.try_divide(F.regexp_count(text, F.lit(pattern)), of)
+    letters = F.try_divide(F.length(F.regexp_replace(text, r"\s", "")), words)
+    return {
+        "50 to 100,000 words": words.between(50, 100_000),
+        "words of 3 to 10 characters on average": letters.between(3, 10),
+        "four words in five have a letter": share(r"\S*\p{L}\S*", words) >= 0.8,
+        "a hash sign or ellipsis for at most one word in ten": share(r"#|\.\.\.|\u2026", words) <= 0.1,
+        "at most nine lines in ten begin with a bullet": share(r"(?m)^\s*[-*\u2022]", lines) <= 0.9,
+        "at most three lines in ten end with an ellipsis": share(r"(?m)(?:\.\.\.|\u2026)\s*$", lines) <= 0.3,
+    }
+
+
+#: Least weight, so that every document can be drawn.
+LEAST_WEIGHT = 0.02
 
 
 def quality_weight(text: Column) -> Column:
-    """Between 0.1 and 1: the share of letters and spaces in the text; tables, logs and markup weigh less."""
-    plain = F.length(F.regexp_replace(text, r"[^\p{L} ]", ""))
-    return F.lit(0.1) + F.lit(0.9) * F.coalesce(plain / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
+    """1 for a text that keeps all ``quality_rules``; each broken rule divides it by three, down to ``LEAST_WEIGHT``."""
+    broken = [F.when(F.coalesce(r, F.lit(False)), 0).otherwise(1) for r in quality_rules(text).values()]
+    return F.greatest(F.lit(LEAST_WEIGHT), F.pow(F.lit(3.0), -sum(broken[1:], broken[0]).cast("double")))
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -86,10 +110,12 @@ def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -
     that repeat a document are documents of their own; ties of keys are broken by id.
     """
     budgets = cut_lineage(source_budgets(sized, targets, total_tokens).where(F.col("wanted") > 0))
-    if (n := budgets.count()) > MOST_SOURCES:
-        raise ValueError(f"{n} target sources; the plan is made for {MOST_SOURCES}")
-    plan = F.broadcast(budgets.select("source", "epochs", "rest"))
-    docs = sized.where(F.col("n_tokens") > 0).join(plan, "source")
+    plan, docs = budgets.select("source", "epochs", "rest"), sized.where(F.col("n_tokens") > 0)
+    if budgets.count() <= BROADCAST_SOURCES:
+        docs = docs.join(F.broadcast(plan), "source")
+    else:
+        salts = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        docs = docs.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "sampling_key"), F.lit(SALTS)).cast("int")).join(salts, ["source", "__salt"]).drop("__salt")
     docs = with_ordered_key(docs, "sampling_key", "__key")
     docs = docs.withColumn("__bucket", F.shiftright("__key", 64 - BUCKET_BITS)).drop("__key")
     buckets = docs.groupBy("source", "__bucket").agg(F.sum("n_tokens").alias("__n"))
