@@ -63,7 +63,7 @@ def test_weights_come_first(spark):
 
 def test_quality_rules(spark):
     prose = "The panel holds six hour candles of two assets and every gap in it is listed. " * 5
-    texts = [prose, "too short", "x " * 60, "1234 223 333 4444 " * 20, "# " * 30 + prose, "\n".join(["- " + prose] * 3), "\n".join([prose[:-2] + "..."] * 3), "", None]
+    texts = [prose, "too short", "x " * 60, "1234 223 333 4444 " * 20, "# " * 15 + prose, "\n".join(["- " + prose] * 3), "\n".join([prose[:-2] + "..."] * 3), "", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
     rules = mixing.quality_rules(df["text"])
     rows = df.select(*[r.alias(str(k)) for k, r in enumerate(rules.values())], mixing.quality_weight(df["text"]).alias("w")).collect()
