@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import stats
-from tidewright.operators import diversity, downstream, evaluator, generators, paths, ranks, risk
+from tidewright.operators import diversity, downstream, evaluator, generators, paths, ranks, risk, windows
 from tidewright.operators.evaluator import REFERENCE
 
 ASSETS = {"A": "a", "B": "b"}
@@ -248,9 +248,8 @@ def test_discriminator_and_regimes(spark):
 def test_block_bootstrap(spark):
     data = [(1, i, float(i), float(-i), i not in (0, 5)) for i in range(12)]
     df = spark.createDataFrame(data, "e bigint, tick_no bigint, a double, b double, returns_valid boolean")
-    blocks = generators.contiguous_blocks(df, "e", ["a", "b"], 3)
-    starts = sorted(r.a for r in blocks.where("block_step = 0").collect())
-    assert starts == [1, 2, 6, 7, 8, 9]
+    starts = sorted((r.tick_no, r.block_no) for r in generators.block_starts(df, "e", 3).collect())
+    assert starts == [(1, 0), (2, 1), (6, 2), (7, 3), (8, 4), (9, 5)]
     out = generators.block_bootstrap(df, "e", ["a", "b"], 3, 7, 8)
     assert out.count() == 7 * 8 and out.where("a <> -b").count() == 0
     again = generators.block_bootstrap(df.repartition(5), "e", ["a", "b"], 3, 7, 8)
@@ -389,3 +388,57 @@ def test_tuning_prefers_a_flow_that_can_learn(spark):
     trials = downstream.tune_flow(spark, x, cond, [{"couplings": 1, "hidden": 1}, {"couplings": 4, "hidden": 16}], epochs=60).collect()
     nll = {r.trial: r.nll for r in trials}
     assert set(nll) == {0, 1} and nll[1] < nll[0]
+
+
+def test_wasserstein_of_unequal_samples(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=37), rng.normal(1, 2, size=90)
+    frame = lambda xs: spark.createDataFrame([("g", i, float(x)) for i, x in enumerate(xs)] + [("g", -1, math.nan), ("g", -2, None)], "g string, i int, x double")
+    q = np.linspace(0, 1, 90)
+    got = ranks.sorted_wasserstein(frame(a), frame(b), ["g"], "x", ["i"]).collect()
+    assert [(r.g, r.wasserstein_1) for r in got] == [("g", pytest.approx(np.abs(np.quantile(a, q) - np.quantile(b, q)).mean()))]
+    same = ranks.sorted_wasserstein(frame(a), frame(b[:37]), ["g"], "x", ["i"]).first()
+    assert same.wasserstein_1 == pytest.approx(np.abs(np.sort(a) - np.sort(b[:37])).mean())
+    one = ranks.sorted_wasserstein(frame(a[:1]), frame(b[:1]), ["g"], "x", ["i"]).first()
+    assert one.wasserstein_1 == pytest.approx(abs(a[0] - b[0]))
+
+
+def test_quantiles_leave_out_nan_either_way(spark, monkeypatch):
+    df = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 3.0, math.nan, math.nan, None)] + [("b", math.nan)], "g string, x double")
+    small = sorted(map(tuple, stats.grouped_quantiles(df, ["g"], "x", (0.5, 0.95)).collect()))
+    grid = stats.grouped_grid(df, ["g"], "x", 5).collect()
+    monkeypatch.setattr(stats, "LARGE_BYTES", 0)
+    assert small == sorted(map(tuple, stats.grouped_quantiles(df, ["g"], "x", (0.5, 0.95)).collect())) == [("a", 2.0, pytest.approx(2.9)), ("b", None, None)]
+    assert [(r.g, r.grid) for r in grid] == [(r.g, r.grid) for r in stats.grouped_grid(df, ["g"], "x", 5).collect()] == [("a", [1.0, 1.5, 2.0, 2.5, 3.0])]
+
+
+def test_separation_of_splits(spark):
+    rows = [(1, "train", 0, 10), (1, "train", 5, 20), (1, "purge_train_validation", 15, 30), (1, "validation", 25, 40), (1, "test", 40, 60), (2, "train", 0, 9), (2, "test", 9, 12)]
+    df = spark.createDataFrame(rows, "e int, split string, condition_start_ms bigint, target_end_ms bigint")
+    got = sorted(map(tuple, windows.split_separation(df, "e").collect()))
+    assert got == [(1, "train", "validation", 5, True), (1, "validation", "test", 0, False), (2, "train", "test", 0, False)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidewright.session import ensure_checkpoint_dir
+
+    made = []
+    conf = SimpleNamespace(get=lambda k, d: d)
+    session = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master=master, setCheckpointDir=made.append))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(session("spark://host:7077"))
+    ensure_checkpoint_dir(session("local[4]"))
+    assert len(made) == 1
+
+
+def test_numbers_by_counter():
+    keys = np.column_stack([np.arange(20_000), np.full(20_000, 3)])
+    u = generators.uniforms(keys, 4, 7)
+    assert (u > 0).all() and (u < 1).all() and len(np.unique(u)) == u.size and (u[5:9] == generators.uniforms(keys[5:9], 4, 7)).all()
+    assert abs(u.mean(axis=0) - 0.5).max() < 0.01 and abs(np.corrcoef(u.T) - np.eye(4)).max() < 0.03
+    z = generators.normals(u[:, :2])
+    assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02
+    c = generators.chi_square(u[:, 2], 5.0)
+    assert c.mean() == pytest.approx(5, rel=0.02) and c.var() == pytest.approx(10, rel=0.05) and np.quantile(c, 0.95) == pytest.approx(11.0705, rel=0.02)

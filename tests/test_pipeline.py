@@ -225,6 +225,6 @@ def test_autocorrelations_of_both_assets_to_lag_60(spark):
 def test_daily_candles_of_every_shorter_interval(spark):
     from tidewright.plans import pipeline as PP
 
-    got = PP.candle_resample_full(spark, "/root/testdata/sf0.001")
+    got = PP.candle_resample(spark, "/root/testdata/sf0.001")
     there = PP._klines(spark, "/root/testdata/sf0.001").where("candle_interval <> '1d'").select("candle_interval").distinct()
     assert sorted(map(tuple, got.select("candle_interval").distinct().collect())) == sorted(map(tuple, there.collect()))

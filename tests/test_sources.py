@@ -112,6 +112,41 @@ def test_validating_readers(spark):
             candles.checked_partition(spark.createDataFrame(bad, i), ["train", "test"])
 
 
+def test_strict_candles(spark):
+    from tidewright.operators.panel import VALUES
+
+    row = {"open_time_utc": at(0), "symbol": "X", "interval": "6h", **{v: 1.0 for v in VALUES}}
+    make = lambda *changes: spark.createDataFrame([row | c for c in changes], "open_time_utc timestamp_ntz, symbol string, interval string, " + ", ".join(f"{v} double" for v in VALUES))
+    candles.checked_candles(make({}, {"open_time_utc": at(6)}), {"symbol": "X"})
+    for bad, why in (([], "no row"), ([{}, {}], "repeated"), ([{"open_time_utc": None}], "unknown open time"), ([{"close": None}], "unknown value"), ([{}, {"open_time_utc": at(6), "symbol": "Y"}], "several"), ([{"symbol": "Y"}], "another symbol")):
+        with pytest.raises(ValueError, match=why):
+            candles.checked_candles(make(*bad), {"symbol": "X"} if why.startswith("another") else None)
+
+
+def test_strict_panel(spark):
+    names = ("open", "high", "low", "close", "volume")
+    make = lambda *rows: spark.createDataFrame([(1, at(6 * i), ok, *v) for i, (ok, v) in enumerate(rows)], "k bigint, open_time_utc timestamp_ntz, is_complete boolean, " + ", ".join(f"a_{n} double" for n in names))
+    fine = (True, (2.0, 3.0, 1.0, 2.5, 0.0))
+    candles.checked_panel(make(fine, (False, (None,) * 5), (None, (9.0, 1.0, 2.0, 3.0, -1.0)), fine), ["a"], ["k"])
+    for v in ((2.0, 3.0, 2.2, 2.5, 1.0), (2.0, 2.4, 1.0, 2.5, 1.0), (2.0, 3.0, 0.0, 2.5, 1.0), (None, 3.0, 1.0, 2.5, 1.0), (2.0, 3.0, 1.0, 2.5, -1.0)):
+        with pytest.raises(ValueError, match="a price|a volume"):
+            candles.checked_panel(make(fine, (True, v)), ["a"], ["k"])
+    with pytest.raises(ValueError, match="repeated"):
+        candles.checked_panel(make(fine).union(make(fine)), ["a"], ["k"])
+
+
+def test_sums(tmp_path):
+    import hashlib
+
+    big = b"0123456789" * 300_000
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "b.bin").write_bytes(big)
+    (tmp_path / "a.txt").write_bytes(b"abc")
+    sums = artifacts.local_checksums([str(tmp_path / "d" / "b.bin"), str(tmp_path / "a.txt")], chunk=1000)
+    artifacts.write_sums(str(tmp_path / "SHA256SUMS"), sums, str(tmp_path))
+    assert (tmp_path / "SHA256SUMS").read_text() == f"{hashlib.sha256(b'abc').hexdigest()}  a.txt\n{hashlib.sha256(big).hexdigest()}  d/b.bin\n"
+
+
 def test_artifacts(spark, tmp_path):
     import hashlib
 

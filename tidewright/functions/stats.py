@@ -14,7 +14,12 @@ from tidewright.operators.scan import join_on
 
 QUANTILES = (0.01, 0.05, 0.5, 0.95, 0.99)
 #: Estimated input from which exact quantiles are selected in passes over the data; below it one aggregate holds a group's values.
-LARGE_BYTES = 4 << 30
+LARGE_BYTES = 64 << 20
+
+
+def known(df: DataFrame, *values: str) -> DataFrame:
+    """NaN as NULL, which no quantile counts, whichever way it is taken."""
+    return df.withColumns({v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v)) for v in values})
 
 
 def sample_sd(x: Column) -> Column:
@@ -56,19 +61,20 @@ def is_large(df: DataFrame) -> bool:
 
 
 def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str, quantiles: Sequence[float], like: DataFrame | None = None) -> DataFrame:
-    """Exact quantiles per group: ``groups`` and one column for each. Same result by either way.
+    """Exact quantiles per group: ``groups`` and one column for each. NULL and NaN do not count; same result by either way.
 
     The way is chosen by the size of ``like``, where estimates of ``df`` itself mislead (joins multiply them).
     """
     if is_large(df if like is None else like):
         return exact_percentiles(df, groups, value, quantiles).drop("n_values")
-    return df.groupBy(*groups).agg(*quantile_columns(F.col(value), quantiles))
+    return known(df.select(*groups, value), value).groupBy(*groups).agg(*quantile_columns(F.col(value), quantiles))
 
 
 def quantiles_of(df: DataFrame, groups: Sequence[str], wanted: dict[str, tuple[str, float]], like: DataFrame | None = None) -> DataFrame:
     """One quantile of each of several columns per group: ``wanted`` maps a name to its column and level."""
     if not is_large(df if like is None else like):
-        return df.groupBy(*groups).agg(*[quantile(F.col(c), q).alias(n) for n, (c, q) in wanted.items()])
+        rows = known(df, *{c for c, _ in wanted.values()})
+        return rows.groupBy(*groups).agg(*[quantile(F.col(c), q).alias(n) for n, (c, q) in wanted.items()])
     out = None
     for n, (c, q) in wanted.items():
         one = exact_percentiles(df, groups, c, [q]).drop("n_values").toDF(*groups, n)
@@ -77,12 +83,12 @@ def quantiles_of(df: DataFrame, groups: Sequence[str], wanted: dict[str, tuple[s
 
 
 def grouped_grid(df: DataFrame, groups: Sequence[str], value: str, points: int = 1001, like: DataFrame | None = None) -> DataFrame:
-    """``groups`` and ``grid``, the quantile grid of each group; ``like`` as in ``grouped_quantiles``."""
+    """``groups`` and ``grid``, the quantile grid of each group that has values; ``like`` as in ``grouped_quantiles``."""
     if not is_large(df if like is None else like):
-        return df.groupBy(*groups).agg(quantile_grid(F.col(value), points).alias("grid"))
-    known = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, F.col(value).cast("double").alias("__x"))
-    placed = ranked(known, groups, "__x", [], "__rank").select(*groups, "__rank", "__x")
-    sizes = known.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+        return known(df.select(*groups, value), value).groupBy(*groups).agg(quantile_grid(F.col(value), points).alias("grid")).where("grid is not null")
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, F.col(value).cast("double").alias("__x"))
+    placed = ranked(rows, groups, "__x", [], "__rank").select(*groups, "__rank", "__x")
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
     at = (F.col("__n") - 1) * F.col("__i") / F.lit(points - 1)
     wanted = sizes.select(*groups, "__n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("__i")).withColumn("__at", at)
     wanted = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("__at").cast("bigint"), F.ceil("__at").cast("bigint")))).alias("__rank"))

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.operators.scan import join_on
+from tidewright.session import FEW_ROWS, cut_lineage
 
 
 _RANK, _CANONICAL, _LISTED = "__dedup_rank", "__dedup_canonical", "__dedup_listed"
@@ -50,12 +51,18 @@ def further_copies(rows: DataFrame, identifier: Sequence[str], arrival: Sequence
 def accept_batch(batch: DataFrame, stored: DataFrame, identifier: Sequence[str], arrival: Sequence[str]) -> DataFrame:
     """The rows of a new batch that are to be stored: its first copies whose identifier is not stored yet.
 
-    Rows whose identifier has a NULL part are accepted, as in ``keep_first``. After ``keep_first`` an identifier
-    occurs once in the batch, so the anti-join has no hot key on that side; stored identifiers are made
-    distinct before it.
+    Rows whose identifier has a NULL part are accepted, as in ``keep_first``. The first copies of the batch are written once;
+    if their counted identifiers allow it, the store is cut to those before its identifiers are shuffled, so a small
+    batch costs a scan of the store and no more. The identifiers of either side are distinct in the anti-join.
     """
     fresh = keep_first(batch, identifier, arrival)
-    return join_on(fresh, stored.select(*identifier).distinct(), list(identifier), "left_anti") if identifier else fresh
+    if not identifier:
+        return fresh
+    fresh = cut_lineage(fresh)
+    asked, known = fresh.select(*identifier), stored.select(*identifier)
+    if asked.count() <= FEW_ROWS:
+        known = join_on(known, F.broadcast(asked), list(identifier), "left_semi")
+    return join_on(fresh, known.distinct(), list(identifier), "left_anti")
 
 
 def canonical_symbol(spelling: Column) -> Column:

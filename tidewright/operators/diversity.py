@@ -15,12 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.functions.prng import draw
-from tidewright.session import ship_package
+from tidewright.session import cut_lineage, ship_package
 
 #: Bytes of query vectors sent to all tasks at once.
 QUERY_BYTES = 32 << 20
-#: Rows of the data side compared at once in a task.
+#: Rows of the data side, and queries, compared at once in a task: two million distances at most.
 ROWS_AT_ONCE = 2_048
+QUERIES_AT_ONCE = 1_024
 #: Share of the vectors' squared lengths by which rounding may raise a projected squared distance above the true one.
 SLACK = 1e-9
 
@@ -56,54 +57,69 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str = "id", vector: str =
         rng = np.random.default_rng(seed)
         directions = np.linalg.qr(rng.choice([-1.0, 1.0], size=(width, project)))[0]  # orthonormal: no distance grows
     found = None
+    order = W.partitionBy("query_id").orderBy("distance", "neighbour_id")
     for b in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         local = part.toPandas()  # one block of queries, bounded by QUERY_BYTES (twice that where hashing is uneven)
         if len(local):
             shared = queries.sparkSession.sparkContext.broadcast((local["id"].to_numpy(), np.vstack(local["vector"].to_numpy())))
             hits = data.mapInPandas(_search(shared, k, exclude_self, scale, directions, keep), "query_id bigint, neighbour_id bigint, distance double")
+            hits = hits.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= k).drop("__rank")
+            if blocks > 1:  # done with a block before the next is sent, so one block is held at a time
+                hits = cut_lineage(hits)
+                shared.destroy()
             found = hits if found is None else found.unionByName(hits)
-    order = W.partitionBy("query_id").orderBy("distance", "neighbour_id")
-    return found.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= k).drop("__rank")
+    return found
+
+
+class _Best:
+    """The ``k`` nearest rows so far of a slice of the queries."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, directions: np.ndarray | None, k: int):
+        self.ids, self.q, self.qp, self.k = ids, q, q if directions is None else q @ directions, k
+        self.norms = (self.qp * self.qp).sum(axis=1)
+        self.best = np.full((len(ids), k), np.inf)
+        self.who = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def _merge(self, which, distances: np.ndarray, names: np.ndarray) -> None:
+        every, who = np.hstack([self.best[which], distances]), np.hstack([self.who[which], names])
+        order = np.lexsort((who, every), axis=1)[:, : self.k]
+        self.best[which], self.who[which] = np.take_along_axis(every, order, axis=1), np.take_along_axis(who, order, axis=1)
+
+    def look(self, own: np.ndarray, x: np.ndarray, xp: np.ndarray, first: int, exclude_self: bool, projected: bool) -> None:
+        """Takes in a chunk of rows: the ``first`` nearest by ``xp``, and where that is a projection all that its bound leaves open."""
+        sizes = self.norms[:, None] + (xp * xp).sum(axis=1)[None, :]
+        d = sizes - 2 * self.qp @ xp.T
+        if exclude_self:
+            d[self.ids[:, None] == own[None, :]] = np.inf
+        m = min(first, d.shape[1])
+        near = np.argpartition(d, m - 1, axis=1)[:, :m]
+        exact = np.sqrt(((self.q[:, None, :] - x[near]) ** 2).mean(axis=2))
+        exact[~np.isfinite(np.take_along_axis(d, near, axis=1))] = np.inf
+        self._merge(slice(None), exact, own[near])
+        if projected:
+            np.put_along_axis(d, near, np.inf, axis=1)
+            left = np.isfinite(d) & (d - SLACK * sizes <= self.best[:, -1:] ** 2 * self.q.shape[1])
+            for i in np.flatnonzero(left.any(axis=1)):
+                at = np.flatnonzero(left[i])
+                self._merge(slice(i, i + 1), np.sqrt(((self.q[i] - x[at]) ** 2).mean(axis=1))[None, :], own[at][None, :])
 
 
 def _search(shared, k: int, exclude_self: bool, scale, directions, keep: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
-        q = q / np.asarray(scale) if scale is not None else q
-        qp = q if directions is None else q @ directions
-        norms = (qp * qp).sum(axis=1)
-        look = k if directions is None else max(k, keep)
-        best = np.full((len(ids), k), np.inf)
-        who = np.full((len(ids), k), np.iinfo(np.int64).max)
+        by = 1.0 if scale is None else np.asarray(scale)
+        slices = [_Best(ids[at : at + QUERIES_AT_ONCE], q[at : at + QUERIES_AT_ONCE] / by, directions, k) for at in range(0, len(ids), QUERIES_AT_ONCE)]
         for pdf in batches:
             for at in range(0, len(pdf), ROWS_AT_ONCE):
                 chunk = pdf.iloc[at : at + ROWS_AT_ONCE]
-                own, x = chunk["id"].to_numpy(), np.vstack(chunk["vector"].to_numpy())
-                x = x / np.asarray(scale) if scale is not None else x
+                own, x = chunk["id"].to_numpy(), np.vstack(chunk["vector"].to_numpy()) / by
                 xp = x if directions is None else x @ directions
-                sizes = norms[:, None] + (xp * xp).sum(axis=1)[None, :]
-                d = sizes - 2 * qp @ xp.T
-                if exclude_self:
-                    d[ids[:, None] == own[None, :]] = np.inf
-                m = min(look, d.shape[1])
-                near = np.argpartition(d, m - 1, axis=1)[:, :m]
-                exact = np.sqrt(((q[:, None, :] - x[near]) ** 2).mean(axis=2))
-                exact[~np.isfinite(np.take_along_axis(d, near, axis=1))] = np.inf
-                every, names = np.hstack([best, exact]), np.hstack([who, own[near]])
-                order = np.lexsort((names, every), axis=1)[:, :k]
-                best, who = np.take_along_axis(every, order, axis=1), np.take_along_axis(names, order, axis=1)
-                if directions is not None:
-                    np.put_along_axis(d, near, np.inf, axis=1)
-                    open_ = np.isfinite(d) & (d - SLACK * sizes <= best[:, -1:] ** 2 * q.shape[1])
-                    for i in np.flatnonzero(open_.any(axis=1)):
-                        left = np.flatnonzero(open_[i])
-                        every = np.concatenate([best[i], np.sqrt(((q[i] - x[left]) ** 2).mean(axis=1))])
-                        names = np.concatenate([who[i], own[left]])
-                        order = np.lexsort((names, every))[:k]
-                        best[i], who[i] = every[order], names[order]
-        good = np.isfinite(best)
-        yield pd.DataFrame({"query_id": np.repeat(ids, k)[good.ravel()], "neighbour_id": who[good], "distance": best[good]})
+                for s in slices:
+                    s.look(own, x, xp, k if directions is None else max(k, keep), exclude_self, directions is not None)
+        for s in slices:
+            good = np.isfinite(s.best)
+            yield pd.DataFrame({"query_id": np.repeat(s.ids, k)[good.ravel()], "neighbour_id": s.who[good], "distance": s.best[good]})
 
     return run
 
@@ -135,9 +151,13 @@ DISCRIMINATOR_ROWS = 2_000
 
 def _fit_and_score(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, steps: int = 500, rate: float = 0.1, l2: float = 1e-3) -> float:
     """Balanced held-out accuracy of a logistic regression by gradient descent, at least 0.5."""
-    order = rng.permutation(len(y))
-    cut = int(0.7 * len(y))
-    fit, held = order[:cut], order[cut:]
+    fit, held = [], []
+    for c in (0, 1):  # the same share of either class is held out
+        own = rng.permutation(np.flatnonzero(y == c))
+        cut = min(max(round(0.7 * len(own)), 1), len(own) - 1)
+        fit.append(own[:cut])
+        held.append(own[cut:])
+    fit, held = np.concatenate(fit), np.concatenate(held)
     mean, sd = x[fit].mean(axis=0), x[fit].std(axis=0)
     z = (x - mean) / np.where(sd == 0, 1.0, sd)
     w, b = np.zeros(x.shape[1]), 0.0

@@ -11,8 +11,10 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions import stats
 from tidewright.operators.generators import CouplingFlow
-from tidewright.session import cut_lineage, ship_package
+from tidewright.operators.scan import join_on
+from tidewright.session import cut_lineage, few, ship_package
 
 
 def regression_scores(scored: DataFrame, groups: Sequence[str], actual: str = "y", predicted: str = "p") -> DataFrame:
@@ -20,8 +22,9 @@ def regression_scores(scored: DataFrame, groups: Sequence[str], actual: str = "y
     degenerate), and the mean absolute error over the worst tenth and twentieth by actual value."""
     rows = scored.select(*groups, F.col(actual).alias("__y"), F.col(predicted).alias("__p"))
     y, p = F.col("__y"), F.col("__p")
-    ends = rows.groupBy(*groups).agg(F.percentile(y, F.lit(0.9)).alias("__q90"), F.percentile(y, F.lit(0.95)).alias("__q95"), F.avg(y).alias("__m"))
-    both = rows.join(ends, list(groups))
+    cuts = stats.grouped_quantiles(rows, groups, "__y", (0.9, 0.95)).toDF(*groups, "__q90", "__q95")
+    ends = few(join_on(cuts, rows.groupBy(*groups).agg(F.avg(y).alias("__m")), groups))
+    both = join_on(rows, ends, groups, "inner")
     e = F.abs(p - y)
     sst = F.sum(F.pow(y - F.col("__m"), F.lit(2.0)))
     return both.groupBy(*groups).agg(

@@ -1,6 +1,7 @@
 """Comparison of candidate paths with reference paths: marginal, temporal, cross-asset, trajectory and regime reports.
 
-Thresholds are fitted on the reference alone and applied to both sides. ``long`` frames have a row per path, step and
+Thresholds are fitted on the reference alone and applied to both sides; one row for each of the assets, whose names are an
+argument of the caller, so they are sent to all tasks. ``long`` frames have a row per path, step and
 asset with the return ``x``; ``side`` is the reference or the name of a candidate, so one pass serves all candidates.
 Thresholds and group means are one row per asset or side: joins with them are as small as the number of groups.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import stats
 from tidewright.operators import paths as P
+from tidewright.session import few
 
 REFERENCE = "reference"
 PATH = ["path_id", "asset"]
@@ -51,7 +53,7 @@ def marginal_report(long: DataFrame, extreme_quantile: float = 0.99, quantiles:
     """Moments, quantiles and extremes of the pooled returns of each candidate and asset against the reference."""
     x = F.col("x")
     limits = reference_threshold(long, ["asset"], F.abs(x), extreme_quantile, "extreme_threshold")
-    rows = long.join(limits, "asset")
+    rows = long.join(F.broadcast(limits), "asset")
     extreme = F.abs(x) >= F.col("extreme_threshold")
     summary = rows.groupBy("side", "asset").agg(
         F.first("extreme_threshold").alias("extreme_threshold"),
@@ -81,7 +83,7 @@ def volatility_runs(long: DataFrame, window: int, high_quantile: float) -> DataF
     """Frequency of high rolling volatility and the length of its runs: mean and 95 % quantile, 0 without runs."""
     vol = P.rolling_sd(long, PATH, window)
     limits = reference_threshold(vol, ["asset"], F.col("volatility"), high_quantile, "high_volatility_threshold")
-    flags = vol.join(limits, "asset").withColumn("__high", F.col("volatility") >= F.col("high_volatility_threshold"))
+    flags = vol.join(F.broadcast(limits), "asset").withColumn("__high", F.col("volatility") >= F.col("high_volatility_threshold"))
     share = flags.groupBy("side", "asset").agg(F.first("high_volatility_threshold").alias("high_volatility_threshold"), F.avg(F.col("__high").cast("double")).alias("high_volatility_frequency"))
     runs = P.true_runs(flags, PATH, "__high", keep=["side"])
     lengths = runs.groupBy("side", "asset").agg(F.avg("length").alias("__mean"), stats.quantile(F.col("length"), 0.95).alias("__p95"))
@@ -100,7 +102,7 @@ def extreme_clustering(long: DataFrame, k: int, extreme_quantile: float) -> Data
     """Probability of an extreme return after one in the last ``k`` steps, over that of any; NULL if either has no case."""
     limits = reference_threshold(long, ["asset"], F.abs("x"), extreme_quantile, "extreme_threshold")
     w = P.along(PATH)
-    rows = long.join(limits, "asset").withColumn("__e", F.abs("x") >= F.col("extreme_threshold"))
+    rows = long.join(F.broadcast(limits), "asset").withColumn("__e", F.abs("x") >= F.col("extreme_threshold"))
     rows = rows.withColumns({"__prior": F.max("__e").over(w.rowsBetween(-k, -1)), "__no": F.row_number().over(w)}).where(F.col("__no") > k)
     e = F.col("__e").cast("double")
     agg = rows.groupBy("side", "asset").agg(F.first("extreme_threshold").alias("extreme_threshold"), F.avg(e).alias("__base"), F.avg(F.when(F.col("__prior"), e)).alias("__after"))
@@ -112,7 +114,7 @@ def acf(long: DataFrame, lags: int) -> DataFrame:
     return P.pooled_acf(long, ["side", "asset"], PATH, lags, {"return": x, "absolute": F.abs(x), "squared": x * x})
 
 
-def temporal_report(long: DataFrame, lags: int = 5, window: int = 5, high_quantile: float = 0.9, extreme_quantile: float = 0.99, k: int = 4) -> DataFrame:
+def temporal_report(long: DataFrame, lags: int = 20, window: int = 20, high_quantile: float = 0.9, extreme_quantile: float = 0.99, k: int = 4) -> DataFrame:
     """Errors of autocorrelations, volatility clustering and extreme clustering of each candidate and asset."""
     corr = acf(long, lags)
     pairs = against_reference(corr, ["asset", "series", "lag"])
@@ -166,7 +168,7 @@ def joint_drops(paths: DataFrame, assets: dict[str, str], drop_quantile: float,
     x, y = assets.values()
     limits = stats.quantiles_of(paths.where(F.col("side") == REFERENCE), [], {f"joint_drop_threshold_{a}": (c, drop_quantile) for a, c in assets.items()})
     own = stats.quantiles_of(paths, ["side"], {f"__t_{a}": (c, tail_quantile) for a, c in assets.items()})
-    rows = paths.join(own, "side").crossJoin(F.broadcast(limits))  # one row
+    rows = paths.join(few(own), "side").crossJoin(F.broadcast(limits))  # one row
     below = lambda prefix: (F.col(x) <= F.col(f"{prefix}{list(assets)[0]}")) & (F.col(y) <= F.col(f"{prefix}{list(assets)[1]}"))
     share = lambda c: F.avg(c.cast("double"))
     return rows.groupBy("side").agg(
@@ -177,7 +179,7 @@ def joint_drops(paths: DataFrame, assets: dict[str, str], drop_quantile: float,
     )
 
 
-def cross_asset_report(paths: DataFrame, assets: dict[str, str], window: int = 12, stress_quantile: float = 0.9, drop_quantile: float = 0.05, tail_quantile: float = 0.05) -> DataFrame:
+def cross_asset_report(paths: DataFrame, assets: dict[str, str], window: int = 20, stress_quantile: float = 0.9, drop_quantile: float = 0.05, tail_quantile: float = 0.05) -> DataFrame:
     """Dependence between the two assets of each candidate against the reference."""
     flags = stress_flags(paths, assets, window, stress_quantile)
     summary = joint_drops(paths, assets, drop_quantile, tail_quantile).join(rolling_correlation_summary(flags, paths), "side")
@@ -195,7 +197,7 @@ def volatility_levels(long: DataFrame) -> DataFrame:
     sds = long.groupBy("side", "path_id", "asset").agg(stats.sample_sd(F.col("x")).alias("sd"))
     med = stats.grouped_quantiles(sds.where(F.col("side") == REFERENCE), ["asset"], "sd", [0.5], long).toDF("asset", "__m")
     relative = F.col("sd") / F.when(F.col("__m") == 0, F.lit(1.0)).otherwise(F.col("__m"))
-    return sds.join(med, "asset").groupBy("side", "path_id").agg(F.avg(relative).alias("level"))
+    return sds.join(F.broadcast(med), "asset").groupBy("side", "path_id").agg(F.avg(relative).alias("level"))
 
 
 def volatility_quartiles(long: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -18,31 +19,34 @@ from tidewright.operators.windows import at_home, frames, numbered, sharded
 from tidewright.session import ship_package
 
 
-def contiguous_blocks(returns: DataFrame, entity: str, columns: Sequence[str], length: int) -> DataFrame:
-    """All blocks of ``length`` successive valid returns, numbered from 0 within the entity: a row per block and step.
+def block_starts(returns: DataFrame, entity: str, length: int) -> DataFrame:
+    """Where all blocks of ``length`` successive valid returns begin: ``tick_no`` and ``block_no`` from 0 within the entity.
 
-    ``returns`` has ``tick_no`` and ``returns_valid``; segments shorter than a block give none.
+    ``returns`` has every tick, ``tick_no`` and ``returns_valid``; segments shorter than a block give none.
     """
     if length < 1:
         raise ValueError("blocks have at least one step")
     ahead = frames(entity).rowsBetween(0, length - 1)
     whole = F.sum(F.col("returns_valid").cast("int")).over(ahead) == length
-    payload = F.collect_list(F.struct(*columns)).over(ahead)
-    starts = sharded(returns, entity, 0, length - 1).withColumns({"__whole": whole, "__steps": payload}).where(F.col("__whole") & at_home())
-    starts = numbered(starts, entity, "tick_no", "block_no")
-    return starts.select(entity, F.col("block_no").cast("bigint").alias("block_no"), F.posexplode("__steps").alias("block_step", "__v")).select(entity, "block_no", "block_step", *[F.col(f"__v.{c}").alias(c) for c in columns])
+    starts = sharded(returns.select(entity, "tick_no", "returns_valid"), entity, 0, length - 1).withColumn("__whole", whole)
+    return numbered(starts.where(F.col("__whole") & at_home()).select(entity, "tick_no"), entity, "tick_no", "block_no")
 
 
 def block_bootstrap(returns: DataFrame, entity: str, columns: Sequence[str], length: int, paths: int, horizon: int, seed: int = 5042) -> DataFrame:
-    """``paths`` paths of ``horizon`` steps per entity, of blocks drawn uniformly with replacement, cut at the horizon."""
-    blocks = contiguous_blocks(returns, entity, columns, length)
-    counts = blocks.groupBy(entity).agg((F.max("block_no") + 1).alias("__blocks"))
+    """``paths`` paths of ``horizon`` steps per entity, of blocks drawn uniformly with replacement, cut at the horizon.
+
+    Only drawn blocks are laid out in steps.
+    """
+    starts = block_starts(returns, entity, length)
+    counts = starts.groupBy(entity).agg((F.max("block_no") + 1).alias("__blocks"))
     wanted = -(-horizon // length)
     draws = counts.select(entity, "__blocks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(paths - 1).cast("bigint"))).alias("path_no"))
     draws = draws.select("*", F.explode(F.sequence(F.lit(0), F.lit(wanted - 1))).alias("__j"))
     draws = draws.select(entity, "path_no", "__j", F.pmod(draw(seed, F.col(entity), F.col("path_no"), F.col("__j")), F.col("__blocks")).alias("block_no"))
-    rows = join_on(draws, blocks, [entity, "block_no"], "inner").withColumn("step_no", (F.col("__j") * length + F.col("block_step")).cast("bigint"))
-    return rows.where(F.col("step_no") < horizon).select(entity, "path_no", "step_no", *columns)
+    drawn = join_on(draws, starts, [entity, "block_no"], "inner")
+    steps = drawn.select(entity, "path_no", "__j", F.col("tick_no").alias("__from"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("__k"))
+    steps = steps.select(entity, "path_no", (F.col("__j") * length + F.col("__k")).cast("bigint").alias("step_no"), (F.col("__from") + F.col("__k")).alias("tick_no")).where(F.col("step_no") < horizon)
+    return join_on(steps, returns.select(entity, "tick_no", *columns), [entity, "tick_no"], "inner").select(entity, "path_no", "step_no", *columns)
 
 
 def nested_subsets(pool: DataFrame, groups: Sequence[str], key: str, ratios: Sequence[float], seed: int = 42) -> DataFrame:
@@ -58,6 +62,48 @@ def nested_subsets(pool: DataFrame, groups: Sequence[str], key: str, ratios: Seq
     return each.where(F.col("__rank") <= F.bround(F.col("__n") * F.col("__s.ratio"))).select(*groups, key, F.col("__s.subset").alias("subset"))
 
 
+#: Vectors that a flow samples at once in a task.
+SAMPLES_AT_ONCE = 65_536
+
+
+def uniforms(keys: np.ndarray, count: int, seed: int) -> np.ndarray:
+    """``count`` numbers above 0 and below 1 for each row of integer ``keys``, by counter: they depend on seed and keys alone.
+
+    The mixing function is the finaliser of splitmix64.
+    """
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    golden = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        state = mix(np.full(len(keys), seed, np.int64).view(np.uint64) + golden)
+        for c in range(keys.shape[1]):
+            state = mix(state + np.ascontiguousarray(keys[:, c], np.int64).view(np.uint64) + golden)
+        bits = mix(state[:, None] + np.arange(1, count + 1, dtype=np.uint64)[None, :] * golden)
+    return ((bits >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def normals(u: np.ndarray) -> np.ndarray:
+    """Standard normal numbers of pairs of uniform ones (Box and Muller)."""
+    r, angle = np.sqrt(-2 * np.log(u[:, 0::2])), 2 * np.pi * u[:, 1::2]
+    out = np.empty_like(u)
+    out[:, 0::2], out[:, 1::2] = r * np.cos(angle), r * np.sin(angle)
+    return out
+
+
+def chi_square(u: np.ndarray, df: float) -> np.ndarray:
+    """Chi-square numbers of uniform ones, by the inverse of a distribution function tabulated on a fine grid."""
+    grid = np.linspace(0.0, 1.0, 20_001)[1:] ** 3 * (df + 60 * np.sqrt(2 * df))
+    density = np.exp((df / 2 - 1) * np.log(grid) - grid / 2 - df / 2 * np.log(2.0) - lgamma(df / 2))
+    grid = np.append(0.0, grid)
+    density = np.append(0.0 if df > 2 else density[0], density)
+    share = np.append(0.0, np.cumsum((density[1:] + density[:-1]) / 2 * np.diff(grid)))
+    return np.interp(u, share / share[-1], grid)
+
+
 def student_t_pairs(rows: DataFrame, df: float = 5.0, seed: int = 7, ids: Sequence[str] = ("row_id",)) -> DataFrame:
     """Bivariate Student-t draws: ``rows`` has the integers ``ids``, locations m0, m1, raw scales s0, s1 and raw correlation c.
 
@@ -69,9 +115,9 @@ def student_t_pairs(rows: DataFrame, df: float = 5.0, seed: int = 7, ids: Sequen
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             z = np.empty((len(pdf), 3))
-            for i, r in enumerate(pdf[ids].to_numpy()):
-                rng = np.random.default_rng([seed, *map(int, r)])
-                z[i, :2], z[i, 2] = rng.standard_normal(2), rng.chisquare(df)
+            u = uniforms(pdf[ids].to_numpy(), 4, seed)
+            z[:, :2] = normals(u[:, :2])
+            z[:, 2] = chi_square(u[:, 2], df)
             scale = np.logaddexp(0, pdf[["s0", "s1"]].to_numpy()) + 1e-3
             rho = 0.95 * np.tanh(pdf["c"].to_numpy())
             shrink = np.sqrt(df / z[:, 2])
@@ -188,9 +234,10 @@ class CouplingFlow:
         s = [{k: np.zeros_like(v) for k, v in w.items()} for w in self.weights]
         best, state, bad, t = np.inf, None, 0, 0
         for _ in range(epochs):
+            train = rng.permutation(train)
             for at in range(0, len(train), batch):
                 t += 1
-                loss, grads = self._gradients(*pick(rng.permutation(train)[:batch]))
+                loss, grads = self._gradients(*pick(train[at : at + batch]))
                 if not np.isfinite(loss):
                     raise FloatingPointError("the likelihood is not finite")
                 norm = np.sqrt(sum((g * g).sum() for gr in grads for g in gr.values()))
@@ -241,17 +288,20 @@ class CouplingFlow:
         return rows.select(*cols).mapInPandas(run, "k bigint, log_prob double").withColumnRenamed("k", key)
 
     def sample(self, conditions: DataFrame, key: str, draws: int, condition: str | None = None, seed: int = 0) -> DataFrame:
-        """``draws`` vectors for each row of ``conditions``, seeded by key and draw: ``key``, ``draw_no``, ``vector``."""
+        """``draws`` vectors for each row of ``conditions``, seeded by key and draw, to 12 decimals: ``key``, ``draw_no``, ``vector``."""
         shared = ship_package(conditions.sparkSession).sparkContext.broadcast(self)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             flow = shared.value
             for pdf in batches:
-                for i in range(len(pdf)):
-                    k = int(pdf["k"].iloc[i])
-                    z = np.random.default_rng([seed, k]).standard_normal((draws, flow.dim))
-                    cond = np.repeat(np.asarray(pdf["c"].iloc[i], float)[None, :], draws, axis=0) if condition else None
-                    yield pd.DataFrame({"k": k, "draw_no": range(draws), "vector": list(flow.inverse(z, cond))})
+                step = max(1, SAMPLES_AT_ONCE // draws)
+                for at in range(0, len(pdf), step):
+                    part = pdf.iloc[at : at + step]
+                    keys = np.column_stack([np.repeat(part["k"].to_numpy(), draws), np.tile(np.arange(draws), len(part))])
+                    z = normals(uniforms(keys, flow.dim + flow.dim % 2, seed))[:, : flow.dim]
+                    cond = np.repeat(np.vstack(part["c"].to_numpy()), draws, axis=0) if condition else None
+                    # the last bits of a product depend on how many rows it has
+                    yield pd.DataFrame({"k": keys[:, 0], "draw_no": keys[:, 1], "vector": list(np.round(flow.inverse(z, cond), 12))})
 
         cols = [F.col(key).cast("bigint").alias("k"), *([F.col(condition).alias("c")] if condition else [])]
         return conditions.select(*cols).mapInPandas(run, "k bigint, draw_no bigint, vector array<double>").withColumnRenamed("k", key)

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.functions import stats
+from tidewright.session import few
 
 UNDERWATER = 1e-12
 
@@ -96,22 +97,23 @@ def pooled_acf(long: DataFrame, groups: Sequence[str], path: Sequence[str], lags
 
     Returns groups, ``series``, ``lag`` and ``acf`` (0 where a side has no variance).
     """
-    w = along(path, step)
     names = list(transforms)
-    rows = long.withColumns({f"__y{i}": transforms[n] for i, n in enumerate(names)})
-    means = rows.groupBy(*groups).agg(*[F.avg(f"__y{i}").alias(f"__m{i}") for i in range(len(names))])
-    rows = rows.join(means, list(groups))  # one row per group
-    rows = rows.withColumns({f"__d{i}": F.col(f"__y{i}") - F.col(f"__m{i}") for i in range(len(names))})
-    cells = [(i, k) for i in range(len(names)) for k in range(1, lags + 1)]
-    rows = rows.withColumns({f"__l{i}_{k}": F.lag(f"__d{i}", k).over(w) for i, k in cells})
+    d = [f"__d{i}" for i in range(len(names))]
+    rows = long.select(*dict.fromkeys([*groups, *path]), step, *[transforms[n].alias(c) for n, c in zip(names, d)])
+    means = few(rows.groupBy(*groups).agg(*[F.avg(c).alias(f"{c}_m") for c in d]))
+    rows = rows.join(means, list(groups)).withColumns({c: F.col(c) - F.col(f"{c}_m") for c in d})
+    # every step beside those up to ``lags`` before it in its path
+    near = rows.withColumn("__near", F.collect_list(F.struct(step, *d)).over(along(path, step).rowsBetween(-lags, -1)))
+    pairs = near.select(*groups, F.size("__near").alias("__n"), *d, F.posexplode("__near").alias("__i", "__e"))
+    pairs = pairs.withColumn("lag", (F.col("__n") - F.col("__i")).cast("bigint"))
     sums = []
-    for i, k in cells:
-        left, right = F.col(f"__l{i}_{k}"), F.when(F.col(f"__l{i}_{k}").isNotNull(), F.col(f"__d{i}"))
-        sums += [F.sum(left * right).alias(f"__a{i}_{k}"), F.sum(left * left).alias(f"__b{i}_{k}"), F.sum(right * right).alias(f"__c{i}_{k}")]
-    wide = rows.groupBy(*groups).agg(*sums)
-    acf = lambda i, k: F.when(F.col(f"__b{i}_{k}") * F.col(f"__c{i}_{k}") > 0, F.col(f"__a{i}_{k}") / F.sqrt(F.col(f"__b{i}_{k}") * F.col(f"__c{i}_{k}"))).otherwise(F.lit(0.0))
-    each = F.array(*[F.struct(F.lit(names[i]).alias("series"), F.lit(k).cast("bigint").alias("lag"), acf(i, k).alias("acf")) for i, k in cells])
-    return wide.select(*groups, F.explode(each).alias("__e")).select(*groups, "__e.series", "__e.lag", "__e.acf")
+    for i, c in enumerate(d):
+        here, there = F.col(c), F.col("__e").getField(c)
+        sums += [F.sum(here * there).alias(f"__a{i}"), F.sum(F.when(here.isNotNull(), there * there)).alias(f"__b{i}"), F.sum(F.when(there.isNotNull(), here * here)).alias(f"__c{i}")]
+    wide = pairs.groupBy(*groups, "lag").agg(*sums)
+    spread = lambda i: F.sqrt(F.col(f"__b{i}") * F.col(f"__c{i}"))
+    each = [F.struct(F.lit(n).alias("series"), F.when(F.col(f"__b{i}") * F.col(f"__c{i}") > 0, F.col(f"__a{i}") / spread(i)).otherwise(F.lit(0.0)).alias("acf")) for i, n in enumerate(names)]
+    return wide.select(*groups, "lag", F.explode(F.array(*each)).alias("__e")).select(*groups, "__e.series", "lag", "__e.acf")
 
 
 def path_features(paths: DataFrame, assets: dict[str, str], path: str = "path_id", step: str = "step_no", keep: Sequence[str] = ()) -> DataFrame:

@@ -16,6 +16,7 @@ from tidewright.functions.keys import with_ordered_key
 from tidewright.operators.scan import join_on
 
 _LOW_BITS = 40
+_SLICE = 65_536
 
 
 def _bucketed(df: DataFrame, value: str) -> DataFrame:
@@ -23,12 +24,16 @@ def _bucketed(df: DataFrame, value: str) -> DataFrame:
     return keyed.withColumn("__bucket", F.call_function("div", F.col("__key"), F.lit(1 << _LOW_BITS).cast("bigint"))).drop("__key")
 
 
-def ranked(df: DataFrame, groups: Sequence[str], value: str, ties: Sequence[str], out: str = "rank") -> DataFrame:
-    """Adds the rank of each row in its group, from 0, by value and then by ``ties``. Rows without value have no rank."""
+def ranked(df: DataFrame, groups: Sequence[str], value: str, ties: Sequence[str], out: str = "rank", total: str | None = None) -> DataFrame:
+    """Adds the rank of each row in its group, from 0, by value and then by ``ties``. Rows without value have no rank.
+
+    ``total`` names a column for the number of ranks in the group, added up from the buckets.
+    """
     rows = _bucketed(df, value)
     counts = rows.where(F.col("__bucket").isNotNull()).groupBy(*groups, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*groups).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.select(*groups, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    whole = [F.sum("__n").over(W.partitionBy(*groups)).alias(total)] if total else []  # a row for each bucket
+    bases = counts.select(*groups, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), *whole)
     placed = join_on(rows, bases, [*groups, "__bucket"])
     inside = W.partitionBy(*groups, "__bucket").orderBy(value, *ties)
     return placed.withColumn(out, F.col("__base") + F.row_number().over(inside) - 1).drop("__base", "__bucket")
@@ -49,17 +54,39 @@ def ecdf_at(points: DataFrame, sample: DataFrame, groups: Sequence[str], value:
 
 def ks_to_uniform(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Kolmogorov-Smirnov distance of values in [0, 1] to the uniform distribution, per group."""
-    n = F.count(F.lit(1)).over(W.partitionBy(*groups))
-    rows = ranked(df, groups, value, []).withColumn("__n", n)
+    rows = ranked(df.where(F.col(value).isNotNull() & ~F.isnan(value)), groups, value, [], total="__n")
     x = F.col(value)
     return rows.groupBy(*groups).agg(F.max(F.greatest((F.col("rank") + 1) / F.col("__n") - x, x - F.col("rank") / F.col("__n"))).alias("ks"))
 
 
 def sorted_wasserstein(a: DataFrame, b: DataFrame, groups: Sequence[str], value: str, ties: Sequence[str]) -> DataFrame:
-    """Wasserstein-1 of two samples of one size per group: mean distance of the values of equal rank."""
-    left = ranked(a, groups, value, ties).select(*groups, "rank", F.col(value).alias("__a"))
-    right = ranked(b, groups, value, ties).select(*groups, "rank", F.col(value).alias("__b"))
-    return join_on(left, right, [*groups, "rank"], "inner").groupBy(*groups).agg(F.avg(F.abs(F.col("__a") - F.col("__b"))).alias("wasserstein_1"))
+    """Wasserstein-1 of two samples per group: the mean distance of their quantiles at as many equally spaced levels as the larger
+    sample has values, so of the values of equal rank for two samples of one size. Groups that one side lacks are left out.
+
+    A level between two ranks takes both, weighted by nearness; every level is a row of its own, so no task holds a sample.
+    """
+
+    def side(df: DataFrame, x: str) -> tuple[DataFrame, DataFrame]:
+        rows = ranked(df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, *dict.fromkeys([value, *ties])), groups, value, ties, total="__n")
+        sizes = rows.where("rank = 0").select(*groups, F.col("__n").alias(f"__n_{x}"))
+        return rows.select(*groups, F.col("rank").alias("__rank"), F.col(value).cast("double").alias("__x")), sizes
+
+    (left, n), (right, m) = side(a, "a"), side(b, "b")
+    both = join_on(n, m, groups, "inner").withColumn("__m", F.greatest("__n_a", "__n_b"))
+    # levels in slices, so that one long sample is not laid out in one task
+    slices = both.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("__m") - 1, F.lit(_SLICE)))))
+    slices = slices.repartition(*groups, "__s")
+    levels = slices.select("*", F.explode(F.sequence(F.col("__s") * _SLICE, F.least((F.col("__s") + 1) * _SLICE, F.col("__m")) - 1)).alias("__i"))
+
+    def at(rows: DataFrame, size: str, sign: int) -> DataFrame:
+        place = F.when(F.col("__m") > 1, (F.col(size) - 1) * F.col("__i") / (F.col("__m") - 1)).otherwise(F.lit(0.0))
+        wanted = levels.select(*groups, "__i", "__m", place.alias("__at"))
+        wanted = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("__at").cast("bigint"), F.ceil("__at").cast("bigint")))).alias("__rank"))
+        near = join_on(wanted, rows, [*groups, "__rank"], "inner")
+        return near.select(*groups, "__i", "__m", (sign * F.col("__x") * (1 - F.abs(F.col("__at") - F.col("__rank")))).alias("__d"))
+
+    gaps = at(left, "__n_a", 1).unionByName(at(right, "__n_b", -1)).groupBy(*groups, "__i").agg(F.abs(F.sum("__d")).alias("__d"))
+    return gaps.groupBy(*groups).agg(F.avg("__d").alias("wasserstein_1"))
 
 
 def average_ranks(df: DataFrame, groups: Sequence[str], value: str, out: str = "average_rank") -> DataFrame:

@@ -12,6 +12,7 @@ from tidewright.functions.prng import draw
 from tidewright.operators.evaluator import REFERENCE
 from tidewright.operators.ranks import ecdf_at, ks_to_uniform, ranked
 from tidewright.operators.scan import join_on
+from tidewright.session import few
 
 LEVELS = (0.95, 0.99)
 
@@ -34,7 +35,7 @@ def var_es(losses: DataFrame, groups: Sequence[str], levels: Sequence[float] = L
     wide = stats.grouped_quantiles(losses, groups, "loss", levels).toDF(*groups, *[f"__q{i}" for i in range(len(levels))])
     each = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("level"), F.col(f"__q{i}").alias("var")) for i, q in enumerate(levels)])).alias("__l")
     limits = wide.select(*groups, each).select(*groups, "__l.level", "__l.var").where("var is not null")
-    tail = join_on(losses.select(*groups, "loss"), limits, groups, "inner").where(F.col("loss") >= F.col("var"))
+    tail = join_on(losses.select(*groups, "loss"), few(limits), groups, "inner").where(F.col("loss") >= F.col("var"))
     return tail.groupBy(*groups, "level").agg(F.first("var").alias("var"), F.avg("loss").alias("es"))
 
 
@@ -57,7 +58,8 @@ def unconditional_report(losses: DataFrame, levels: Sequence[float] = LEVELS) ->
     cand = measured.where(F.col("side") != REFERENCE).select(F.col("side").alias("candidate"), "target", "level", F.col("var").alias("candidate_var"), F.col("es").alias("candidate_es"))
     both = cand.join(ref, ["target", "level"])
     real = losses.where(F.col("side") == REFERENCE).select("target", "loss")
-    hits = real.join(both.select("candidate", "target", "level", "candidate_var"), "target")  # a few rows per target
+    both = few(both)
+    hits = real.join(both.select("candidate", "target", "level", "candidate_var"), "target")
     hits = hits.groupBy("candidate", "target", "level").agg(F.count(F.lit(1)).alias("observations"), F.count_if(F.col("loss") > F.col("candidate_var")).alias("exceptions"))
     out = both.join(hits, ["candidate", "target", "level"])
     rate = F.col("exceptions") / F.col("observations")
@@ -92,13 +94,26 @@ def conditional_report(losses: DataFrame, levels: Sequence[float] = LEVELS) -> D
 def percentile_points(losses: DataFrame) -> DataFrame:
     """For each reference loss and candidate the share of the candidate's losses at most as large."""
     cands = losses.where(F.col("side") != REFERENCE).select(F.col("side").alias("candidate"), "target", "loss")
-    names = cands.select("candidate", "target").distinct()
+    names = few(cands.select("candidate", "target").distinct())
     points = losses.where(F.col("side") == REFERENCE).select("path_id", "target", "loss").join(names, "target")
     return ecdf_at(points, cands, ["candidate", "target"], "loss", "percentile")
 
 
+def conditional_percentile_report(losses: DataFrame) -> DataFrame:
+    """As ``percentile_report``, each reference loss among the candidate's losses of the same condition. Conditions that either
+    side lacks are left out."""
+    known = losses.where(F.col("condition_id").isNotNull())
+    cands = known.where(F.col("side") != REFERENCE).select(F.col("side").alias("candidate"), "target", "condition_id", "loss")
+    names = cands.select("candidate", "target", "condition_id").distinct()
+    points = known.where(F.col("side") == REFERENCE).select("path_id", "target", "condition_id", "loss").join(names, ["target", "condition_id"])
+    return _calibration(ecdf_at(points, cands, ["candidate", "target", "condition_id"], "loss", "percentile"))
+
+
 def percentile_report(losses: DataFrame) -> DataFrame:
-    points = percentile_points(losses)
+    return _calibration(percentile_points(losses))
+
+
+def _calibration(points: DataFrame) -> DataFrame:
     p = F.col("percentile")
     base = points.groupBy("candidate", "target").agg(F.count(p).alias("n"), *stats.summary(p, quantiles=(0.05, 0.5, 0.95)))
     return base.join(ks_to_uniform(points, ["candidate", "target"], "percentile"), ["candidate", "target"])

@@ -163,6 +163,17 @@ def check_cuts(cuts_ms: Sequence[int], minimum_purge_ms: int, span_ms: int) -> N
         raise ValueError("a purge is too short")
 
 
+def split_separation(split: DataFrame, entity: str) -> DataFrame:
+    """Each pair of successive parts of an entity: milliseconds from the last target of the earlier to the first condition of the
+    later (``gap_ms``), and whether they are ``separate`` (the gap is above 0). Parts without windows are passed over."""
+    order = F.array_position(F.array(*[F.lit(s) for s in SPLITS]), F.col("split"))
+    kept = split.where(F.col("split").isin("train", "validation", "test"))
+    ends = kept.groupBy(entity, "split").agg(F.min("condition_start_ms").alias("__a"), F.max("target_end_ms").alias("__b"))
+    along = W.partitionBy(entity).orderBy(order)  # three rows at most
+    pairs = ends.select(entity, F.lag("split").over(along).alias("earlier"), F.col("split").alias("later"), (F.col("__a") - F.lag("__b").over(along)).alias("gap_ms"))
+    return pairs.where("earlier is not null").withColumn("separate", F.col("gap_ms") > 0)
+
+
 def split_audit(split: DataFrame, entity: str) -> DataFrame:
     """Windows, share, first condition and last target of each split."""
     n = F.count(F.lit(1))
@@ -170,12 +181,17 @@ def split_audit(split: DataFrame, entity: str) -> DataFrame:
     return by.withColumn("share", F.col("windows") / F.sum("windows").over(W.partitionBy(entity)))
 
 
-def covered_returns(returns: DataFrame, split: DataFrame, entity: str, c: int, t: int, name: str = "train") -> DataFrame:
-    """The ticks that lie in at least one window of a split, each once however many windows overlap there."""
+def mark_covered(returns: DataFrame, split: DataFrame, entity: str, c: int, t: int, name: str = "train") -> DataFrame:
+    """Adds ``covered``: whether a tick lies in at least one window of a split."""
     starts = split.where(F.col("split") == name).select(entity, F.col("start_index").alias("tick_no"), F.lit(1).alias("__starts"))
     rows = sharded(returns.join(starts, [entity, "tick_no"], "left"), entity, c + t - 1, 0)
-    covered = F.max("__starts").over(frames(entity).rowsBetween(1 - c - t, 0))
-    return rows.withColumn("__covered", covered).where((F.col("__covered") == 1) & at_home()).drop("__starts", "__covered", "__shard")
+    covered = F.max("__starts").over(frames(entity).rowsBetween(1 - c - t, 0)) == 1
+    return rows.withColumn("covered", F.coalesce(covered, F.lit(False))).where(at_home()).drop("__starts", "__shard")
+
+
+def covered_returns(returns: DataFrame, split: DataFrame, entity: str, c: int, t: int, name: str = "train") -> DataFrame:
+    """The ticks that lie in at least one window of a split, each once however many windows overlap there."""
+    return mark_covered(returns, split, entity, c, t, name).where("covered").drop("covered")
 
 
 def zscore_fit(rows: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -193,3 +209,9 @@ def zscore_apply(rows: DataFrame, fit: DataFrame, groups: Sequence[str], ids: Se
     long = rows.select(*dict.fromkeys([*groups, *ids]), each).select("*", F.col("f.column").alias("column"), F.col("f.x").alias("x")).drop("f")
     joined = join_on(long, fit.select(*groups, "column", "mean", "scale"), [*groups, "column"])
     return joined.withColumn("z", (F.col("x") - F.col("mean")) / F.col("scale"))
+
+
+def zscore_invert(scaled: DataFrame, fit: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """The inverse of ``zscore_apply``: adds ``value`` to the standardised values ``z`` in long form."""
+    joined = join_on(scaled, fit.select(*groups, "column", F.col("mean").alias("__mean"), F.col("scale").alias("__scale")), [*groups, "column"])
+    return joined.withColumn("value", F.col("z") * F.col("__scale") + F.col("__mean")).drop("__mean", "__scale")

@@ -14,7 +14,7 @@ from tidewright.operators import paths as P
 from tidewright.sources.tables import table
 
 ASSETS = {"BTC": "btc_log_return", "ETH": "eth_log_return"}
-LAGS, VOL_WINDOW, CORR_WINDOW, K = 5, 5, 12, 4
+LAGS, VOL_WINDOW, CORR_WINDOW, K = 20, 20, 20, 4
 
 
 def _rounded(df: DataFrame, digits: int = 7) -> DataFrame:

@@ -89,11 +89,6 @@ def candle_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candle_resample(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily candles from the first copies of 6-hour ones: open of the first, close of the last."""
-    return _daily(_klines(spark, sf).where("candle_interval = '6h'"), ["feed_id", "instrument"])
-
-
-def candle_resample_full(spark: SparkSession, sf: str) -> DataFrame:
     """Daily candles from the first copies of the candles of each interval shorter than a day."""
     return _daily(_klines(spark, sf).where("candle_interval <> '1d'"), ["feed_id", "instrument", "candle_interval"])
 
@@ -165,6 +160,18 @@ def split_audit(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(windows.split_audit(_split(_index(spark, sf)), "panel_id"), ["share"])
 
 
+def split_separation(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.split_separation(_split(_index(spark, sf)), "panel_id")
+
+
+def zscore_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Standardised returns brought back to returns."""
+    rows, fit = _fit(spark, sf)
+    scaled = windows.zscore_apply(rows.where("returns_valid"), fit, ["panel_id"], ["tick_ms"], RETURNS).where("z is not null")
+    out = windows.zscore_invert(scaled.select("panel_id", "tick_ms", "column", "z"), fit, ["panel_id"])
+    return _rounded(out.select("panel_id", "tick_ms", "column", "value"), ["value"], 9)
+
+
 def interval_union_returns(spark: SparkSession, sf: str) -> DataFrame:
     rows = returns(spark, sf)
     index = windows.window_index(windows.candidate_windows(rows, "panel_id", C, T), "panel_id", SPAN)
@@ -217,28 +224,12 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
     return runs.groupBy("panel_id", "__run").agg(F.min("tick_ms").alias("first_tick_ms"), F.count(F.lit(1)).alias("length")).drop("__run")
 
 
-def segmented_acf(spark: SparkSession, sf: str) -> DataFrame:
-    """Autocorrelation of each panel's returns: pairs within segments only, one denominator for the whole series."""
-    along = windows.frames("panel_id")
-    valid = returns(spark, sf).where("returns_valid").select("panel_id", "tick_no", "btc_log_return")
-    means = valid.groupBy("panel_id").agg(F.avg("btc_log_return").alias("__m"))
-    lags = range(1, 6)
-    centred = windows.sharded(valid.join(means, "panel_id"), "panel_id", max(lags), 0).withColumn("__d", F.col("btc_log_return") - F.col("__m"))
-    # k rows back is k ticks back exactly if no tick between is invalid, that is within the segment
-    paired = lambda k: F.when(F.col("tick_no") - F.lag("tick_no", k).over(along) == k, F.col("__d") * F.lag("__d", k).over(along))
-    pairs = centred.withColumns({f"__l{k}": paired(k) for k in lags}).where(windows.at_home())
-    sums = pairs.groupBy("panel_id").agg(F.sum(F.col("__d") * F.col("__d")).alias("__v"), *[F.coalesce(F.sum(f"__l{k}"), F.lit(0.0)).alias(f"__l{k}") for k in lags])
-    each = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(f"__l{k}").alias("s")) for k in lags])).alias("x")
-    acf = F.when(F.col("__v") > 0, F.col("x.s") / F.col("__v")).otherwise(F.lit(0.0))
-    return sums.select("panel_id", "__v", each).select("panel_id", "x.lag", F.round(acf, 7).alias("acf"))
-
-
 #: Lags of the whole report of autocorrelations.
 ACF_LAGS = 60
 
 
-def segmented_acf_full(spark: SparkSession, sf: str) -> DataFrame:
-    """Autocorrelations as in ``segmented_acf`` of both assets' returns and absolute returns, to lag 60."""
+def segmented_acf(spark: SparkSession, sf: str) -> DataFrame:
+    """Autocorrelations of both assets' returns and absolute returns: pairs within segments only, one denominator for a whole series."""
     return segment_correlations(returns(spark, sf).where("returns_valid").select("panel_id", "tick_no", *RETURNS), ACF_LAGS)
 
 
@@ -277,7 +268,6 @@ QUERIES = {
         candle_audit,
         candle_rules,
         candle_resample,
-        candle_resample_full,
         download_coverage,
         panel_calendar,
         panel_audit,
@@ -291,6 +281,8 @@ QUERIES = {
         condition_features,
         temporal_split,
         split_audit,
+        split_separation,
+        zscore_round_trip,
         interval_union_returns,
         zscore_fit,
         zscore_apply,
@@ -298,7 +290,6 @@ QUERIES = {
         price_reconstruction,
         segments,
         segmented_acf,
-        segmented_acf_full,
     )
 }
 
@@ -418,10 +409,6 @@ select feed_id, instrument, candle_interval, observed_rows, (l - f) // step + 1
   count(*) filter (low_price > least(open_price, close_price, high_price)) low_above, count(*) filter (us % step <> 0) off_grid, count(*) filter (coalesce(epoch_us(close_time_utc) <> us + step - 1000, true)) wrong_duration
 from k group by 1""",
     "candle_resample": _K
-    + """, once as (select * from (select *, row_number() over (partition by feed_id, instrument, candle_interval, us order by received_at_utc, row_id) rn from k where candle_interval = '6h') where rn = 1)
-select feed_id, instrument, strftime(open_time_utc, '%Y-%m-%d') as day, first(open_price order by us) open_price, max(high_price) high_price, min(low_price) low_price, last(close_price order by us) close_price, round(sum(volume), 5) volume, count(*) candles
-from once group by 1, 2, 3""",
-    "candle_resample_full": _K
     + """, once as (select * from (select *, row_number() over (partition by feed_id, instrument, candle_interval, us order by received_at_utc, row_id) rn from k where candle_interval in ('1h', '4h', '6h')) where rn = 1)
 select feed_id, instrument, candle_interval, strftime(open_time_utc, '%Y-%m-%d') as day, first(open_price order by us) open_price, max(high_price) high_price, min(low_price) low_price, last(close_price order by us) close_price, round(sum(volume), 5) volume, count(*) candles
 from once group by 1, 2, 3, 4""",
@@ -448,6 +435,12 @@ from idx i join ret r on r.panel_id = i.panel_id and r.tick_no between i.tick_no
     "temporal_split": SPLIT_SQL + "select panel_id, sample_id, target_start_ms, split from split",
     "split_audit": SPLIT_SQL
     + "select panel_id, split, count(*) windows, min(condition_start_ms) first_condition_ms, max(target_end_ms) last_target_ms, round(count(*) / sum(count(*)) over (partition by panel_id), 8) share from split group by 1, 2",
+    "split_separation": SPLIT_SQL
+    + """, e as (select panel_id, split, min(condition_start_ms) a, max(target_end_ms) b, case split when 'train' then 1 when 'validation' then 2 else 3 end k from split where split in ('train', 'validation', 'test') group by 1, 2),
+g as (select panel_id, lag(split) over w earlier, split later, a - lag(b) over w gap_ms from e window w as (partition by panel_id order by k)) select *, gap_ms > 0 separate from g where earlier is not null""",
+    "zscore_round_trip": _ZFIT_SQL
+    + """, l as (select panel_id, tick_ms, 'btc_log_return' as "column", btc_log_return x from ret where returns_valid union all select panel_id, tick_ms, 'eth_log_return', eth_log_return from ret where returns_valid)
+select l.panel_id, tick_ms, l."column", round(x, 9) + 0.0 as value from l join zf on zf.panel_id = l.panel_id and zf."column" = l."column" """,
     "interval_union_returns": _UNION_SQL + "select panel_id, tick_ms from cov",
     "zscore_fit": _ZFIT_SQL + 'select panel_id, "column", n, round(mean, 10) mean, round(scale, 10) scale, zero_variance from zf',
     "zscore_apply": _ZFIT_SQL
@@ -462,15 +455,10 @@ select panel_id, "column", n, 0.0::double mean_z, case when s = 0 then 0.0::doub
     "segments": RETURNS_SQL
     + """, g as (select *, tick_no - row_number() over (partition by panel_id order by tick_no) run from ret where returns_valid)
 select panel_id, min(tick_ms) first_tick_ms, count(*) length from g group by panel_id, run""",
-    "segmented_acf_full": RETURNS_SQL
+    "segmented_acf": RETURNS_SQL
     + f""", h as (select *, tick_no - row_number() over (partition by panel_id order by tick_no) run from ret where returns_valid),
 x as ({" union all ".join(f"select panel_id, tick_no, run, '{a}' asset, '{n}' series, {e} x from h" for a in ASSETS for n, e in (("return", f"{a}_log_return"), ("absolute", f"abs({a}_log_return)")))}),
 g as (select *, x - avg(x) over (partition by panel_id, asset, series) d from x), v as (select panel_id, asset, series, sum(d * d) v from g group by 1, 2, 3), lags as (select unnest(range(1, {ACF_LAGS + 1})) lag),
 p as (select a.panel_id, a.asset, a.series, lag, sum(a.d * b.d) s from g a cross join lags join g b on a.panel_id = b.panel_id and a.asset = b.asset and a.series = b.series and a.run = b.run and b.tick_no = a.tick_no + lag group by 1, 2, 3, 4)
 select v.panel_id, v.asset, v.series, lags.lag, round(case when v.v > 0 then coalesce(p.s, 0) / v.v else 0 end, 7) acf from v cross join lags left join p on p.panel_id = v.panel_id and p.asset = v.asset and p.series = v.series and p.lag = lags.lag""",
-    "segmented_acf": RETURNS_SQL
-    + """, g as (select *, tick_no - row_number() over (partition by panel_id order by tick_no) run, btc_log_return - avg(btc_log_return) over (partition by panel_id) d from ret where returns_valid),
-v as (select panel_id, sum(d * d) v from g group by 1), lags as (select unnest(range(1, 6)) lag),
-p as (select a.panel_id, b.tick_no - a.tick_no lag, sum(a.d * b.d) s from g a join g b on a.panel_id = b.panel_id and a.run = b.run and b.tick_no - a.tick_no between 1 and 5 group by 1, 2)
-select v.panel_id, lags.lag, round(case when v.v > 0 then coalesce(p.s, 0) / v.v else 0 end, 7) acf from v cross join lags left join p on p.panel_id = v.panel_id and p.lag = lags.lag""",
 }

@@ -14,14 +14,17 @@ from tidewright.operators import evaluator as E
 from tidewright.operators import generators as G
 from tidewright.operators import ranks
 from tidewright.operators import risk as R
+from tidewright.operators import windows
 from tidewright.operators.downstream import augmentation_comparison, regression_scores, tune_flow
 from tidewright.operators.paths import path_features
 from tidewright.plans import evaluator as PE
 from tidewright.plans import pipeline as PP
+from tidewright.session import cut_lineage, few
 from tidewright.sources.tables import table
 
 ASSETS, WEIGHTS = PE.ASSETS, {"BTC": 0.6, "ETH": 0.4}
-LENGTHS, LENGTH, PATHS, HORIZON = (1, 4, 12), 4, 5, 12
+#: Block lengths that are compared, the one of ``block_bootstrap``, paths of each panel, and steps of a path.
+LENGTHS, LENGTH, PATHS, HORIZON = (1, 4, 12, 20, 28, 40, 60, 120), 4, 100, PP.T
 _rounded = PE._rounded  # noqa: SLF001
 _Q = "id % 20 = 0"  # the stated query set of searches
 
@@ -62,12 +65,12 @@ def pit_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(R.percentile_report(PE.losses(spark, sf)))
 
 
-def es_stability(spark: SparkSession, sf: str) -> DataFrame:
-    """The short form: 20 resamples of 200 losses at the first level."""
-    return _rounded(R.es_stability(PE.losses(spark, sf), R.LEVELS[:1], 20, 200).drop("level"))
+def conditional_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Each reference loss's percentile among the candidate's losses of its own condition, summarised per candidate and target."""
+    return _rounded(R.conditional_percentile_report(PE.losses(spark, sf)))
 
 
-def es_stability_full(spark: SparkSession, sf: str) -> DataFrame:
+def es_stability(spark: SparkSession, sf: str) -> DataFrame:
     """100 resamples of up to 1,000 losses at every level."""
     return _rounded(R.es_stability(PE.losses(spark, sf)))
 
@@ -80,6 +83,15 @@ def wasserstein_sorted(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(ranks.sorted_wasserstein(a, b, ["side", "target"], "x", ["path_id"]))
 
 
+def wasserstein_unequal(spark: SparkSession, sf: str) -> DataFrame:
+    """Losses of each generator against the historical ones, samples of different sizes, at as many levels as the larger has losses."""
+    rows = PE.losses(spark, sf).select("side", "target", "path_id", F.col("loss").alias("x"))
+    names = few(rows.where(F.col("side") != E.REFERENCE).select("side", "target").distinct().withColumnRenamed("side", "candidate"))
+    made = rows.where(F.col("side") != E.REFERENCE).withColumnRenamed("side", "candidate")
+    real = rows.where(F.col("side") == E.REFERENCE).drop("side").join(names, "target")
+    return _rounded(ranks.sorted_wasserstein(made, real, ["candidate", "target"], "x", ["path_id"]))
+
+
 def histogram(spark: SparkSession, sf: str) -> DataFrame:
     """Density of the losses in 50 bins from -1 to 1; losses outside fall into bins 0 and 51."""
     rows = PE.losses(spark, sf)
@@ -128,16 +140,28 @@ def distance_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *stats.summary(F.col("distance"))), 5)
 
 
+def _trained(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths over the deviations of their asset's returns in training; three in ten historical paths are the reference, the others training."""
+    rows = PE.paths(spark, sf)
+    training = (F.col("side") == E.REFERENCE) & (F.pmod(draw(9, F.col("path_id")), F.lit(10)) >= 3)
+    rows = rows.withColumn("side", F.when(training, F.lit("training")).otherwise(F.col("side")))
+    sds = rows.where("side = 'training'").agg(*[F.stddev_pop(c).alias(f"__s_{c}") for c in ASSETS.values()])
+    rows = rows.crossJoin(F.broadcast(sds))  # one row
+    return rows.withColumns({c: F.col(c) / F.when(F.col(f"__s_{c}") > 0, F.col(f"__s_{c}")).otherwise(F.lit(1.0)) for c in ASSETS.values()})
+
+
 def neighbour_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Near duplicates, near memorisation and coverage of the candidates' paths, by the reference's own neighbour distances."""
-    v = _vectors(spark, sf).withColumnRenamed("path_id", "id")
-    ref = v.where(F.col("side") == E.REFERENCE)
-    own = D.nearest(ref.where(_Q), ref, exclude_self=True).agg(F.percentile("distance", F.lit(0.01)).alias("near"), F.percentile("distance", F.lit(0.95)).alias("radius"))
+    """Near duplicates, near memorisation and coverage of the candidates' standardised paths: near is as near as the closest hundredth
+    of training paths are to each other, covered within what 95 % of reference paths have to their own nearest."""
+    v = cut_lineage(D.path_vectors(_trained(spark, sf), list(ASSETS.values()), ["side"]).withColumnRenamed("path_id", "id"))
+    training, ref = v.where("side = 'training'"), v.where(F.col("side") == E.REFERENCE)
+    level = lambda rows, q, name: D.nearest(rows.where(_Q), rows, exclude_self=True).agg(F.percentile("distance", F.lit(q)).alias(name))
+    own = cut_lineage(level(training, 0.01, "near").crossJoin(F.broadcast(level(ref, 0.95, "radius"))))  # one row each
     out = None
-    for name in sorted(r.side for r in v.select("side").distinct().collect() if r.side != E.REFERENCE):
+    for name in sorted(r.side for r in v.select("side").distinct().collect() if r.side not in (E.REFERENCE, "training")):
         cand = v.where(F.col("side") == name)
         asked = cand.where(_Q)
-        parts = {"near_duplicate_fraction": ("near", D.nearest(asked, cand, exclude_self=True)), "near_memorization_fraction": ("near", D.nearest(asked, ref)), "coverage": ("radius", D.nearest(ref.where(_Q), cand))}
+        parts = {"near_duplicate_fraction": ("near", D.nearest(asked, cand, exclude_self=True)), "near_memorization_fraction": ("near", D.nearest(asked, training)), "coverage": ("radius", D.nearest(ref.where(_Q), cand))}
         for metric, (limit, found) in parts.items():
             row = found.crossJoin(F.broadcast(own)).agg(F.count(F.lit(1)).alias("queries"), F.avg((F.col("distance") <= F.col(limit)).cast("double")).alias("value"))
             row = row.select(F.lit(name).alias("candidate"), F.lit(metric).alias("metric"), "queries", "value")
@@ -160,25 +184,35 @@ def discriminator(spark: SparkSession, sf: str) -> DataFrame:
     return D.discriminator(features, columns, ["block_bootstrap", "conditional_flow", "student_cvae", "gaussian_walk", "frozen_last_value"])
 
 
+def _training(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tick with its returns; those that a training window covers are the valid ones, so no block has any other."""
+    covered = windows.mark_covered(PP.returns(spark, sf), PP._split(PP._index(spark, sf)), "panel_id", PP.C, PP.T)  # noqa: SLF001
+    return covered.select("panel_id", "tick_no", F.col("covered").alias("returns_valid"), *PP.RETURNS)
+
+
 def block_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    out = G.block_bootstrap(PP.returns(spark, sf), "panel_id", PP.RETURNS, LENGTH, PATHS, HORIZON)
+    out = G.block_bootstrap(_training(spark, sf), "panel_id", PP.RETURNS, LENGTH, PATHS, HORIZON)
     return _rounded(out, 9)
 
 
 def block_length_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Block lengths by mean rank over the errors of five statistics of bootstrapped against actual 12-step windows."""
-    actual = _pair_statistics(PP.window_payload(spark, sf).select(F.posexplode(F.arrays_zip("target_btc", "target_eth")).alias("step_no", "v"), "panel_id", "sample_id").select(
-        F.concat_ws("-", "panel_id", "sample_id").alias("path"), F.col("v.target_btc").alias("btc_log_return"), F.col("v.target_eth").alias("eth_log_return")
-    ), "actual")
-    out = None
-    source = PP.returns(spark, sf)
+    """Block lengths by mean rank over the errors of five statistics of paths bootstrapped from training returns against the targets
+    of the validation windows, and the one chosen: the least rank, then the shortest. Lengths that no training segment has are left out."""
+    along = windows.frames("panel_id").rowsBetween(1, PP.T)
+    extra = {f"target_{a}": F.collect_list(f"{a}_log_return").over(along) for a in PP.ASSETS}
+    index = windows.window_index(windows.candidate_windows(PP.returns(spark, sf), "panel_id", PP.C, PP.T, 1, extra), "panel_id", PP.SPAN)
+    held = PP._split(index).where("split = 'validation'")  # noqa: SLF001
+    held = held.select(F.concat_ws("-", "panel_id", "sample_id").alias("path"), F.explode(F.arrays_zip(*[f"target_{a}" for a in PP.ASSETS])).alias("v"))
+    actual = _pair_statistics(held.select("path", *[F.col(f"v.target_{a}").alias(r) for a, r in zip(PP.ASSETS, PP.RETURNS)]), "actual")
+    out, source = None, cut_lineage(_training(spark, sf))
     for length in LENGTHS:
         rows = G.block_bootstrap(source, "panel_id", PP.RETURNS, length, PATHS, HORIZON)
         one = _pair_statistics(rows.select(F.concat_ws("-", "panel_id", "path_no").alias("path"), *PP.RETURNS), "made").withColumn("length", F.lit(length).cast("bigint"))
         out = one if out is None else out.unionByName(one)
-    errors = out.join(actual, "metric").select("length", "metric", F.abs(F.col("made") - F.col("actual")).alias("error"))
-    scored = ranks.average_ranks(errors, ["metric"], "error")
-    return _rounded(scored.groupBy("length").agg(F.avg("average_rank").alias("mean_rank")))
+    errors = out.where("made is not null").join(actual, "metric").select("length", "metric", F.abs(F.col("made") - F.col("actual")).alias("error"))
+    scored = ranks.average_ranks(errors, ["metric"], "error").groupBy("length").agg(F.avg("average_rank").alias("mean_rank"))  # a row for each length
+    best = scored.agg(F.min(F.struct("mean_rank", "length"))["length"].alias("best"))
+    return _rounded(scored.crossJoin(F.broadcast(best)).select("length", "mean_rank", (F.col("length") == F.col("best")).alias("chosen")))  # one row
 
 
 def _pair_statistics(rows: DataFrame, name: str) -> DataFrame:
@@ -208,24 +242,11 @@ def augmented_train(spark: SparkSession, sf: str) -> DataFrame:
     return real.select("path_id", "synthetic", labels).unionByName(made)
 
 
-def conditional_draws(spark: SparkSession, sf: str) -> DataFrame:
-    """Four draws for each of up to 20 conditions: a candidate path of the condition picked by portable random numbers."""
-    pool = PE.losses(spark, sf).where(F.col("condition_id").isNotNull() & (F.col("side") == "conditional_flow") & (F.col("target") == "portfolio"))
-    from pyspark.sql import Window as W
-
-    asked = pool.select("condition_id").distinct().orderBy(draw(11, F.col("condition_id")), "condition_id").limit(20)
-    numbered = pool.withColumn("no", F.row_number().over(W.partitionBy("condition_id").orderBy("path_id")) - 1).select("condition_id", "no", "path_id")
-    counts = numbered.groupBy("condition_id").agg(F.count(F.lit(1)).alias("n")).join(asked, "condition_id")
-    draws = counts.select("condition_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("draw_no"))
-    draws = draws.withColumn("no", F.pmod(draw(12, F.col("condition_id"), F.col("draw_no")), F.col("n")))
-    return draws.join(numbered, ["condition_id", "no"]).select("condition_id", "draw_no", "path_id")
-
-
 #: Draws for each condition, candidate and target.
 DRAWS = 1_000
 
 
-def conditional_draws_full(spark: SparkSession, sf: str) -> DataFrame:
+def conditional_draws(spark: SparkSession, sf: str) -> DataFrame:
     """1,000 draws for every condition of every candidate and target."""
     return condition_draws(PE.losses(spark, sf).where(F.col("condition_id").isNotNull() & (F.col("side") != E.REFERENCE)), DRAWS)
 
@@ -347,9 +368,10 @@ QUERIES = {
         loss_summary,
         conditional_risk,
         pit_percentiles,
+        conditional_percentiles,
         es_stability,
-        es_stability_full,
         wasserstein_sorted,
+        wasserstein_unequal,
         histogram,
         grouped_orders,
         bottom_k_scenarios,
@@ -365,7 +387,6 @@ QUERIES = {
         nested_subsets,
         augmented_train,
         conditional_draws,
-        conditional_draws_full,
         regression_metrics,
         downstream_drawdown,
         flow_tuning,
@@ -392,7 +413,7 @@ def _var_es(source: str, groups: str) -> str:
 _VECTORS = PE.PATHS_SQL + """, vs as (select path_id, side, list(btc_log_return order by step_no) || list(eth_log_return order by step_no) vec from p group by 1, 2)
 """
 _rmse = lambda a, b: f"sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / len({a}))"
-_BLOCKS = lambda length: f"""st as (select *, sum(returns_valid::int) over (partition by panel_id order by tick_no rows between current row and {length - 1} following) ok from ret),
+_BLOCKS = lambda length: f"""st as (select *, sum(returns_valid::int) over (partition by panel_id order by tick_no rows between current row and {length - 1} following) ok from trn),
 bl as (select panel_id, tick_no, row_number() over (partition by panel_id order by tick_no) - 1 block_no from st where ok = {length}),
 bc as (select panel_id, count(*) n from bl group by 1),
 dr as (select panel_id, n, path_no, j, {draw_sql("5042", "panel_id", "path_no", "j")} % n block_no from bc, range({PATHS}) a(path_no), range({-(-HORIZON // length)}) b(j)),
@@ -413,15 +434,18 @@ def _renamed(cte: str, suffix: str) -> str:
     return re.sub(r"\b(st|bl|bc|dr|bs)\b", rf"\1_{suffix}", cte)
 
 
+_TRAIN_SQL = PP._UNION_SQL + ", trn as (select r.panel_id, r.tick_no, r.btc_log_return, r.eth_log_return, coalesce(v.c, false) returns_valid from ret r left join cov v using (panel_id, tick_no))"  # noqa: SLF001
+_FIVE = ("btc_spread", "eth_spread", "btc_volatility", "eth_volatility", "correlation")
 _SELECTION = (
-    PP.WINDOWS_SQL
-    + """, act as (select i.panel_id, i.sample_id, round(r.btc_log_return, 8) btc_log_return, round(r.eth_log_return, 8) eth_log_return from idx i join ret r on r.panel_id = i.panel_id and r.tick_no between i.tick_no + 1 and i.tick_no + 12)"""
+    _TRAIN_SQL
+    + """, act as (select s.panel_id, s.sample_id, r.btc_log_return, r.eth_log_return from split s join ret r on s.split = 'validation' and r.panel_id = s.panel_id and r.tick_no between s.tick_no + 1 and s.tick_no + 12)"""
     + "".join(f", {_renamed(_BLOCKS(x), str(x))}" for x in LENGTHS)
     + ", allst as ("
     + " union all ".join(f"select {x} length, * from {_statistics(f'(select * from bs_{x} where step_no < {HORIZON})', 'panel_id, path_no')}" for x in LENGTHS)
     + f"), a as (select * from {_statistics('act', 'panel_id, sample_id')}), er as ("
-    + " union all ".join(f"select length, '{m}' metric, abs(allst.{m} - a.{m}) error from allst, a" for m in ("btc_spread", "eth_spread", "btc_volatility", "eth_volatility", "correlation"))
-    + "), rk as (select *, rank() over (partition by metric order by error) + (count(*) over (partition by metric, error) - 1) / 2.0 r from er) select cast(length as bigint) length, round(avg(r), 7) mean_rank from rk group by 1"
+    + " union all ".join(f"select length, '{m}' metric, abs(allst.{m} - a.{m}) error from allst, a where allst.{m} is not null" for m in _FIVE)
+    + "), rk as (select *, rank() over (partition by metric order by error) + (count(*) over (partition by metric, error) - 1) / 2.0 r from er), mr as (select cast(length as bigint) length, avg(r) m from rk group by 1)"
+    + " select length, round(m, 7) mean_rank, row_number() over (order by m, length) = 1 chosen from mr"
 )
 _SUBSETS = f"""(select side, path_id, row_number() over (partition by side order by {draw_sql("42", "path_id")}, path_id) rk, count(*) over (partition by side) n from (select distinct side, path_id from p where side <> 'reference'))"""
 _SHARES = "(values ('025pct', 0.25::double), ('050pct', 0.5), ('100pct', 1.0)) s(subset, ratio)"
@@ -454,15 +478,15 @@ u as (
 e as (select *, sum(s) over (partition by candidate, target order by loss range unbounded preceding) / sum(s) over (partition by candidate, target) percentile from u),
 k as (select candidate, target, percentile, row_number() over (partition by candidate, target order by percentile) i, count(*) over (partition by candidate, target) nn from e where s = 0),
 s as (select candidate, target, count(*) n, avg(percentile) mean, coalesce(stddev_samp(percentile), 0) standard_deviation, {PE._q("percentile", [(0.05, "q05"), (0.5, "q50"), (0.95, "q95")])}, max(greatest(i / nn - percentile, percentile - (i - 1) / nn)) ks from k group by 1, 2)
+select candidate, target, n, {_r(["mean", "standard_deviation", "q05", "q50", "q95", "ks"])} from s""",  # noqa: SLF001
+    "conditional_percentiles": PE.LOSSES_SQL
+    + f""", k as (select * from lo where condition_id is not null), e as (
+  select c.side candidate, r.target, r.path_id, avg((c.loss <= r.loss)::int) percentile from k r join k c on r.side = 'reference' and c.side <> 'reference' and c.target = r.target and c.condition_id = r.condition_id group by 1, 2, 3),
+o as (select *, row_number() over (partition by candidate, target order by percentile) i, count(*) over (partition by candidate, target) nn from e),
+s as (select candidate, target, count(*) n, avg(percentile) mean, coalesce(stddev_samp(percentile), 0) standard_deviation, {PE._q("percentile", [(0.05, "q05"), (0.5, "q50"), (0.95, "q95")])}, max(greatest(i / nn - percentile, percentile - (i - 1) / nn)) ks from o group by 1, 2)
 select candidate, target, n, {_r(["mean", "standard_deviation", "q05", "q50", "q95", "ks"])} from s""",  # noqa: SLF001
     "es_stability": PE.LOSSES_SQL
     + f""", nm as (select side, target, loss, row_number() over (partition by side, target order by loss, path_id) - 1 no from lo), ct as (select side, target, count(*) n from nm group by 1, 2),
-dw as (select side, target, rep, {draw_sql("42", "rep", "i")} % n no from ct, range(20) a(rep), range(200) b(i) where i < n),
-sm as (select dw.side, dw.target, dw.rep, loss from dw join nm using (side, target, no)), m as {_var_es("sm", "side, target, rep")},
-s as (select side, target, avg(es) es_mean, coalesce(stddev_samp(es), 0) es_deviation from m where level = 0.95 group by 1, 2)
-select side, target, round(es_mean, 7) + 0.0 es_mean, round(es_deviation, 7) + 0.0 es_deviation, case when es_mean <> 0 then round(es_deviation / abs(es_mean), 7) + 0.0 end es_relative_deviation from s""",
-    "es_stability_full": PE.LOSSES_SQL
-    + f""", nm as (select side, target, loss, row_number() over (partition by side, target order by loss, path_id) - 1 no from lo), ct as (select side, target, count(*) n from nm group by 1, 2),
 dw as (select side, target, rep, {draw_sql("42", "rep", "i")} % n no from ct, range(100) a(rep), range(1000) b(i) where i < n),
 sm as (select dw.side, dw.target, dw.rep, loss from dw join nm using (side, target, no)), m as {_var_es("sm", "side, target, rep")},
 s as (select side, target, level, avg(es) es_mean, coalesce(stddev_samp(es), 0) es_deviation from m group by 1, 2, 3)
@@ -470,6 +494,11 @@ select side, target, level, round(es_mean, 7) + 0.0 es_mean, round(es_deviation,
     "wasserstein_sorted": PE.LOSSES_SQL
     + """, a as (select side, target, loss, row_number() over (partition by side, target order by loss) i from lo where maximum_drawdown is not null), b as (select side, target, maximum_drawdown m, row_number() over (partition by side, target order by maximum_drawdown) i from lo where maximum_drawdown is not null)
 select side, target, round(avg(abs(loss - m)), 7) + 0.0 wasserstein_1 from a join b using (side, target, i) group by 1, 2""",
+    "wasserstein_unequal": PE.LOSSES_SQL
+    + """, k as (select side, target, list(loss order by loss) s, count(*) n from lo group by 1, 2), j as (select c.side candidate, c.target, c.s a, r.s b, c.n n, r.n m, greatest(c.n, r.n) g from k c join k r on c.side <> 'reference' and r.side = 'reference' and c.target = r.target),
+i as (select candidate, target, a, b, n, m, g, unnest(range(g)) i from j), l as (select *, case when g > 1 then (n - 1) * i / (g - 1)::double else 0 end u, case when g > 1 then (m - 1) * i / (g - 1)::double else 0 end w from i),
+d as (select candidate, target, a[floor(u)::bigint + 1] + (a[ceil(u)::bigint + 1] - a[floor(u)::bigint + 1]) * (u - floor(u)) x, b[floor(w)::bigint + 1] + (b[ceil(w)::bigint + 1] - b[floor(w)::bigint + 1]) * (w - floor(w)) y from l)
+select candidate, target, round(avg(abs(x - y)), 7) + 0.0 wasserstein_1 from d group by 1, 2""",
     "histogram": PE.LOSSES_SQL
     + " select side, target, cast(case when loss < -1 then 0 when loss >= 1 then 51 else floor(50 * (loss + 1) / 2) + 1 end as bigint) bin, count(*) n from lo group by 1, 2, 3",
     "grouped_orders": f"""with z as (select *, avg(o_totalprice) over (partition by o_orderpriority) mu, stddev_pop(o_totalprice) over (partition by o_orderpriority) sp from orders),
@@ -485,13 +514,17 @@ select query_id, neighbour_id, round(distance, 6) distance from (select *, row_n
 d as (select a.vec_id, any_value(a.label) label, min({_rmse("a.v", "b.v")}) d from e a join e b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id group by 1),
 s as (select label, count(*) n, avg(d) mean, coalesce(stddev_samp(d), 0) standard_deviation, {PE._q("d")} from d group by 1)
 select label, n, {_r(["mean", "standard_deviation", "q01", "q05", "q50", "q95", "q99"], 5)} from s""",  # noqa: SLF001
-    "neighbour_report": _VECTORS
-    + f""", rr as (select a.path_id, min({_rmse("a.vec", "b.vec")}) d from vs a join vs b on a.side = 'reference' and b.side = 'reference' and a.path_id <> b.path_id and a.path_id % 20 = 0 group by 1),
-t as (select quantile_cont(d, 0.01) near, quantile_cont(d, 0.95) radius from rr),
-nd as (select a.side, a.path_id, min({_rmse("a.vec", "b.vec")}) d from vs a join vs b on a.side <> 'reference' and a.side = b.side and a.path_id <> b.path_id and a.path_id % 20 = 0 group by 1, 2),
-nm as (select a.side, a.path_id, min({_rmse("a.vec", "b.vec")}) d from vs a join vs b on a.side <> 'reference' and b.side = 'reference' and a.path_id % 20 = 0 group by 1, 2),
-cv as (select b.side, a.path_id, min({_rmse("a.vec", "b.vec")}) d from vs a join vs b on a.side = 'reference' and b.side <> 'reference' and a.path_id % 20 = 0 group by 1, 2),
-names as (select distinct side candidate from vs where side <> 'reference'),
+    "neighbour_report": PE.PATHS_SQL
+    + f""", p1 as (select * replace (case when side = 'reference' and {draw_sql("9", "path_id")} % 10 >= 3 then 'training' else side end as side) from p),
+sd as (select stddev_pop(btc_log_return) sb, stddev_pop(eth_log_return) se from p1 where side = 'training'),
+vs as (select path_id, side, list(btc_log_return / case when sb > 0 then sb else 1 end order by step_no) || list(eth_log_return / case when se > 0 then se else 1 end order by step_no) vec from p1, sd group by 1, 2),
+tt as (select a.path_id, min({_rmse("a.vec", "b.vec")}) d from vs a join vs b on a.side = 'training' and b.side = 'training' and a.path_id <> b.path_id and a.path_id % 20 = 0 group by 1),
+rr as (select a.path_id, min({_rmse("a.vec", "b.vec")}) d from vs a join vs b on a.side = 'reference' and b.side = 'reference' and a.path_id <> b.path_id and a.path_id % 20 = 0 group by 1),
+t as (select (select quantile_cont(d, 0.01) from tt) near, (select quantile_cont(d, 0.95) from rr) radius),
+nd as (select a.side, a.path_id, min({_rmse("a.vec", "b.vec")}) d from vs a join vs b on a.side not in ('reference', 'training') and a.side = b.side and a.path_id <> b.path_id and a.path_id % 20 = 0 group by 1, 2),
+nm as (select a.side, a.path_id, min({_rmse("a.vec", "b.vec")}) d from vs a join vs b on a.side not in ('reference', 'training') and b.side = 'training' and a.path_id % 20 = 0 group by 1, 2),
+cv as (select b.side, a.path_id, min({_rmse("a.vec", "b.vec")}) d from vs a join vs b on a.side = 'reference' and b.side not in ('reference', 'training') and a.path_id % 20 = 0 group by 1, 2),
+names as (select distinct side candidate from vs where side not in ('reference', 'training')),
 u as (select side, 'near_duplicate_fraction' metric, d, near lim from nd, t union all select side, 'near_memorization_fraction', d, near from nm, t union all select side, 'coverage', d, radius from cv, t)
 select candidate, m.metric, count(u.d) queries, round(avg((u.d <= u.lim)::int), 7) + 0.0 as value
 from names cross join (values ('near_duplicate_fraction'), ('near_memorization_fraction'), ('coverage')) m(metric) left join u on u.side = candidate and u.metric = m.metric group by 1, 2""",
@@ -501,18 +534,13 @@ select side, n, distinct_n, round(distinct_n / n, 7) + 0.0 unique_fraction, roun
     "exact_match": _VECTORS
     + """, k as (select side, list_transform(vec, lambda x: round_even(x, 12) + 0.0) v from vs)
 select side, count(*) n, count(*) filter (v in (select v from k where side = 'reference')) matches, round(count(*) filter (v in (select v from k where side = 'reference')) / count(*), 7) + 0.0 exact_match_fraction from k where side <> 'reference' group by 1""",
-    "block_bootstrap": PP.RETURNS_SQL + ", " + _BLOCKS(LENGTH) + f" select panel_id, path_no, step_no, round(btc_log_return, 9) + 0.0 btc_log_return, round(eth_log_return, 9) + 0.0 eth_log_return from bs where step_no < {HORIZON}",
+    "block_bootstrap": _TRAIN_SQL + ", " + _BLOCKS(LENGTH) + f" select panel_id, path_no, step_no, round(btc_log_return, 9) + 0.0 btc_log_return, round(eth_log_return, 9) + 0.0 eth_log_return from bs where step_no < {HORIZON}",
     "block_length_selection": _SELECTION,
     "nested_subsets": PE.PATHS_SQL + f" select side, path_id, subset from {_SUBSETS}, {_SHARES} where rk <= round_even(n * ratio, 0)",
     "augmented_train": PE.PATHS_SQL
     + f""" select distinct path_id, 0::bigint synthetic, dataset from p, (values ('000pct'), ('025pct'), ('050pct'), ('100pct')) d(dataset) where side = 'reference'
 union all select path_id, 1, subset from {_SUBSETS}, {_SHARES} where side = 'block_bootstrap' and rk <= round_even(n * ratio, 0)""",
     "conditional_draws": PE.LOSSES_SQL
-    + f""", pool as (select * from lo where condition_id is not null and side = 'conditional_flow' and target = 'portfolio'),
-ask as (select condition_id from (select distinct condition_id from pool) order by {draw_sql("11", "condition_id")}, condition_id limit 20),
-nm as (select condition_id, path_id, row_number() over (partition by condition_id order by path_id) - 1 no from pool), ct as (select condition_id, count(*) n from nm join ask using (condition_id) group by 1),
-dw as (select condition_id, i draw_no, {draw_sql("12", "condition_id", "i")} % n no from ct, range(4) a(i)) select condition_id, draw_no, path_id from dw join nm using (condition_id, no)""",
-    "conditional_draws_full": PE.LOSSES_SQL
     + f""", pool as (select * from lo where condition_id is not null and side <> 'reference'),
 nm as (select side, target, condition_id, path_id, row_number() over (partition by side, target, condition_id order by path_id) - 1 no from pool), ct as (select side, target, condition_id, count(*) n from nm group by 1, 2, 3),
 dw as (select side, target, condition_id, i draw_no, {draw_sql("12", "side", "condition_id", "i")} % n no from ct, range({DRAWS}) a(i)) select side, target, condition_id, draw_no, path_id from dw join nm using (side, target, condition_id, no)""",

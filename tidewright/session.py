@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -34,11 +36,13 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; make a temporary one only where it is unset."""
+    """Use the shared folder of ``spark.checkpoint.dir``; make a temporary one only in local mode without that setting."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = context.getConf().get("spark.checkpoint.dir", None)
+    if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewright-checkpoint-"))
 
 
@@ -48,6 +52,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table of groups that are sent to all tasks at most.
+FEW_ROWS = 100_000
+
+
+def few(groups: DataFrame) -> DataFrame:
+    """A table of groups, written once and counted: marked for broadcast if it has at most ``FEW_ROWS`` rows, else as it is."""
+    written = cut_lineage(groups)
+    return F.broadcast(written) if written.count() <= FEW_ROWS else written
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Sends this package to the Python workers, which need not have it on their path; once for each context."""
     context = spark.sparkContext

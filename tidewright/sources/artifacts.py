@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import os
@@ -22,6 +23,23 @@ def file_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def local_checksums(paths: Sequence[str], chunk: int = 1 << 20) -> dict[str, str]:
+    """SHA-256 of files that the driver can read, in chunks, so of any size."""
+    out = {}
+    for path in paths:
+        digest = hashlib.sha256()
+        with open(path, "rb") as f:
+            while block := f.read(chunk):
+                digest.update(block)
+        out[path] = digest.hexdigest()
+    return out
+
+
+def write_sums(path: str, sums: dict[str, str], root: str) -> None:
+    """A SHA256SUMS file: a line for each file, its path relative to the root, in their order."""
+    write_text_atomic(path, "".join(f"{sums[p]}  {portable_path(p, root)}\n" for p in sorted(sums)))
+
+
 def table_checksum(df: DataFrame) -> DataFrame:
     """Rows and an order-insensitive checksum of a table's content, columns in name order."""
     columns = sorted(df.columns)
