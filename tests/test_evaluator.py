@@ -385,11 +385,29 @@ def test_tuning_prefers_a_flow_that_can_learn(spark):
     rng = np.random.default_rng(5)
     cond = rng.normal(size=(300, 1))
     x = np.hstack([cond * 3, cond * 3]) + rng.normal(size=(300, 2)) * 0.2
-    trials = downstream.tune_flow(spark, x, cond, [{"couplings": 1, "hidden": 1}, {"couplings": 4, "hidden": 16}], epochs=60).collect()
+    rows = spark.createDataFrame([(i, [float(v) for v in a], [float(v) for v in b]) for i, (a, b) in enumerate(zip(x, cond))], "k bigint, x array<double>, c array<double>")
+    trials = downstream.tune_flow(rows, "k", "x", "c", 2, 1, [{"couplings": 1, "hidden": 1}, {"couplings": 4, "hidden": 16}], rounds=6, passes=10).collect()
     nll = {r.trial: r.nll for r in trials}
     assert set(nll) == {0, 1} and nll[1] < nll[0]
 
 
+def test_averaged_training_over_workers(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    cond = rng.normal(size=(4000, 1))
+    x = np.hstack([cond * 2, cond]) + rng.normal(size=(4000, 2)) * 0.3
+    rows = spark.createDataFrame([(i, [float(v) for v in a], [float(v) for v in b]) for i, (a, b) in enumerate(zip(x, cond))], "k bigint, x array<double>, c array<double>")
+    monkeypatch.setattr(generators, "ROWS_A_WORKER", 800)
+    made = []
+    for shape, reducers in ((rows, 16), (rows.repartition(7), 16), (rows, 2)):  # the last one has fewer than the five workers
+        monkeypatch.setattr(generators, "REDUCERS", reducers)
+        flow = generators.CouplingFlow(dim=2, condition_dim=1, couplings=2, hidden=16)
+        before = -flow.log_prob(x, cond).mean()
+        generators.fit_flows([flow], [5e-3], shape, "k", "x", "c", rounds=12, passes=1)
+        made.append(-flow.log_prob(x, cond).mean())
+        assert made[-1] < before - 0.1 and made[-1] < 0.97 * before
+    assert made[0] == pytest.approx(made[1], rel=1e-9)  # however the rows were spread
+
+
 def test_wasserstein_of_unequal_samples(spark):
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=37), rng.normal(1, 2, size=90)

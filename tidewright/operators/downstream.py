@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import stats
-from tidewright.operators.generators import CouplingFlow
+from tidewright.operators.generators import CouplingFlow, fit_flows
 from tidewright.operators.scan import join_on
-from tidewright.session import cut_lineage, few, ship_package
+from tidewright.session import cut_lineage, few
 
 
 def regression_scores(scored: DataFrame, groups: Sequence[str], actual: str = "y", predicted: str = "p") -> DataFrame:
@@ -59,20 +57,14 @@ def augmentation_comparison(rows: DataFrame, datasets: DataFrame, columns: Seque
     return regression_scores(scored, ["dataset"])
 
 
-def tune_flow(spark: SparkSession, x: np.ndarray, cond: np.ndarray, candidates: Sequence[dict], epochs: int = 10) -> DataFrame:
-    """Held-out negative log-likelihood of each candidate's flow, one candidate a task: ``trial``, ``settings``, ``nll``.
+def tune_flow(rows: DataFrame, key: str, vector: str, condition: str, dim: int, condition_dim: int, candidates: Sequence[dict], rounds: int = 50, passes: int = 1) -> DataFrame:
+    """Held-out negative log-likelihood of each candidate's flow, all fitted side by side on all rows: ``trial``, ``settings``, ``nll``.
 
-    ``x`` and ``cond`` are a bounded sample, sent to the tasks once. A candidate's ``rate`` is its learning rate.
+    A candidate's ``rate`` is its learning rate.
     """
-    shared = ship_package(spark).sparkContext.broadcast((np.asarray(x, float), np.asarray(cond, float)))
-    trials = spark.createDataFrame([(i, str(sorted(c.items()))) for i, c in enumerate(candidates)], "trial int, settings string")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i = int(pdf["trial"].iloc[0])
-        data, given = shared.value
-        settings = dict(candidates[i])
-        rate = settings.pop("rate", 1e-3)
-        flow = CouplingFlow(dim=data.shape[1], condition_dim=given.shape[1], **settings).fit(data, given, epochs=epochs, rate=rate)
-        return pd.DataFrame({"trial": [i], "settings": pdf["settings"].iloc[:1].tolist(), "nll": [min(flow.history)]})
-
-    return trials.groupBy("trial").applyInPandas(run, "trial int, settings string, nll double")
+    settings = [dict(c) for c in candidates]
+    rates = [c.pop("rate", 1e-3) for c in settings]
+    flows = [CouplingFlow(dim=dim, condition_dim=condition_dim, **c) for c in settings]
+    fit_flows(flows, rates, rows, key, vector, condition, rounds=rounds, passes=passes)
+    made = [(i, str(sorted(c.items())), float(min(f.history))) for i, (c, f) in enumerate(zip(candidates, flows))]
+    return rows.sparkSession.createDataFrame(made, "trial int, settings string, nll double")

@@ -16,7 +16,7 @@ from tidewright.functions.prng import draw
 from tidewright.operators.ranks import ranked
 from tidewright.operators.scan import join_on
 from tidewright.operators.windows import at_home, frames, numbered, sharded
-from tidewright.session import ship_package
+from tidewright.session import cut_lineage, ship_package
 
 
 def block_starts(returns: DataFrame, entity: str, length: int) -> DataFrame:
@@ -223,6 +223,38 @@ class CouplingFlow:
             g = back
         return loss, grads[::-1]
 
+    def _moments(self) -> dict:
+        zeros = lambda: [{k: np.zeros_like(v) for k, v in w.items()} for w in self.weights]
+        return {"t": 0, "m": zeros(), "s": zeros()}
+
+    def _epoch(self, x: np.ndarray, cond: np.ndarray | None, moments: dict, rng: np.random.Generator, batch: int, rate: float, decay: float, clip: float) -> None:
+        """One pass over the rows in mini-batches of a fresh permutation, by AdamW with clipped gradients."""
+        order = rng.permutation(len(x))
+        for at in range(0, len(x), batch):
+            pick = order[at : at + batch]
+            moments["t"] += 1
+            loss, grads = self._gradients(x[pick], None if cond is None else cond[pick])
+            if not np.isfinite(loss):
+                raise FloatingPointError("the likelihood is not finite")
+            shrink = min(1.0, clip / (np.sqrt(sum((g * g).sum() for gr in grads for g in gr.values())) + 1e-12))
+            for w, gr, m, s in zip(self.weights, grads, moments["m"], moments["s"]):
+                for k in w:
+                    g = gr[k] * shrink
+                    m[k] = 0.9 * m[k] + 0.1 * g
+                    s[k] = 0.999 * s[k] + 0.001 * g * g
+                    w[k] -= rate * (m[k] / (1 - 0.9 ** moments["t"]) / (np.sqrt(s[k] / (1 - 0.999 ** moments["t"])) + 1e-8) + decay * w[k])
+
+    def _flat(self, moments: dict) -> np.ndarray:
+        return np.concatenate([w[k].ravel() for part in (self.weights, moments["m"], moments["s"]) for w in part for k in ("w1", "b1", "w2", "b2")])
+
+    def _unflat(self, flat: np.ndarray, moments: dict) -> None:
+        at = 0
+        for part in (self.weights, moments["m"], moments["s"]):
+            for w in part:
+                for k in ("w1", "b1", "w2", "b2"):
+                    w[k] = flat[at : at + w[k].size].reshape(w[k].shape).copy()
+                    at += w[k].size
+
     def fit(self, x: np.ndarray, cond: np.ndarray | None = None, epochs: int = 60, batch: int = 256, rate: float = 1e-3, patience: int = 10, decay: float = 1e-4, clip: float = 5.0) -> "CouplingFlow":
         """AdamW on a 90/10 split: the rate halves on plateaus, gradients are clipped, the best state is kept."""
         x = np.asarray(x, float)
@@ -230,24 +262,10 @@ class CouplingFlow:
         order = rng.permutation(len(x))
         held, train = order[: max(1, len(x) // 10)], order[max(1, len(x) // 10) :]
         pick = lambda i: (x[i], None if cond is None else cond[i])
-        m = [{k: np.zeros_like(v) for k, v in w.items()} for w in self.weights]
-        s = [{k: np.zeros_like(v) for k, v in w.items()} for w in self.weights]
-        best, state, bad, t = np.inf, None, 0, 0
+        state_of = self._moments()
+        best, state, bad = np.inf, None, 0
         for _ in range(epochs):
-            train = rng.permutation(train)
-            for at in range(0, len(train), batch):
-                t += 1
-                loss, grads = self._gradients(*pick(train[at : at + batch]))
-                if not np.isfinite(loss):
-                    raise FloatingPointError("the likelihood is not finite")
-                norm = np.sqrt(sum((g * g).sum() for gr in grads for g in gr.values()))
-                shrink = min(1.0, clip / (norm + 1e-12))
-                for w, gr, mi, si in zip(self.weights, grads, m, s):
-                    for k in w:
-                        g = gr[k] * shrink
-                        mi[k] = 0.9 * mi[k] + 0.1 * g
-                        si[k] = 0.999 * si[k] + 0.001 * g * g
-                        w[k] -= rate * (mi[k] / (1 - 0.9**t) / (np.sqrt(si[k] / (1 - 0.999**t)) + 1e-8) + decay * w[k])
+            self._epoch(*pick(train), state_of, rng, batch, rate, decay, clip)
             score = -float(self.log_prob(*pick(held)).mean())
             self.history.append(score)
             if score < best - 1e-4:
@@ -305,3 +323,88 @@ class CouplingFlow:
 
         cols = [F.col(key).cast("bigint").alias("k"), *([F.col(condition).alias("c")] if condition else [])]
         return conditions.select(*cols).mapInPandas(run, "k bigint, draw_no bigint, vector array<double>").withColumnRenamed("k", key)
+
+
+#: Rows that one worker of a distributed fit holds, and tasks that add up the workers' weights.
+ROWS_A_WORKER = 10_000
+REDUCERS = 16
+
+
+def fit_flows(flows: Sequence[CouplingFlow], rates: Sequence[float], rows: DataFrame, key: str, vector: str, condition: str, rounds: int = 60, passes: int = 1, batch: int = 256, patience: int = 8, decay: float = 1e-4, clip: float = 5.0) -> None:
+    """Fits flows on all rows by averaged local training (McMahan et al. 2017): in every round each worker makes ``passes`` passes over
+    its own rows from the shared weights and moments of AdamW, and these are averaged by rows.
+
+    One row in ten, by portable random numbers, is held out; a flow keeps the weights of its best round, its rate halves after a
+    round that is no better, and it stops after ``patience`` of them. Workers grow with the rows (``ROWS_A_WORKER`` each); their weights are added up by ``REDUCERS`` tasks as they stream by, so neither a task nor the
+    driver holds more than a few copies of the weights.
+    """
+    spark = ship_package(rows.sparkSession)
+    held = F.pmod(draw(17, F.col(key)), F.lit(10)) == 0
+    data = rows.select(F.col(key).cast("bigint").alias("k"), F.col(vector).alias("x"), F.col(condition).alias("c"), held.alias("held"))
+    data = cut_lineage(data)
+    total, spared = data.agg(F.count(F.lit(1)), F.count_if("held")).first()
+    workers = max(1, -(-total // ROWS_A_WORKER))
+    data = cut_lineage(data.repartition(workers, "k").sortWithinPartitions("k"))
+    schema = "flow int, n bigint, held bigint, score double, weights binary, steps bigint"
+
+    def local(shared, last: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [p for p in batches if len(p)]
+            if not parts:
+                return
+            pdf = pd.concat(parts)
+            x, c, out = np.vstack(pdf["x"].to_numpy()), np.vstack(pdf["c"].to_numpy()), pdf["held"].to_numpy(dtype=bool)
+            use = ~out
+            if not spared:  # too few rows to hold any out
+                out = use
+            for i, (flow, rate, epoch, moments) in shared.value.items():
+                score = float(flow.log_prob(x[out], c[out]).sum()) if out.any() else 0.0
+                n = int(use.sum())
+                if n and not last:
+                    rng = np.random.default_rng([flow.seed, epoch, int(pdf["k"].iloc[0]) & 0x7FFFFFFF])
+                    for _ in range(passes):
+                        flow._epoch(x[use], c[use], moments, rng, batch, rate, decay, clip)  # noqa: SLF001
+                yield pd.DataFrame({"flow": [i], "n": [n], "held": [int(out.sum())], "score": [score], "weights": [(flow._flat(moments) * n).tobytes()], "steps": [moments["t"]]})  # noqa: SLF001
+
+        return run
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list] = {}
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                one = [r.n, r.held, r.score, np.frombuffer(r.weights)]
+                known = sums.get(r.flow)
+                sums[r.flow] = [a + b for a, b in zip(known[:4], one)] + [max(known[4], r.steps)] if known else [*one, r.steps]
+        for i, (n, h, score, w, t) in sums.items():
+            yield pd.DataFrame({"flow": [i], "n": [n], "held": [h], "score": [score], "weights": [w.tobytes()], "steps": [t]})
+
+    going = {i: {"rate": r, "best": np.inf, "bad": 0, "moments": f._moments()} for i, (f, r) in enumerate(zip(flows, rates))}  # noqa: SLF001
+    for i, g in going.items():
+        g["state"] = flows[i]._flat(g["moments"])  # noqa: SLF001
+    for epoch in range(rounds + 1):
+        if not going:
+            break
+        shared = spark.sparkContext.broadcast({i: (flows[i], g["rate"], epoch, g["moments"]) for i, g in going.items()})
+        made = data.mapInPandas(local(shared, epoch == rounds), schema)
+        if workers > REDUCERS:
+            made = made.repartition(REDUCERS).mapInPandas(add_up, schema)
+        sums: dict[int, list] = {}
+        for r in made.collect():  # a copy of the weights from each reducer
+            one = [r.n, r.held, r.score, np.frombuffer(bytes(r.weights))]
+            known = sums.get(r.flow)
+            sums[r.flow] = [a + b for a, b in zip(known[:4], one)] + [max(known[4], r.steps)] if known else [*one, r.steps]
+        shared.destroy()
+        for i, (n, h, score, total, t) in sums.items():
+            g, flow = going[i], flows[i]
+            nll = -score / max(h, 1)
+            flow.history.append(nll)
+            if nll < g["best"] - 1e-4:
+                g.update(best=nll, state=flow._flat(g["moments"]), bad=0)  # noqa: SLF001
+            else:
+                g.update(bad=g["bad"] + 1, rate=g["rate"] / 2)
+            if n and epoch < rounds:
+                flow._unflat(total / n, g["moments"])  # noqa: SLF001
+                g["moments"]["t"] = t
+        for i in [i for i, g in going.items() if g["bad"] >= patience or epoch == rounds]:
+            g = going.pop(i)
+            flows[i]._unflat(g["state"], g["moments"])  # noqa: SLF001

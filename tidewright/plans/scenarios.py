@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -285,11 +284,10 @@ def downstream_drawdown(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(augmentation_comparison(rows, augmented_train(spark, sf).select("path_id", "dataset"), columns, "label"), 6)
 
 
-#: Paths that the flow is fitted on at most, in the order of portable random numbers.
-FLOW_ROWS = 2_000
-#: Path returns are multiplied by this for the flow; its samples are divided by it.
+#: The flow's coordinates are the inverse hyperbolic sine of this times a return: linear for ordinary returns, logarithmic for extremes.
 FLOW_SCALE = 50.0
-FLOW_EPOCHS = 60
+#: Passes over the rows at most, the workers' weights averaged after each.
+FLOW_ROUNDS = 60
 
 
 def _conditions(spark: SparkSession, sf: str) -> DataFrame:
@@ -314,34 +312,35 @@ def _conditions(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(state.select(F.col("sample_id").alias("condition_id"), known), "condition_id").select("path_id", "c")
 
 
-def _flow_sample(spark: SparkSession, sf: str) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """All steps of both assets given the state of the market before the path: a bounded sample of reference paths, and all."""
-    v = _vectors(spark, sf).where(F.size("vector") == 48)
-    v = v.select("path_id", "side", F.transform("vector", lambda x: x * FLOW_SCALE).alias("x")).join(_conditions(spark, sf), "path_id", "left")
-    v = v.withColumn("c", F.coalesce("c", F.array(*[F.lit(0.0)] * 6)))
-    sample = v.where(F.col("side") == E.REFERENCE).orderBy(draw(3, F.col("path_id")), "path_id").limit(FLOW_ROWS).toPandas()
-    return np.vstack(sample["x"].to_numpy()), np.vstack(sample["c"].to_numpy()), v
+def _flow_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All steps of both assets given the state of the market before the path."""
+    v = _vectors(spark, sf).where(F.size("vector") == _FLOW_DIM)
+    v = v.select("path_id", "side", F.transform("vector", lambda x: F.asinh(x * FLOW_SCALE)).alias("x")).join(_conditions(spark, sf), "path_id", "left")
+    return cut_lineage(v.withColumn("c", F.coalesce("c", F.array(*[F.lit(0.0)] * _FLOW_CONDITIONS))))
 
 
 def _flow(spark: SparkSession, sf: str) -> tuple[G.CouplingFlow, DataFrame]:
-    x, cond, v = _flow_sample(spark, sf)
-    flow = G.CouplingFlow(dim=x.shape[1], condition_dim=cond.shape[1], couplings=8, hidden=256)
-    return flow.fit(x, cond, epochs=FLOW_EPOCHS, patience=FLOW_EPOCHS), v
+    """A flow fitted on all reference paths but the tenth held out."""
+    v = _flow_rows(spark, sf)
+    flow = G.CouplingFlow(dim=_FLOW_DIM, condition_dim=_FLOW_CONDITIONS, couplings=8, hidden=256)
+    G.fit_flows([flow], [1e-3], v.where(F.col("side") == E.REFERENCE), "path_id", "x", "c", rounds=FLOW_ROUNDS)
+    return flow, v
 
 
+_FLOW_DIM, _FLOW_CONDITIONS = 48, 6
 FLOW_CANDIDATES = [{"couplings": c, "hidden": h, "rate": r} for c, h, r in ((4, 128, 5e-4), (6, 128, 5e-4), (8, 128, 1e-3), (10, 128, 1e-3), (8, 256, 1e-3))]
 
 
 def flow_tuning(spark: SparkSession, sf: str) -> DataFrame:
     """Five settings of the flow by held-out likelihood, and which is best."""
-    x, cond, _ = _flow_sample(spark, sf)
-    trials = tune_flow(spark, x, cond, FLOW_CANDIDATES, epochs=50)
+    rows = _flow_rows(spark, sf).where(F.col("side") == E.REFERENCE)
+    trials = tune_flow(rows, "path_id", "x", "c", _FLOW_DIM, _FLOW_CONDITIONS, FLOW_CANDIDATES, rounds=50)
     best = trials.agg(F.min(F.struct("nll", "trial"))["trial"].alias("best"))
     return trials.crossJoin(F.broadcast(best)).select("trial", "settings", "nll", (F.col("trial") == F.col("best")).alias("chosen"))  # one row
 
 
 def flow_log_prob(spark: SparkSession, sf: str) -> DataFrame:
-    """Log density of each whole path, in the flow's scaled coordinates."""
+    """Log density of each whole path, in the flow's coordinates."""
     flow, v = _flow(spark, sf)
     return flow.score(v, "path_id", "x", "c")
 
@@ -350,7 +349,7 @@ def flow_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Whole paths as log returns, four for the condition of each reference path: all steps of BTC, then of ETH."""
     flow, v = _flow(spark, sf)
     made = flow.sample(v.where(F.col("side") == E.REFERENCE), "path_id", 4, "c")
-    return made.withColumn("vector", F.transform("vector", lambda x: x / FLOW_SCALE))
+    return made.withColumn("vector", F.transform("vector", lambda x: F.sinh(x) / FLOW_SCALE))
 
 
 def student_t_sampler(spark: SparkSession, sf: str) -> DataFrame:
