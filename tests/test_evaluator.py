@@ -421,6 +421,45 @@ def test_wasserstein_of_unequal_samples(spark):
     assert one.wasserstein_1 == pytest.approx(abs(a[0] - b[0]))
 
 
+def sent_to_all(df):
+    """The parts of the plan that ran whose rows went to the driver and to all tasks."""
+    df.collect()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    ends = [next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines)) for i in range(len(lines))]
+    return ["\n".join(lines[i : ends[i]]) for i, x in enumerate(lines) if "BroadcastExchange" in x]
+
+
+def test_wasserstein_sends_no_levels_to_all_tasks(spark):
+    frame = lambda n, by: spark.range(n).selectExpr("id % 2 g", f"cast(id * {by} as double) x")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")  # samples are larger, as they seem to Spark
+    try:
+        for n, m in ((3000, 3000), (40, 3000), (3000, 40)):
+            got = ranks.sorted_wasserstein(frame(n, 1), frame(m, 2), ["g"], "x", [])
+            assert got.count() == 2 and not [x for x in sent_to_all(got) if "Generate" in x]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_wasserstein_in_slices(spark, monkeypatch):
+    from tidewright import session
+
+    rng = np.random.default_rng(4)
+    sizes = {"few": (1, 90), "many": (90, 1), "two": (2, 57), "odd": (31, 70), "even": (64, 64), "one": (1, 1), None: (5, 8)}
+    draws = lambda n: np.round(rng.normal(size=n), 1)  # noqa: E731  # ties within and across
+    data = {g: (draws(n), draws(m)) for g, (n, m) in sizes.items()}
+    frame = lambda k, more: spark.createDataFrame([(g, float(x)) for g, v in data.items() for x in v[k]] + [(more, 1.0), ("empty", math.nan if k else 1.0)], "g string, x double")
+    want = {}
+    for g, (a, b) in data.items():
+        q = np.linspace(0, 1, max(len(a), len(b)))
+        want[g] = pytest.approx(np.abs(np.quantile(a, q) - np.quantile(b, q)).mean())
+    for size, most in ((1, 100_000), (8, 100_000), (16_384, 0)):  # the last one's groups are too many to be sent to all tasks
+        monkeypatch.setattr(ranks, "_SLICE", size)
+        monkeypatch.setattr(session, "FEW_ROWS", most)
+        got = ranks.sorted_wasserstein(frame(0, "left"), frame(1, "right"), ["g"], "x", []).collect()
+        assert len(got) == len(want) and {r.g: r.wasserstein_1 for r in got} == want
+
+
 def test_quantiles_leave_out_nan_either_way(spark, monkeypatch):
     df = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 3.0, math.nan, math.nan, None)] + [("b", math.nan)], "g string, x double")
     small = sorted(map(tuple, stats.grouped_quantiles(df, ["g"], "x", (0.5, 0.95)).collect()))

@@ -84,11 +84,11 @@ def wasserstein_sorted(spark: SparkSession, sf: str) -> DataFrame:
 
 def wasserstein_unequal(spark: SparkSession, sf: str) -> DataFrame:
     """Losses of each generator against the historical ones, samples of different sizes, at as many levels as the larger has losses."""
-    rows = PE.losses(spark, sf).select("side", "target", "path_id", F.col("loss").alias("x"))
+    rows = PE.losses(spark, sf).select("side", "target", F.col("loss").alias("x"))
     names = few(rows.where(F.col("side") != E.REFERENCE).select("side", "target").distinct().withColumnRenamed("side", "candidate"))
     made = rows.where(F.col("side") != E.REFERENCE).withColumnRenamed("side", "candidate")
     real = rows.where(F.col("side") == E.REFERENCE).drop("side").join(names, "target")
-    return _rounded(ranks.sorted_wasserstein(made, real, ["candidate", "target"], "x", ["path_id"]))
+    return _rounded(ranks.sorted_wasserstein(made, real, ["candidate", "target"], "x"))
 
 
 def histogram(spark: SparkSession, sf: str) -> DataFrame:
