@@ -441,6 +441,17 @@ def test_wasserstein_sends_no_levels_to_all_tasks(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_wasserstein_sorted_sends_no_levels_to_all_tasks(spark):
+    from tidewright.plans import scenarios
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        got = scenarios.wasserstein_sorted(spark, "/root/testdata/sf0.001")
+        assert got.count() > 0 and not [x for x in sent_to_all(got) if "Generate" in x]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_wasserstein_in_slices(spark, monkeypatch):
     from tidewright import session
 

@@ -77,9 +77,9 @@ def es_stability(spark: SparkSession, sf: str) -> DataFrame:
 def wasserstein_sorted(spark: SparkSession, sf: str) -> DataFrame:
     """Losses against maximum drawdowns of the same paths: two samples of one size, compared rank by rank."""
     rows = PE.losses(spark, sf).where(F.col("maximum_drawdown").isNotNull())
-    a = rows.select("side", "target", "path_id", F.col("loss").alias("x"))
-    b = rows.select("side", "target", "path_id", F.col("maximum_drawdown").alias("x"))
-    return _rounded(ranks.sorted_wasserstein(a, b, ["side", "target"], "x", ["path_id"]))
+    a = rows.select("side", "target", F.col("loss").alias("x"))
+    b = rows.select("side", "target", F.col("maximum_drawdown").alias("x"))
+    return _rounded(ranks.sorted_wasserstein(a, b, ["side", "target"], "x"))
 
 
 def wasserstein_unequal(spark: SparkSession, sf: str) -> DataFrame:
